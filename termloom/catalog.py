@@ -1,10 +1,604 @@
-"""Registered queries of the retrieval engine and their SQL."""
+"""Registered queries of the retrieval engine and their SQL.
+
+The corpus is ``documents``, the query set ``benchmark`` (any-term queries), the graph links
+the parts that follow each other in an order. Queries whose SQL stands beside them use the
+analysis without stemming, which SQL can express.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termloom.functions import porter
+from termloom.functions.analysis import RUN_PATTERN, AnalysisConfig, analyzed_terms, tokens
+from termloom.functions.stopwords import ENGLISH
+from termloom.functions.web import content_hash, extracted, host_allowed, host_of, normalized_url, robots_match, snippets
+from termloom.operators import evaluation, fuzzy, graph, ranking, retrieval
+from termloom.operators.index import Index, build_index, length_distribution
+from termloom.plans.query import Node, analyzed, parse
+from termloom.sources.files import page_text, page_title
+from termloom.streaming import crawl
 
+PLAIN = AnalysisConfig(stemming="none", nfkc=False)
+ITERATIONS = 5
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of ``documents``, built once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = build_index(read(spark, sf_dir, "documents"), PLAIN)
+    return _indexes[key]
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(ENGLISH))
+_RUN_SQL = RUN_PATTERN.replace("'", "''")
+_RAW = rf"""raw AS (SELECT doc_id, unnest(l) AS run, unnest(range(len(l))) AS ord
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_RUN_SQL}') AS l FROM documents)),
+norm AS (SELECT doc_id, ord, regexp_replace(lower(run), '[^\p{{L}}\p{{N}}]+', '', 'g') AS term FROM raw)"""
+_BASE = f"""WITH {_RAW},
+tok AS (SELECT doc_id, term, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INT AS position
+    FROM norm WHERE term <> '' AND term NOT IN ({_STOPS})),
+post AS (SELECT term, doc_id, count(*)::INT AS tf, list(position ORDER BY position) AS positions FROM tok GROUP BY term, doc_id),
+dls AS (SELECT d.doc_id, coalesce(sum(p.tf), 0)::BIGINT AS dl, coalesce(max(p.tf), 0)::INT AS max_tf
+    FROM documents d LEFT JOIN post p USING (doc_id) GROUP BY d.doc_id),
+st AS (SELECT count(*)::DOUBLE AS n, sum(dl)::DOUBLE / count(*) AS avgdl, sum(dl)::BIGINT AS total FROM dls),
+dfs AS (SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term)"""
+
+
+def _bm25_sql(k1: float = 1.2, b: float = 0.75) -> str:
+    return f"""ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {k1 + 1.0}::DOUBLE
+        / (tf + {k1}::DOUBLE * ({1.0 - b}::DOUBLE + {b}::DOUBLE * dl / avgdl))"""
+
+
+def _scores(terms: list[str], part: str) -> str:
+    """Per document with any of the terms: the sum of a part over them."""
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"scored AS (SELECT doc_id, sum({part}) AS score FROM post JOIN dfs USING (term) JOIN dls USING (doc_id), st WHERE term IN ({listed}) GROUP BY doc_id)"
+
+
+def _top(k: int) -> str:
+    return f"SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT {k}"
+
+
+def _tree(query: str, implicit: str = "and") -> Node:
+    return analyzed(parse(query, implicit), PLAIN)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, query: str, strategy: ranking.Strategy, k: int, implicit: str = "or") -> DataFrame:
+    scored = ranking.rank(index_of(spark, sf_dir), _tree(query, implicit), strategy)
+    rounded = scored.select("doc_id", *[F.round(c, 6).alias(c) for c in scored.columns if c != "doc_id"])
+    return ranking.top_k(rounded, k)
+
+
+# --- analysis and index -----------------------------------------------------------------
+
+
+@register("tokens_count", f"WITH {_RAW} SELECT count(*) AS tokens, count(DISTINCT term) AS distinct_terms FROM norm WHERE term <> ''")
+def tokens_count(spark, sf_dir):
+    found = tokens(read(spark, sf_dir, "documents"), AnalysisConfig("none", "none", False))
+    return found.agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("distinct_terms"))
+
+
+@register("stopword_filter", f"""WITH {_RAW} SELECT d.doc_id, count(term) FILTER (term <> '' AND term NOT IN ({_STOPS}))::INT AS kept,
+    count(term) FILTER (term IN ({_STOPS}))::INT AS dropped FROM documents d LEFT JOIN norm USING (doc_id) GROUP BY d.doc_id""")
+def stopword_filter(spark, sf_dir):
+    text = F.col("text")
+    every, kept = analyzed_terms(text, AnalysisConfig("none", "none", False)), analyzed_terms(text, PLAIN)
+    sizes = read(spark, sf_dir, "documents").select("doc_id", F.size(every).alias("all"), F.size(kept).alias("kept"))
+    return sizes.select("doc_id", "kept", (F.col("all") - F.col("kept")).alias("dropped"))
+
+
+@register("doc_lengths", f"{_BASE} SELECT doc_id, dl FROM dls")
+def doc_lengths(spark, sf_dir):
+    return index_of(spark, sf_dir).docs.select("doc_id", "dl")
+
+
+@register("doc_length_percentiles", f"""{_BASE} SELECT min(dl) AS min_dl, quantile_disc(dl, 0.25)::DOUBLE AS p25, median(dl) AS median, round(avg(dl), 6) AS mean,
+    quantile_disc(dl, 0.75)::DOUBLE AS p75, quantile_disc(dl, 0.95)::DOUBLE AS p95, max(dl) AS max_dl FROM dls""")
+def doc_length_percentiles(spark, sf_dir):
+    return length_distribution(index_of(spark, sf_dir).docs)
+
+
+@register("index_stats", f"""{_BASE} SELECT n::BIGINT AS num_docs, total AS total_tokens, round(avgdl, 6) AS avg_doc_length,
+    (SELECT count(*) FROM dfs) AS vocab_size, (SELECT count(*) FROM post) AS num_postings FROM st""")
+def index_stats(spark, sf_dir):
+    return index_of(spark, sf_dir).stats().withColumn("avg_doc_length", F.round("avg_doc_length", 6))
+
+
+@register("vocab_df_top", f"{_BASE} SELECT term, df FROM dfs ORDER BY df DESC, term LIMIT 100")
+def vocab_df_top(spark, sf_dir):
+    return index_of(spark, sf_dir).terms.orderBy(F.desc("df"), "term").limit(100)
+
+
+@register("postings_tf_positions", f"{_BASE} SELECT term, doc_id, tf, array_to_string(positions, ',') AS positions FROM post")
+def postings_tf_positions(spark, sf_dir):
+    rows = index_of(spark, sf_dir).postings
+    return rows.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@register("max_tf_per_doc", f"{_BASE} SELECT doc_id, max_tf FROM dls")
+def max_tf_per_doc(spark, sf_dir):
+    return index_of(spark, sf_dir).docs.select("doc_id", "max_tf")
+
+
+@register("postings_lookup", f"{_BASE} SELECT doc_id, tf FROM post WHERE term = 'tion'")
+def postings_lookup(spark, sf_dir):
+    return index_of(spark, sf_dir).lookup("tion").select("doc_id", "tf")
+
+
+@register("debug_export", f"{_BASE} SELECT term, count(*)::INT AS n_docs, sum(tf)::BIGINT AS total_tf, min(doc_id) AS first_doc FROM post GROUP BY term")
+def debug_export(spark, sf_dir):
+    p = F.col("postings")
+    total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["tf"])
+    return index_of(spark, sf_dir).debug().select("term", F.size(p).alias("n_docs"), total.alias("total_tf"), p[0]["doc_id"].alias("first_doc"))
+
+
+@register("porter_vocab")
+def porter_vocab(spark, sf_dir):
+    """Every term of the vocabulary with its stem."""
+
+    @F.udf("string", useArrow=True)
+    def stem(term: str) -> str:
+        return porter.stem(term)
+
+    return index_of(spark, sf_dir).terms.select("term", stem("term").alias("stem"))
+
+
+# --- Boolean and positional retrieval ---------------------------------------------------
+
+
+def _has(term: str) -> str:
+    return f"doc_id IN (SELECT doc_id FROM post WHERE term = '{term}')"
+
+
+for _name, _query, _where in (
+    ("bool_and", "er AND tion", f"{_has('er')} AND {_has('tion')}"),
+    ("bool_or", "ther OR thon", f"{_has('ther')} OR {_has('thon')}"),
+    ("bool_not", "NOT er", f"NOT {_has('er')}"),
+    ("bool_nested", "(er OR re) AND NOT (la des) AND NOT zzz", f"({_has('er')} OR {_has('re')}) AND NOT ({_has('la')} AND {_has('des')})"),
+    ("bool_stopword_operand", "er OR the", _has("er")),
+):
+
+    def _boolean(spark, sf_dir, query=_query):
+        return retrieval.boolean_search(index_of(spark, sf_dir), _tree(query))
+
+    register(_name, f"{_BASE} SELECT doc_id FROM documents WHERE {_where}")(_boolean)
+
+
+@register("set_operations", f"""{_BASE}, a AS (SELECT doc_id FROM post WHERE term = 'er'), b AS (SELECT doc_id FROM post WHERE term = 're')
+    SELECT 'and' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL
+    SELECT 'or', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL
+    SELECT 'minus', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def set_operations(spark, sf_dir):
+    index = index_of(spark, sf_dir)
+    a, b = index.lookup("er"), index.lookup("re")
+    count = lambda name, df: df.agg(F.lit(name).alias("op"), F.count(F.lit(1)).alias("n"))
+    rows = [count("and", retrieval.intersect(a, b)), count("or", retrieval.union(a, b)), count("minus", retrieval.difference(a, b))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _phrase_sql(words: list[str]) -> str:
+    joins = " ".join(f"JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.position = t0.position + {i} AND t{i}.term = '{w}'" for i, w in enumerate(words) if i)
+    return f"SELECT DISTINCT t0.doc_id FROM tok t0 {joins} WHERE t0.term = '{words[0]}'"
+
+
+for _name, _words in (("phrase_match", ["er", "re"]), ("phrase_three_terms", ["anea", "eriner", "thanea"])):
+
+    def _phrase(spark, sf_dir, words=_words):
+        return retrieval.phrase_search(index_of(spark, sf_dir), words)
+
+    register(_name, f"{_BASE} {_phrase_sql(_words)}")(_phrase)
+
+_WINDOW = """ev AS (SELECT doc_id, position, max(CASE WHEN term = 'er' THEN position END) OVER o AS a,
+    max(CASE WHEN term = 're' THEN position END) OVER o AS b, max(CASE WHEN term = 'ha' THEN position END) OVER o AS c
+    FROM tok WHERE term IN ('er', 're', 'ha') WINDOW o AS (PARTITION BY doc_id ORDER BY position)),
+win AS (SELECT doc_id, min(CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN position - least(a, b, c) + 1 END)::INT AS "window" FROM ev GROUP BY doc_id)"""
+
+
+@register("min_window", f'{_BASE}, {_WINDOW} SELECT doc_id, "window" FROM win WHERE "window" IS NOT NULL')
+def min_window(spark, sf_dir):
+    return retrieval.window_search(index_of(spark, sf_dir), ["er", "re", "ha"])
+
+
+@register("proximity_score", f'{_BASE}, {_WINDOW} SELECT doc_id, round(1::DOUBLE / (1 + "window" - 3), 6) AS proximity FROM win WHERE "window" IS NOT NULL')
+def proximity_score(spark, sf_dir):
+    rows = retrieval.window_search(index_of(spark, sf_dir), ["er", "re", "ha"])
+    return rows.select("doc_id", F.round(retrieval.proximity(F.col("window"), 3), 6).alias("proximity"))
+
+
+# --- ranking ----------------------------------------------------------------------------
+
+_SEARCH = "tion ther thon"
+_TERMS = _SEARCH.split()
+_IDF = "ln(n / df)"
+for _kind, _weight in (("raw", "tf::DOUBLE"), ("log", "(1 + ln(tf::DOUBLE))"), ("augmented", "(0.5::DOUBLE + 0.5::DOUBLE * tf / greatest(max_tf, tf))")):
+
+    def _tfidf(spark, sf_dir, kind=_kind):
+        return _ranked(spark, sf_dir, _SEARCH, ranking.Strategy("tfidf", tf=kind), 50)
+
+    register(f"tfidf_{_kind}", f"{_BASE}, {_scores(_TERMS, f'{_IDF} * {_weight}')} {_top(50)}")(_tfidf)
+
+_BM25 = f"{_BASE}, {_scores(_TERMS, _bm25_sql())}"
+_BM25_PAIR = f"{_BASE}, {_scores(['er', 're'], _bm25_sql())}"
+
+
+@register("boolean_ranked", f"{_BASE} SELECT doc_id, 0::DOUBLE AS score FROM documents WHERE {_has('er')} ORDER BY doc_id LIMIT 20")
+def boolean_ranked(spark, sf_dir):
+    return _ranked(spark, sf_dir, "er", ranking.Strategy("boolean"), 20)
+
+
+@register("bm25_topk", f"{_BM25} {_top(10)}")
+def bm25_topk(spark, sf_dir):
+    return _ranked(spark, sf_dir, _SEARCH, ranking.Strategy(), 10).select("doc_id", "score")
+
+
+@register("bm25_all_candidates", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM scored")
+def bm25_all_candidates(spark, sf_dir):
+    scored = ranking.rank(index_of(spark, sf_dir), _tree(_SEARCH, "or"), ranking.Strategy())
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("bm25_k1_b_override", f"{_BASE}, {_scores(_TERMS, _bm25_sql(2.0, 0.25))} {_top(50)}")
+def bm25_k1_b_override(spark, sf_dir):
+    return _ranked(spark, sf_dir, _SEARCH, ranking.Strategy(k1=2.0, b=0.25), 50).select("doc_id", "score")
+
+
+@register("bm25_not_universe", f"""{_BASE}, {_scores(['er'], _bm25_sql())}
+    SELECT d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM documents d LEFT JOIN scored s USING (doc_id)
+    WHERE d.{_has('er')} OR NOT d.{_has('la')}""")
+def bm25_not_universe(spark, sf_dir):
+    scored = ranking.rank(index_of(spark, sf_dir), _tree("er OR NOT la"), ranking.Strategy())
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("bm25_phrase", f"""{_BM25_PAIR}, ph AS ({_phrase_sql(['er', 're'])})
+    SELECT doc_id, round(score + 1.2::DOUBLE, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM ph)""")
+def bm25_phrase(spark, sf_dir):
+    scored = ranking.rank(index_of(spark, sf_dir), _tree('"er re"'), ranking.Strategy("bm25-phrase"))
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("bm25_phrase_proximity", f"""{_BASE}, {_scores(['er', 're', 'ha'], _bm25_sql())}, {_WINDOW}, ph AS ({_phrase_sql(['er', 're'])})
+    SELECT doc_id, round(score + CASE WHEN doc_id IN (SELECT doc_id FROM ph) THEN 1.2::DOUBLE ELSE 0 END
+    + coalesce(1::DOUBLE / (1 + "window" - 3), 0), 6) AS score FROM scored LEFT JOIN win USING (doc_id)
+    WHERE doc_id IN (SELECT doc_id FROM ph) OR {_has('ha')}""")
+def bm25_phrase_proximity(spark, sf_dir):
+    scored = ranking.rank(index_of(spark, sf_dir), _tree('"er re" OR ha'), ranking.Strategy("bm25-phrase-proximity"))
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("paging", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 10 OFFSET 20")
+def paging(spark, sf_dir):
+    scored = ranking.rank(index_of(spark, sf_dir), _tree(_SEARCH, "or"), ranking.Strategy())
+    return ranking.top_k(scored.select("doc_id", F.round("score", 6).alias("score")), 10, page=3)
+
+
+_QTERMS = rf"""qt AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id,
+    regexp_replace(lower(unnest(regexp_extract_all(text, '{_RUN_SQL}'))), '[^\p{{L}}\p{{N}}]+', '', 'g') AS term FROM benchmark)
+    WHERE term <> '' AND term NOT IN ({_STOPS}))"""
+_RUN = f"""{_BASE}, {_QTERMS}, sc AS (SELECT query_id, doc_id, round(sum({_bm25_sql()}), 6) AS score
+    FROM qt JOIN post USING (term) JOIN dfs USING (term) JOIN dls USING (doc_id), st GROUP BY query_id, doc_id),
+run AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 100)"""
+
+
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, ord, term) of the benchmark texts, terms once each in order."""
+    terms = F.array_distinct(analyzed_terms(F.col("text"), PLAIN))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(terms).alias("ord", "term"))
+
+
+def batch_run(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+    return ranking.ranked(ranking.bm25_batch(index_of(spark, sf_dir), query_terms(spark, sf_dir)), k)
+
+
+@register("bm25_batch_benchmark_queries", f"{_RUN} SELECT query_id, doc_id, score, rank::INT AS rank FROM run")
+def bm25_batch_benchmark_queries(spark, sf_dir):
+    return batch_run(spark, sf_dir).select("query_id", "doc_id", "score", "rank")
+
+
+def _norm_sql(guard: float) -> str:
+    return f"""{_RUN}, b AS (SELECT query_id, min(score) AS lo, max(score) AS hi, quantile_disc(score, {guard}) AS an FROM sc GROUP BY query_id)
+    SELECT query_id, doc_id, round(CASE WHEN hi = lo THEN 0 WHEN score <= an THEN
+        CASE WHEN an > lo THEN (CASE WHEN an < hi THEN {guard}::DOUBLE ELSE 1 END) * (score - lo) / (an - lo) ELSE 0 END
+        ELSE {guard}::DOUBLE + (1 - {guard}::DOUBLE) * (score - an) / (hi - an) END, 6) AS norm FROM sc JOIN b USING (query_id)"""
+
+
+def _normalized(spark, sf_dir, guard):
+    scores = ranking.bm25_batch(index_of(spark, sf_dir), query_terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return ranking.normalize_scores(scores, "score", guard, ["query_id"]).select("query_id", "doc_id", F.round("norm", 6).alias("norm"))
+
+
+@register("score_normalize_minmax", _norm_sql(1.0))
+def score_normalize_minmax(spark, sf_dir):
+    return _normalized(spark, sf_dir, 1.0)
+
+
+@register("score_normalize_guard", _norm_sql(0.95))
+def score_normalize_guard(spark, sf_dir):
+    return _normalized(spark, sf_dir, 0.95)
+
+
+# --- link graph -------------------------------------------------------------------------
+
+_EDGES = """edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+deg AS (SELECT src, count(*)::DOUBLE AS d FROM edges GROUP BY src), nn AS (SELECT count(*)::DOUBLE AS n FROM part)"""
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    edges = lines.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), edges
+
+
+@register("graph_dedupe_dangling", f"""WITH {_EDGES} SELECT (SELECT n::BIGINT FROM nn) AS nodes, (SELECT count(*) FROM edges) AS edges,
+    (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT src FROM edges)) AS dangling""")
+def graph_dedupe_dangling(spark, sf_dir):
+    nodes, edges = part_graph(spark, sf_dir)
+    links = graph.build_graph(nodes, edges)
+    out = links.agg(F.count(F.lit(1)).alias("edges")).join(nodes.agg(F.count(F.lit(1)).alias("nodes")))
+    hanging = nodes.join(links.select(F.col("src").alias("node")), "node", "left_anti").agg(F.count(F.lit(1)).alias("dangling"))
+    return out.join(hanging).select("nodes", "edges", "dangling")
+
+
+def _rank_steps(steps: int) -> str:
+    parts = [f"{_EDGES}, r0 AS (SELECT p_partkey AS node, 1 / n AS v FROM part, nn)"]
+    for i in range(steps):
+        parts.append(
+            f"""g{i} AS (SELECT dst, sum(v / d) AS got FROM edges JOIN deg USING (src) JOIN r{i} ON node = edges.src GROUP BY dst),
+            h{i} AS (SELECT coalesce(sum(v), 0) AS hang FROM r{i} WHERE node NOT IN (SELECT src FROM deg)),
+            r{i + 1} AS (SELECT node, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + hang / n) AS v FROM r{i} LEFT JOIN g{i} ON dst = node, h{i}, nn)"""
+        )
+    return "WITH " + ", ".join(parts)
+
+
+@register("pagerank_fixed_iters", f"{_rank_steps(ITERATIONS)} SELECT node, round(v, 9) AS value FROM r{ITERATIONS}")
+def pagerank_fixed_iters(spark, sf_dir):
+    return graph.pagerank_fixed(*part_graph(spark, sf_dir), ITERATIONS).select("node", F.round("value", 9).alias("value"))
+
+
+@register("pagerank_converged")
+def pagerank_converged(spark, sf_dir):
+    """PageRank until the change is below the tolerance."""
+    return graph.pagerank(*part_graph(spark, sf_dir)).scores
+
+
+_FUSED = f"""{_rank_steps(ITERATIONS)}, {_BASE[5:]}, {_scores(_TERMS, _bm25_sql())},
+b AS (SELECT min(score) AS lo, max(score) AS hi FROM scored), p AS (SELECT min(v) AS plo, max(v) AS phi FROM r{ITERATIONS})
+SELECT doc_id, round(0.8::DOUBLE * (score - lo) / (hi - lo) + coalesce(0.2::DOUBLE * (v - plo) / (phi - plo), 0), 6) AS score
+FROM scored LEFT JOIN r{ITERATIONS} ON node = doc_id, b, p"""
+
+
+@register("bm25_pagerank_fusion", _FUSED)
+def bm25_pagerank_fusion(spark, sf_dir):
+    values = graph.pagerank_fixed(*part_graph(spark, sf_dir), ITERATIONS).withColumnRenamed("node", "doc_id")
+    scored = ranking.rank(index_of(spark, sf_dir), _tree(_SEARCH, "or"), ranking.Strategy("bm25-pr"), values)
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
+
+
+# --- typo-tolerant search ---------------------------------------------------------------
+
+_TYPOS = ["thonx", "tionq", "thxer", "erinn"]
+_TYPO_ROWS = ", ".join(f"('{t}')" for t in _TYPOS)
+# SQL's edit distance counts bytes: accented letters are first given one byte each
+_BYTES = "translate({}, 'àâäáçéèêëíîïìñóôöòúùûüß', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+_LEV = f"levenshtein({_BYTES.format('a.term')}, {_BYTES.format('d.term')})"
+_NEAR_1 = rf"""ab(term) AS (VALUES {_TYPO_ROWS}), ed AS (
+    SELECT a.term, d.term AS variant, d.df, {_LEV} AS lev, d.term AS v FROM ab a JOIN dfs d ON abs(length(a.term) - length(d.term)) <= 2),
+one AS (SELECT term, variant, df FROM ed WHERE lev = 1 AND (length(variant) < length(term) OR length(
+    regexp_replace(variant, '[^a-z]', '', 'g')) = length(variant)))"""
+
+
+def _typos(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in _TYPOS], "term string")
+
+
+@register("fuzzy_k1_variants", f"{_BASE}, {_NEAR_1} SELECT term, variant, df, 1 AS distance FROM one")
+def fuzzy_k1_variants(spark, sf_dir):
+    return fuzzy.hits(_typos(spark), index_of(spark, sf_dir).terms, fuzzy.FuzzyOptions()).select("term", "variant", "df", "distance")
+
+
+@register("fuzzy_k2_scan", f"""{_BASE}, {_NEAR_1}, n1 AS (SELECT term, count(*) AS n FROM one GROUP BY term),
+    both_ AS (SELECT term, variant, df, 1 AS distance FROM one UNION ALL
+        SELECT e.term, e.variant, e.df, 2 FROM ed e LEFT JOIN n1 USING (term) WHERE lev BETWEEN 1 AND 2 AND coalesce(n, 0) < 10 AND length(e.term) >= 5
+        AND NOT EXISTS (SELECT 1 FROM one o WHERE o.term = e.term AND o.variant = e.variant))
+    SELECT term, variant, df, distance, row_number() OVER (PARTITION BY term ORDER BY distance, df DESC, variant)::INT AS place FROM both_""")
+def fuzzy_k2_scan(spark, sf_dir):
+    return fuzzy.hits(_typos(spark), index_of(spark, sf_dir).terms, fuzzy.FuzzyOptions(max_edits=2))
+
+
+@register("fuzzy_bm25", f"""{_BASE}, ab(term) AS (VALUES ('thonx')), va AS (SELECT d.term FROM ab a JOIN dfs d ON {_LEV} = 1
+    AND (length(d.term) < length(a.term) OR NOT regexp_matches(d.term, '[^a-z]')) ORDER BY d.df DESC, d.term LIMIT 10),
+    scored AS (SELECT doc_id, sum({_bm25_sql()}) AS score FROM post JOIN dfs USING (term) JOIN dls USING (doc_id), st
+    WHERE term IN (SELECT term FROM va) OR term = 'tion' GROUP BY doc_id) SELECT doc_id, round(score, 6) AS score FROM scored""")
+def fuzzy_bm25(spark, sf_dir):
+    index = index_of(spark, sf_dir)
+    tree = fuzzy.expand(index, _tree("thonx tion", "or")).tree
+    return ranking.rank(index, tree, ranking.Strategy()).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("bounded_edit_distance", f"""{_BASE}, ab(term) AS (VALUES {_TYPO_ROWS})
+    SELECT a.term, d.term AS other, CASE WHEN {_LEV} <= 2 THEN {_LEV} ELSE 3 END::INT AS distance
+    FROM ab a JOIN dfs d ON length(d.term) = length(a.term)""")
+def bounded_edit_distance(spark, sf_dir):
+    typos = _typos(spark).withColumn("size", F.length("term"))
+    known = index_of(spark, sf_dir).terms.select(F.col("term").alias("other"), F.length("term").alias("size"))
+    return typos.join(known, "size").select("term", "other", fuzzy.bounded_distance("term", "other", 2).alias("distance"))
+
+
+# --- evaluation -------------------------------------------------------------------------
+
+
+def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, grade): a document that holds an item's first 60 characters; grade 2
+    where it is labelled good. The items are found by their first ten characters, then compared."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.join(F.broadcast(items), F.contains("text", "head")).select("query_id", "doc_id")  # a stated query set
+    good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    grade = F.when(F.col("quality") == 1, F.lit(2.0)).otherwise(F.lit(1.0))
+    return found.join(good, "doc_id", "left").select("query_id", "doc_id", grade.alias("grade"))
+
+
+_QRELS = """qr AS (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN l.quality = 1 THEN 2.0::DOUBLE ELSE 1.0 END AS grade
+    FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+qs AS (SELECT query_id, count(*) AS nrel FROM qr GROUP BY query_id),
+jr AS (SELECT r.query_id, r.rank, q.grade, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS cum FROM run r JOIN qr q USING (query_id, doc_id))"""
+
+
+@register("eval_precision_recall_f1", f"""{_RUN}, {_QRELS}, h AS (SELECT query_id, count(j.rank) FILTER (j.rank <= 10)::DOUBLE AS h, any_value(nrel) AS nrel FROM qs LEFT JOIN jr j USING (query_id) GROUP BY query_id)
+    SELECT query_id, round(h / 10, 6) AS p_10, round(h / nrel, 6) AS r_10, round(CASE WHEN h > 0 THEN 2 * (h / 10) * (h / nrel) / (h / 10 + h / nrel) ELSE 0 END, 6) AS f1_10 FROM h""")
+def eval_precision_recall_f1(spark, sf_dir):
+    rows = evaluation.per_query(batch_run(spark, sf_dir), qrels(spark, sf_dir), (10,))
+    return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("p_10", "r_10", "f1_10")])
+
+
+@register("eval_map", f"""{_RUN}, {_QRELS}, a AS (SELECT query_id, coalesce(sum(cum::DOUBLE / j.rank), 0) / any_value(nrel) AS ap FROM qs LEFT JOIN jr j USING (query_id) GROUP BY query_id)
+    SELECT count(*) AS queries, round(avg(ap), 6) AS map FROM a""")
+def eval_map(spark, sf_dir):
+    rows = evaluation.summary(batch_run(spark, sf_dir), qrels(spark, sf_dir), (10,))
+    return rows.select("queries", F.round("map", 6).alias("map"))
+
+
+@register("eval_ndcg", f"""{_RUN}, {_QRELS}, i AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(pl + 1)) AS idcg FROM
+        (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS pl FROM qr) WHERE pl <= 10 GROUP BY query_id),
+    g AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM jr WHERE rank <= 10 GROUP BY query_id)
+    SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) AS ndcg_10 FROM i LEFT JOIN g USING (query_id)""")
+def eval_ndcg(spark, sf_dir):
+    rows = evaluation.per_query(batch_run(spark, sf_dir), qrels(spark, sf_dir), (10,))
+    return rows.select("query_id", F.round("ndcg_10", 6).alias("ndcg_10"))
+
+
+@register("latency_stats", """SELECT count(value) AS count, round(avg(value), 6) AS avg, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95,
+    quantile_disc(value, 0.99) AS p99, min(value) AS min, max(value) AS max FROM events""")
+def latency_stats(spark, sf_dir):
+    rows = evaluation.latency_stats(read(spark, sf_dir, "events"), "value")
+    return rows.withColumns({c: F.round(c, 6) for c in ("avg", "median")})
+
+
+@register("derived_query_templates", f"""{_BASE}, top AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) AS r FROM dfs QUALIFY r <= 20),
+    pr AS (SELECT a.term AS x, b.term AS y FROM top a JOIN top b ON b.r = a.r + 1 WHERE a.r % 2 = 1)
+    SELECT 'single' AS kind, term AS query FROM top UNION ALL SELECT 'and', x || ' AND ' || y FROM pr UNION ALL SELECT 'or', x || ' OR ' || y FROM pr
+    UNION ALL SELECT 'phrase', '"' || x || ' ' || y || '"' FROM pr UNION ALL SELECT 'not', x || ' AND NOT ' || y FROM pr""")
+def derived_query_templates(spark, sf_dir):
+    return spark.createDataFrame(evaluation.query_templates(index_of(spark, sf_dir).terms), "kind string, query string")
+
+
+# --- pages and crawling -----------------------------------------------------------------
+
+_ENTITY = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_PAGE_TITLE = _ENTITY.format("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")
+_PAGE_BODY = r"regexp_replace(regexp_replace(html, '(?is)<head.*?</head>', ''), '<[^>]+>', ' ', 'g')"
+
+
+@register("page_title_extract", f"SELECT page_id, {_PAGE_TITLE} AS title FROM pages")
+def page_title_extract(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"))
+
+
+@register("page_text_extract", f"SELECT page_id, trim(regexp_replace({_ENTITY.format(_PAGE_BODY)}, '\\s+', ' ', 'g')) AS text FROM pages")
+def page_text_extract(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
+
+
+@register("content_hash_duplicates", r"""WITH h AS (SELECT doc_id, sha1(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS content_hash FROM documents)
+    SELECT doc_id, content_hash, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY content_hash) THEN min(doc_id) OVER (PARTITION BY content_hash) END AS duplicate_of FROM h""")
+def content_hash_duplicates(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("doc_id").alias("place"), content_hash(F.col("text")).alias("content_hash"))
+    return crawl.mark_duplicates(rows).select(F.col("url").alias("doc_id"), "content_hash", "duplicate_of")
+
+
+@register("url_host_allowlist", """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages)
+    SELECT page_id, host, host = 'example.org' OR ends_with(host, '.example.org') OR host = 'ththre.example.com' AS allowed FROM h""")
+def url_host_allowlist(spark, sf_dir):
+    hosts = read(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"))
+    return hosts.withColumn("allowed", host_allowed(F.col("host"), ["*.example.org", "ththre.example.com"]))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, from_url, to_url, position, anchor) of every link of the pages."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", extracted(F.col("html"), F.col("url")).alias("page"))
+    links = pages.select("page_id", F.col("url").alias("from_url"), F.explode("page.links").alias("l"))
+    return links.select("page_id", "from_url", normalized_url(F.col("l.raw_href"), F.col("from_url")).alias("to_url"), F.col("l.position").alias("position"), F.col("l.anchor").alias("anchor"))
+
+
+@register("html_links")
+def html_links(spark, sf_dir):
+    """Every link of every page, resolved and normalised."""
+    return page_links(spark, sf_dir)
+
+
+@register("html_extract")
+def html_extract(spark, sf_dir):
+    """Title, text and counts of every page."""
+    page = extracted(F.col("html"), F.col("url"))
+    rows = read(spark, sf_dir, "pages").select("page_id", page.alias("p"))
+    return rows.select("page_id", "p.title", "p.text", F.size("p.links").alias("n_links"), F.size("p.headings").alias("n_headings"))
+
+
+@register("link_stats", """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+    SELECT count(*) AS edges, count(DISTINCT url) AS sources, count(DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) || href) AS targets FROM l WHERE trim(href) <> ''""")
+def link_stats(spark, sf_dir):
+    return crawl.link_stats(page_links(spark, sf_dir))
+
+
+@register("status_counts", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def status_counts(spark, sf_dir):
+    return crawl.status_counts(read(spark, sf_dir, "events").withColumnRenamed("event_type", "status"))
+
+
+@register("frontier_politeness", """WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages)
+    SELECT page_id, host, (row_number() OVER (PARTITION BY host ORDER BY page_id) - 1) * 1.5::DOUBLE AS ready_at FROM h""")
+def frontier_politeness(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit(0).alias("depth"), F.col("page_id").alias("place"))
+    return crawl.due_times(rows, 1.5).select("page_id", "host", "ready_at")
+
+
+@register("frontier_bfs_order")
+def frontier_bfs_order(spark, sf_dir):
+    """A budgeted crawl of the page store from its first page (the budget is the feature)."""
+    store = read(spark, sf_dir, "pages").select(
+        normalized_url(F.col("url"), F.lit(None).cast("string")).alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.col("url").alias("final_url")
+    )
+    seed = store.agg(F.min("url")).first()[0]
+    state = crawl.crawl(spark, store, crawl.CrawlOptions((seed,), ("*",), max_pages=20, max_depth=2))
+    return state.urls.select("url", "depth", "place", "status")
+
+
+@register("robots_match")
+def robots_match_query(spark, sf_dir):
+    """Whether a fixed robots.txt lets an agent fetch each page."""
+    rules = "User-agent: *\nDisallow: /de/\nAllow: /de/1\nDisallow: /*?page=\n\nUser-agent: other\nDisallow: /\n"
+    path = F.regexp_extract("url", r"^https?://[^/]+([^#]*)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", robots_match(F.lit(rules), F.lit("termloom/1.0"), path).alias("allowed"))
+
+
+@register("snippets")
+def snippets_query(spark, sf_dir):
+    """Snippets of the ten best documents of a search."""
+    best = _ranked(spark, sf_dir, _SEARCH, ranking.Strategy(), 10)
+    rows = best.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    s = snippets(F.col("text"), _TERMS, PLAIN)
+    return rows.select("doc_id", "score", s.alias("s")).select("doc_id", "score", "s.text", "s.matched", "s.source_start", F.size("s.highlights").alias("n_highlights"))
