@@ -31,8 +31,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles), the smallest doc_id."""
-    found = simhash.near_duplicates(docs, shingle=simhash.PIPELINE_SHINGLE)
+    """Of each group of near duplicates, by the SimHash operator's own terms, the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
     return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

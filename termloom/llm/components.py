@@ -3,16 +3,23 @@
 Each step is one aggregation and one join over the edge table, written to the shared folder
 so that the lineage stays short and a lost executor costs only its tasks. The number of
 steps grows with the logarithm of the longest chain. Nothing but two totals per step
-reaches the driver.
+reaches the driver. Edge tables of at most ``ONE_TASK`` rows, a bounded size, are settled by
+one task with a disjoint-set forest instead of steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize
 
+#: Edges that one task may settle: some 100 MB of Python objects.
+ONE_TASK = 300_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Relink each node's neighbours (larger ones, or smaller ones and itself) to its smallest."""
@@ -30,9 +37,32 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, component) for every node of an edge table (u, v): the smallest node reachable."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(root, nodes)), pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, label: str = "components", one_task: int = ONE_TASK) -> DataFrame:
+    """(node, component) for every node of an edge table (u, v) of longs: the smallest node reachable."""
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), label)
+    if now.count() <= one_task:
+        return materialize(now.coalesce(1).mapInArrow(_forest, "node long, component long"), label)
     mark = None
     while True:
         now = materialize(_stars(_stars(now, True), False), label)

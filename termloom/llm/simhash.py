@@ -34,8 +34,6 @@ from termloom.llm.components import components
 
 BITS = 64
 RADIUS = 3
-#: Word shingles of the pipeline stage, where no contract says otherwise.
-PIPELINE_SHINGLE = 5
 #: Shingle hashes held at once while one document's bit counts are summed.
 BLOCK = 65_536
 
