@@ -11,12 +11,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections import ChainMap
 from collections.abc import Callable
 
 import numpy as np
 
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
 #: Units of more bytes are encoded anew each time, so that the store stays small.
 LONGEST_KEPT = 200
 #: White space beyond ASCII. Texts that hold any are encoded whole.
@@ -52,27 +51,27 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(spare)}
 
 
-class UnitEncoder:
-    """Ids of texts under one tokenizer file, as arrays of unsigned integers."""
+class UnitEncoder(dict):
+    """Ids of texts under one tokenizer file, as arrays of unsigned integers.
+
+    The encoder is itself the store from unit to ids; what it lacks is encoded when met."""
 
     def __init__(self, path: str, layout: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.units: Callable[[str], list[bytes]] = {"words": words_units, "spaced": spaced_units}[layout]
         self.spaced = layout == "spaced"
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind, self.code = (np.dtype("u2"), "H") if small else (np.dtype("u4"), "I")
-        self.known: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
         self.alphabet = _byte_alphabet()
 
-    def _encode(self, units: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
+    def _whole(self, unit: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: bytes) -> bytes | None:
         """Ids of a unit that is one run of Latin-1 letters, and so one piece; else None."""
@@ -81,50 +80,37 @@ class UnitEncoder:
         if not bare.isalpha():
             return None
         if letters.isascii():
-            piece = "\u0120" + bare if len(bare) < len(letters) else letters
+            piece = letters.replace(" ", "\u0120")
         elif max(bare) < "\u0100":
             piece = letters.encode().decode("latin1").translate(self.alphabet)
         else:
             return None
         ids = self.words.get(piece)
         if ids is None:
-            ids = self.words[piece] = array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+            ids = self.words[piece] = array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
         return ids
 
-    def _learn(self, units: set[bytes], into: dict[bytes, bytes]) -> None:
-        tails, rest, word_of = self.tails, [], self._word
-        for u in units:
-            word = u.rstrip(TAIL_MARKS)
-            ids = word_of(word)
-            if ids is None:
-                rest.append(u)
-            elif len(word) == len(u):
-                into[u] = ids
-            else:
-                tail = u[len(word) :]
-                if tail not in tails:
-                    tails[tail] = self._encode([tail])[0]
-                into[u] = ids + tails[tail]
-        into.update(zip(rest, self._encode(rest), strict=True))
+    def __missing__(self, unit: bytes) -> bytes:
+        word = unit.rstrip(TAIL_MARKS)
+        ids = self._word(word)
+        if ids is None:
+            ids = self._whole(unit)
+        elif len(word) < len(unit):
+            tail = unit[len(word) :]
+            if tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            ids += self.tails[tail]
+        if len(unit) <= LONGEST_KEPT:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+                self.words.clear()
+                self.tails.clear()
+            self[unit] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.units(t or "") for t in texts]
-        missing: set[bytes] = set()
-        for units in cut:
-            missing.update(set(units).difference(self.known))
-        if len(self.known) + len(missing) > CACHE_UNITS or len(self.words) > CACHE_UNITS:
-            self.known.clear()
-            self.words.clear()
-            self.tails.clear()
-            missing = {u for units in cut for u in units}
-        long = {u for u in missing if len(u) > LONGEST_KEPT}
-        self._learn(missing - long if long else missing, self.known)
-        known = self.known
-        if long:
-            self._learn(long, extra := {})
-            known = ChainMap(known, extra)
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), self.kind) for units in cut]
+        ids_of, units = self.__getitem__, self.units
+        return [np.frombuffer(b"".join(map(ids_of, units(t or ""))), self.kind) for t in texts]
 
 
 def encoder(path: str, layout: str) -> UnitEncoder:
