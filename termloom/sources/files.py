@@ -92,7 +92,7 @@ def read_static_pages(spark: SparkSession, folder: str) -> DataFrame:
     with their SHA-256; a page that is missing or has another hash fails."""
     listed = spark.read.schema("id string, file string, title string, url string, sha256 string").json(f"{folder}/documents.jsonl")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(folder)
-    files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("html"))
     joined = listed.withColumn("name", F.regexp_extract("file", r"([^/]+)$", 1)).join(files, "name", "left")
     ok = F.when(F.col("hash").eqNullSafe(F.col("sha256")), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("wrong or missing file "), "file")).cast("string"))
     title = F.when(page_title(F.col("html")) != "", page_title(F.col("html"))).otherwise(F.col("title"))
