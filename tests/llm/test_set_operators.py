@@ -256,7 +256,11 @@ def test_store_notices_damage(spark, odd, files):
 def test_chunks_depend_on_content_alone():
     rnd = np.random.default_rng(1)
     body = rnd.integers(0, 40_000, 20_000).astype("u2")
-    cut = lambda ids: {ids[a:b].tobytes() for a, b in zip([0, *(e := token_store.chunk_ends(ids))], e, strict=False)}
+
+    def cut(ids):
+        ends = token_store.chunk_ends(ids)
+        return {ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)}
+
     one, two = cut(body), cut(np.r_[body[:50], body[70:]])
     assert len(one & two) > 0.8 * len(one)
     for n in (1, 64, 65, 5000, 20_000):
