@@ -70,4 +70,6 @@ def components(edges: DataFrame, label: str = "components", one_task: int = ONE_
         if tuple(row) == mark:
             break
         mark = tuple(row)
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return named.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
