@@ -1,9 +1,9 @@
 """Encoding with tokenizer files of the ``tokenizers`` library, each distinct word once.
 
 Both supported layouts cut a text into pieces that are encoded on their own, and no piece
-crosses the places where ``split_units`` cuts, so encoding the units one by one gives the
-ids of the whole text. Workers keep the ids of units that they have seen; the store is
-bounded and simply starts anew when full.
+crosses the places where texts are split into units here, so encoding the units one by one
+gives the ids of the whole text. A batch's units are told apart by Arrow; workers keep the
+ids of units that they have met; the store is bounded and starts anew when full.
 """
 
 from __future__ import annotations
@@ -11,38 +11,23 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_UNITS = 1_000_000
-#: Units of more bytes are encoded anew each time, so that the store stays small.
+#: Units of more characters are encoded anew each time, so that the store stays small.
 LONGEST_KEPT = 200
-#: White space beyond ASCII. Texts that hold any are encoded whole.
+#: Marks that both layouts keep together as one piece after a word.
+TAIL_MARKS = ".,;:!?*$%&#|"
+#: White space beyond ASCII.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_SPACED = re.compile(
-    rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?=[ \t\n\r\x0b\x0c][^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
-)
+#: ASCII white space that isn't a single space or newline between words.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 _loaded: dict[tuple[str, str], UnitEncoder] = {}
 
 
-def words_units(text: str) -> list[bytes]:
-    """For layouts that drop white space: runs between ASCII white space."""
-    return text.encode("utf-8", "replace").split()
-
-
-def spaced_units(text: str) -> list[bytes]:
-    """For byte-level layouts: words with the space before them, and runs of white space
-    without the last character where a word follows."""
-    if not text.isascii() and _WIDE_SPACE.search(text):
-        return [text.encode("utf-8", "replace")]
-    return _SPACED.findall(text.encode("utf-8", "replace"))
-
-
-#: ASCII marks that both layouts keep together as one piece after a word.
-TAIL_MARKS = b".,;:!?*$%&#|"
-
-
 def _byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1
     characters stand for themselves and the others for U+0100 onwards, in order."""
@@ -51,66 +36,117 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(spare)}
 
 
-class UnitEncoder(dict):
-    """Ids of texts under one tokenizer file, as arrays of unsigned integers.
+def _uneven(text: str) -> bool:
+    """Whether words are apart by anything but single spaces and newlines."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
+        return True
+    return not text.isascii() and _WIDE_SPACE.search(text) is not None
 
-    The encoder is itself the store from unit to ids; what it lacks is encoded when met."""
 
-    def __init__(self, path: str, layout: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class _Store(dict):
+    """Unit to ids. ``lead`` is the space before every unit, or nothing."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.units: Callable[[str], list[bytes]] = {"words": words_units, "spaced": spaced_units}[layout]
-        self.spaced = layout == "spaced"
-        small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.kind, self.code = (np.dtype("u2"), "H") if small else (np.dtype("u4"), "I")
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+    def __init__(self, tokenizer, code: str, lower: bool, lead: str):
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.code, self.lower, self.lead, self.mark = code, lower, lead, lead.replace(" ", "\u0120")
         self.alphabet = _byte_alphabet()
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
-    def _whole(self, unit: bytes) -> bytes:
-        return array(self.code, self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: bytes) -> bytes | None:
-        """Ids of a unit that is one run of Latin-1 letters, and so one piece; else None."""
-        letters = word.decode() if self.spaced else word.decode().lower()
-        bare = letters[1:] if letters[:1] == " " else letters
-        if not bare.isalpha():
-            return None
-        if letters.isascii():
-            piece = letters.replace(" ", "\u0120")
-        elif max(bare) < "\u0100":
-            piece = letters.encode().decode("latin1").translate(self.alphabet)
-        else:
-            return None
-        ids = self.words.get(piece)
-        if ids is None:
-            ids = self.words[piece] = array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
-        return ids
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, unit: bytes) -> bytes:
+    def __missing__(self, unit: str) -> bytes:
         word = unit.rstrip(TAIL_MARKS)
-        ids = self._word(word)
-        if ids is None:
-            ids = self._whole(unit)
-        elif len(word) < len(unit):
+        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
+            # a run of Latin-1 letters is one piece, and the marks after it are another
+            ids = self.words.get(word)
+            if ids is None:
+                piece = word.lower() if self.lower else word
+                if not piece.isascii():
+                    piece = piece.encode().decode("latin1").translate(self.alphabet)
+                ids = self.words[word] = array(self.code, [t.id for t in self.tokenize(self.mark + piece)]).tobytes()
+            if len(word) == len(unit):
+                return ids  # kept among the words
             tail = unit[len(word) :]
             if tail not in self.tails:
-                self.tails[tail] = self._whole(tail)
+                self.tails[tail] = self.whole(tail)
             ids += self.tails[tail]
+        else:
+            ids = self.whole(self.lead + unit)
         if len(unit) <= LONGEST_KEPT:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-                self.words.clear()
-                self.tails.clear()
             self[unit] = ids
         return ids
 
+    def bound(self) -> None:
+        if len(self) + len(self.words) > CACHE_UNITS:
+            self.clear()
+            self.words.clear()
+            self.tails.clear()
+
+
+class UnitEncoder:
+    """Ids of texts under one tokenizer file, as arrays of unsigned integers.
+
+    ``layout`` is "words" where the file drops white space, and "spaced" for byte-level
+    files, where a word is one piece with the space before it."""
+
+    def __init__(self, path: str, layout: str):
+        if layout not in ("words", "spaced"):
+            raise ValueError(f"unknown layout {layout}")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.spaced = layout == "spaced"
+        self.kind, code = (np.dtype("u2"), "H") if tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("u4"), "I")
+        self.store = _Store(tokenizer, code, not self.spaced, " " if self.spaced else "")
+        self.bare = _Store(tokenizer, code, not self.spaced, "")
+
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Codes of the texts' units in a row, the ids of each code, and the texts' ends."""
+        if self.spaced:
+            # a newline is a unit of its own, and the word after it has no space before it
+            split = pc.split_pattern(pa.array([t.replace("\n", " \n ") for t in texts], pa.large_string()), " ")
+        else:
+            split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        ends = split.offsets.to_numpy()
+        flat = split.flatten().dictionary_encode()
+        codes, units = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
+        words, other = self.store.words.get, self.store.__getitem__
+        ids = [words(u) or other(u) for u in units]
+        if self.spaced:
+            bare = np.zeros(len(codes), bool)
+            bare[ends[:-1][ends[:-1] < len(codes)]] = True
+            if "\n" in units:
+                line = codes == units.index("\n")
+                bare |= line
+                bare[1:] |= line[:-1]
+            some = np.unique(codes[bare])
+            codes[bare] = len(units) + np.searchsorted(some, codes[bare])
+            words, other = self.bare.words.get, self.bare.__getitem__
+            ids += [words(u) or other(u) for u in map(units.__getitem__, some.tolist())]
+        return codes, ids, ends
+
+    def _even(self, texts: list[str]) -> list[np.ndarray]:
+        codes, found, ends = self._units(texts)
+        ids = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        first = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        stops = np.cumsum(n)
+        out = ids[np.repeat(first[codes] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
+        at = np.r_[0, stops][ends]
+        return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        ids_of, units = self.__getitem__, self.units
-        return [np.frombuffer(b"".join(map(ids_of, units(t or ""))), self.kind) for t in texts]
+        """The ids of each whole text; null counts as empty."""
+        texts = [t or "" for t in texts]
+        apart = {i for i, t in enumerate(texts) if not t or self.spaced and _uneven(t)}
+        self.store.bound()
+        self.bare.bound()
+        even = iter(self._even([t for i, t in enumerate(texts) if i not in apart]))
+        return [np.frombuffer(self.store.whole(t), self.kind) if i in apart else next(even) for i, t in enumerate(texts)]
 
 
 def encoder(path: str, layout: str) -> UnitEncoder:
