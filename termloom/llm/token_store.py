@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import materialize, small_batches
 from termloom.llm.tokenization import encoder
 
-MIN_CHUNK, MASK_BITS, MAX_CHUNK, ROLL = 64, 9, 4096, 8
+MIN_CHUNK, MASK_BITS, MAX_CHUNK, ROLL = 64, 10, 8192, 8
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 CRC_POLYNOMIAL = 0xEDB88320  # fixed value: the reflected polynomial of CRC-32
 
