@@ -91,7 +91,7 @@ def due_times(frontier: DataFrame, delay: float) -> DataFrame:
     return hosts.withColumn("ready_at", (F.row_number().over(per_host) - 1) * F.lit(float(delay)))
 
 
-def _robots_rules(spark: SparkSession, store: DataFrame, origins: DataFrame, agent: str, urls: DataFrame) -> DataFrame:
+def _robots_rules(store: DataFrame, agent: str, urls: DataFrame) -> DataFrame:
     """urls with ``allowed`` by the robots.txt of their origin in the store."""
     texts = store.select(F.col("url").alias("robots_url"), F.col("status").alias("robots_status"), F.col("body").alias("robots_body"))
     joined = urls.withColumn("robots_url", F.concat(F.regexp_extract("url", r"^(https?://[^/]+)", 1), F.lit("/robots.txt"))).join(texts, "robots_url", "left")
@@ -125,7 +125,7 @@ def crawl(spark: SparkSession, store: DataFrame, options: CrawlOptions, resume:
         level = urls.where("status = 'pending'").agg(F.min("depth")).first()[0]
         if level is None:
             break
-        now = cut(_robots_rules(spark, store, urls, options.user_agent, urls.where((F.col("status") == "pending") & (F.col("depth") == level))))
+        now = cut(_robots_rules(store, options.user_agent, urls.where((F.col("status") == "pending") & (F.col("depth") == level))))
         open_now = now.where("allowed").orderBy("place").limit(options.max_pages - tried)
         met = open_now.join(store.withColumnRenamed("status", "code"), "url", "left")
         kind = F.lower(F.trim(F.split(F.coalesce("content_type", F.lit("")), ";")[0]))

@@ -8,7 +8,7 @@ from termloom.functions.analysis import AnalysisConfig
 from termloom.operators import fuzzy, graph, ranking, retrieval
 from termloom.operators.evaluation import corrupt, per_query, summary
 from termloom.operators.index import Index, build_index, length_distribution
-from termloom.plans.query import Node, analyzed, parse
+from termloom.plans.query import analyzed, parse
 
 PLAIN = AnalysisConfig("none", "none")
 
