@@ -3,9 +3,8 @@
 Both models are character n-gram models of the same order, smoothing and vocabulary: the
 most frequent folded characters over all documents, a boundary and one symbol for the rest.
 The background model is counted over all documents, the target model over the documents
-labelled good outside the held-out fold (at most ``TARGET_DOCUMENTS`` of them, the first by
-a hash of their ids: the seed set of the selection, so that its ids may be broadcast). A
-document's score is the mean over its characters of the target's loss less the
+labelled good outside the held-out fold, all of them: their ids are joined, not broadcast,
+so the target's counts grow with the corpus as the background's do. A document's score is the mean over its characters of the target's loss less the
 background's, with the sign turned: higher is closer to the target.
 
 Tasks count into tables of ``VOCABULARY ** ORDER`` cells, so what a task holds and what is
@@ -31,7 +30,6 @@ from termloom.llm.common import held_out, materialize, small_batches
 
 ORDER = 4
 VOCABULARY = 56
-TARGET_DOCUMENTS = 20_000
 SMOOTHING = 5.0
 BOUNDARY, UNKNOWN = 0, 1
 _FLUSH = 4_000_000
@@ -151,14 +149,14 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, order: int, size: i
 _models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, order: int = ORDER, size: int = VOCABULARY, target_documents: int = TARGET_DOCUMENTS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, order: int = ORDER, size: int = VOCABULARY) -> DataFrame:
     """One row per input row: doc_id, n_tokens, target_loss, background_loss, score."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    seed = F.broadcast(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_documents).withColumn("chosen", F.lit(True)))
+    marked = docs.select("doc_id", "text").join(good.withColumn("chosen", F.lit(True)), "doc_id", "left")
     symbol_of = vocabulary(docs, size)
-    counts = materialize(count_grams(docs.select("doc_id", "text").join(seed, "doc_id", "left"), symbol_of, order, size), "lm-counts")
+    counts = materialize(count_grams(marked, symbol_of, order, size), "lm-counts")
     sparse = counts.toArrow()  # at most size ** order rows
     model = [sparse.column(c).to_numpy() for c in ("gram", "target", "background")]
     shared = spark.sparkContext.broadcast((symbol_of, *model))

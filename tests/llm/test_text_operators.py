@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from termloom.llm import chat, html_extract, lm_score, quality, toxicity
 from termloom.llm.entries import QUERIES
@@ -169,6 +171,17 @@ def test_scores_follow_brute_force(spark):
         assert (got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]) == pytest.approx((*loss, loss[1] - loss[0]), abs=1e-4)
 
 
+def test_every_good_document_is_a_target(spark):
+    # more good documents than once were counted; those last by the hash of their ids hold the only b
+    rank = Window.orderBy(F.xxhash64("id"), "id")
+    ids = spark.range(33_000).where("crc32(cast(cast(id as string) as binary)) % 3 != 1")
+    docs = ids.select(F.col("id").alias("doc_id"), F.when(F.row_number().over(rank) > 20_000, "b").otherwise("a").alias("text"))
+    b = docs.where("text = 'b'").count()
+    got = lm_score.cross_entropy_difference(docs, docs.select("doc_id", F.lit(1).alias("quality")), order=2, size=4)
+    loss = got.join(docs.where("text = 'b'"), "doc_id").agg(F.min("target_loss"), F.max("target_loss")).first()
+    assert b > 1000 and list(loss) == pytest.approx([-np.log(b / (b + 20_000))] * 2, abs=1e-2)
+
+
 SCHEMA = {"add": {"type": "object", "properties": {"a": {"type": "integer", "minimum": 0}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["a"], "additionalProperties": False}}
 MESSAGES = "conv_id long, turn long, role string, text string, call_id string, name string, depends_on array<string>, line string"
 
