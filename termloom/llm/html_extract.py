@@ -5,7 +5,8 @@ each with its text, the number of tags met in it and the region (nearest article
 section or division) it stands in. Content is where text outweighs markup: the text-to-tag
 ratio of the lines is smoothed with a Gaussian along the page, lines are clustered into high
 and low by a threshold between the two groups' means, and the regions that hold the high
-lines are the content. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
+lines are the content, however long they or others are; where the groups lie near each other
+all regions are. An article or main element adds weight to its lines and decides nothing. Lines in menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments never count, by element and by class, id or role.
 Within a content region every line is kept, short ones too.
 
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from termloom.llm.common import small_batches
 
 SIGMA = 1.5
+#: In logarithms of characters a tag: what an article or main element adds, and how far apart text and markup are.
+STRONG_WEIGHT, LEAST_GAP = 1.0, 2.0
 
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +42,7 @@ BLOCKS = frozenset(
 )
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video".split())
 BOILERPLATE = frozenset("nav header footer aside form button select textarea label input menu dialog".split())
-REGIONS = frozenset("article main section div body td blockquote".split())
+REGIONS = frozenset("article main section div body td".split())
 STRONG_REGIONS = frozenset("article main".split())
 #: Names in class, id and role that mark what isn't the article.
 MARKED = frozenset(
@@ -109,8 +112,10 @@ class LineReader(HTMLParser):
         self.open.append((tag, dropped))
         self.dropped += dropped
         if tag in REGIONS:
+            region, strong = self.regions[-1]
             self.count += 1
-            self.regions.append((self.count, tag in STRONG_REGIONS or self.regions[-1][1]))
+            # cells of an article's table are the article's own; elsewhere a cell may lay out the page
+            self.regions.append((region if tag == "td" and strong else self.count, strong or tag in STRONG_REGIONS))
 
     def _pop(self) -> str:
         tag, dropped = self.open.pop()
@@ -157,8 +162,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def threshold(values: np.ndarray) -> float:
-    """The point midway between the means of two clusters, found by repeated assignment."""
-    cut = float(values.mean())
+    """The point midway between the means of two clusters, found by repeated assignment;
+    the least value where the clusters are too near each other to be two kinds."""
+    cut = float(values.min() + values.max()) / 2
     for _ in range(20):
         high, low = values[values >= cut], values[values < cut]
         if not len(high) or not len(low):
@@ -167,6 +173,8 @@ def threshold(values: np.ndarray) -> float:
         if abs(moved - cut) < 1e-9:
             break
         cut = moved
+    if not len(high) or not len(low) or high.mean() - low.mean() < LEAST_GAP:
+        return float(values.min())
     return cut
 
 
@@ -178,18 +186,14 @@ def main_lines(html: str | None) -> list[str]:
     lines = reader.lines
     if not lines:
         return []
-    strong = any(s for *_, s in lines)
-    lines = [x for x in lines if x[3]] if strong else lines
     # the ratio of a line, in logarithms, so that one long paragraph does not hide the others
     density = smoothed(np.log1p(np.array([len(t) / max(1, tags) for t, tags, *_ in lines])))
-    mass: dict[int, float] = {}
+    density += STRONG_WEIGHT * np.array([strong for *_, strong in lines])
     peak: dict[int, float] = {}
-    for (text, _, region, _), d in zip(lines, density.tolist(), strict=True):
-        mass[region] = mass.get(region, 0.0) + len(text)
-        peak[region] = max(peak.get(region, 0.0), d)
+    for (_, _, region, _), d in zip(lines, density.tolist(), strict=True):
+        peak[region] = max(peak.get(region, d), d)
     cut = threshold(np.array(list(peak.values())))
-    most = max(mass.values())
-    kept = {r for r in mass if strong or peak[r] >= cut and mass[r] * 20 >= most or mass[r] * 2 >= most}
+    kept = {r for r, d in peak.items() if d >= cut}
     return [t for t, _, r, _ in lines if r in kept]
 
 

@@ -100,6 +100,17 @@ def test_extraction_by_density_alone():
     assert len(got) == 6 and all(line.startswith("A long") for line in got)
 
 
+PROSE = "".join(f"<p>{'A long sentence of the article that goes on and on. ' * 4}{i}</p>" for i in range(6))
+
+
+def test_density_decides_on_pages_with_an_article():
+    links = "".join(f"<a href='/{i}'>item {i}</a><br><a href='/x'>y</a><hr>" for i in range(12))
+    got = html_extract.main_lines(f"<article><div>{links}</div>{PROSE}<p>Short.</p><table><tr><td>12<td>34</table></article>")
+    assert [g for g in got if not g.startswith("A long")] == ["Short.", "12", "34"] and len(got) == 9
+    # text beside an article that holds little is found as well
+    assert len(html_extract.main_lines(f"<article><p>Read on for the whole story.</p></article><div>{PROSE}</div>")) >= 6
+
+
 @needs_tables
 def test_pages_hold_their_article(spark):
     import re
