@@ -111,6 +111,12 @@ def test_density_decides_on_pages_with_an_article():
     assert len(html_extract.main_lines(f"<article><p>Read on for the whole story.</p></article><div>{PROSE}</div>")) >= 6
 
 
+def test_a_long_block_hides_no_short_section():
+    short = "<section><p>A section of some forty characters here.</p></section>"
+    got = html_extract.main_lines(f"<body>{short}<div>{PROSE * 50}</div>{short}<section>Brief.</section></body>")
+    assert len(got) == 303 and got[-1] == "Brief."
+
+
 @needs_tables
 def test_pages_hold_their_article(spark):
     import re
