@@ -3,6 +3,7 @@
 import json
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -199,6 +200,33 @@ def test_every_good_document_is_a_target(spark):
     assert b > 1000 and list(loss) == pytest.approx([-np.log(b / (b + 20_000))] * 2, abs=1e-2)
 
 
+def test_no_character_is_left_out_of_the_models(spark):
+    # more characters than once were told apart, some of them above the basic plane, rare scripts among Latin
+    latin = "".join(map(chr, range(97, 123))) + "0123456789.,;:!?()-+*/=%&$#@<>[]{}"
+    rows = [(i, latin * 3) for i in range(20)] + [(101, "жизнь"), (102, "ничто"), (103, "\U0001d538\U0001d539"), (104, "\U0001d539\U0001d538"), (105, "жизнь")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, good, block=200).collect()}
+    assert len(got) == len(rows) and got[101]["background_loss"] < got[102]["background_loss"]
+    assert got[101]["score"] == got[105]["score"]
+    # the same against brute force, with blocks of one document and more
+    chosen, order, k = {i for i, _ in rows if not held_out(i)}, lm_score.ORDER, lm_score.SMOOTHING
+    size = len(set("".join(t for _, t in rows).lower())) + 2
+    grams = {i: ["".join(p) for p in zip(*(("\0" * 3 + t)[n:] for n in range(order)), strict=False)] for i, t in rows}
+    sides = []
+    for ids in (chosen, set(grams)):
+        seen = [Counter(g[order - n :] for i in ids for g in grams[i]) for n in range(1, order + 1)]
+        before = [Counter(g[order - n : -1] for i in ids for g in grams[i]) for n in range(1, order + 1)]
+
+        def p(g, n=order, seen=seen, before=before):
+            g = g[-n:]
+            return (seen[n - 1][g] + k * (p(g, n - 1) if n > 1 else 1 / size)) / (before[n - 1][g[:-1]] + k)
+
+        sides.append({i: -np.mean([np.log(p(g)) for g in gs]) for i, gs in grams.items()})
+    for i, _ in rows:
+        assert (got[i]["target_loss"], got[i]["background_loss"]) == pytest.approx((sides[0][i], sides[1][i]), abs=1e-9)
+
+
 SCHEMA = {"add": {"type": "object", "properties": {"a": {"type": "integer", "minimum": 0}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["a"], "additionalProperties": False}}
 MESSAGES = "conv_id long, turn long, role string, text string, call_id string, name string, depends_on array<string>, line string"
 
