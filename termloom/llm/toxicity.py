@@ -5,7 +5,9 @@ repeated. A token with such traces spans a lattice of what its characters may st
 a Viterbi search finds the most likely original under a character trigram model counted over
 all documents, with a cost for each act of the channel. Other tokens have a single path
 through their lattice and stand for themselves, so the whole text is restored but only the
-doubtful tokens are searched; each worker keeps what it has decoded.
+doubtful tokens are searched; each worker keeps what it has decoded. Spaces are in the
+lattice as well: each may be kept or dropped, and the words of the best path are scored
+beside the tokens; runs of pieces of one or two letters are searched as one stretch.
 
 The scorer is learned from labelled rows outside the held-out fold (at most
 ``TRAINING_ROWS``, the first by a hash of their ids): words and word beginnings with the
@@ -19,11 +21,13 @@ repeated rows get a row each; empty tables give no rows; other columns are ignor
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,8 @@ KNOWN_TOKENS = 400_000
 LM_ORDER, LM_SIZE = 3, 64
 PREFIXES = (4, 5, 6, 7)
 LEAST_TOXIC, LEAST_ODDS = 4, 1.5
+#: Letters looked at from each letter of a spelled run; features end at the longest of PREFIXES.
+SPELLED = 24
 
 #: Letters that a digit or sign stands for.
 STANDS_FOR = {
@@ -53,11 +59,28 @@ _EDGES = re.compile(r"^(?:[^\w$@!]|!(?!\w))+|[^\w]+$")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 
+class Gaps(dict):
+    """Whether the best path drops the space between two tokens of two letters or more, by the
+    last two letters of one and the first two of the other: those fix the states on both
+    sides, so each such space is decided by itself."""
+
+    def __init__(self, restorer: Restorer):
+        self.restorer = restorer
+
+    def __missing__(self, ends: str) -> bool:
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        self[ends] = dropped = len(ends) == 4 and ends.isalpha() and self.restorer.drops_space(ends)
+        return dropped
+
+
 class Restorer:
     """Decodes lower-case tokens under a trigram model given as log probabilities."""
 
     def __init__(self, symbol_of: np.ndarray, logs: np.ndarray, size: int = LM_SIZE):
         self.symbol_of, self.logs, self.size = symbol_of, logs.tolist(), size
+        self.gaps = Gaps(self)
+        self.runs: dict[str, list[str]] = {}
 
     def _symbol(self, c: str) -> int:
         return int(self.symbol_of[min(ord(c), 1 << 16)])
@@ -69,7 +92,13 @@ class Restorer:
         """The most likely original of a token."""
         logs, size = self.logs, self.size
         paths: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        settled: list[str] = []
         for i, c in enumerate(token):
+            if i % 256 == 255:
+                # what all paths begin with is decided; long tokens are decoded as a stream
+                begun = os.path.commonprefix([t for _, t in paths.values()])
+                settled.append(begun)
+                paths = {k: (v, t[len(begun) :]) for k, (v, t) in paths.items()}
             again = i > 0 and token[i - 1] == c
             choices: list[tuple[str, float]] = [(c, 0.0)]
             choices += [(letter, -ACT_COST) for letter in STANDS_FOR.get(c, "")]
@@ -89,32 +118,69 @@ class Restorer:
             paths = step
         # a space ends the word: words that stop where words stop are likelier
         space = self._symbol(" ")
-        return max((v + logs[(a * size + b) * size + space], t) for (a, b, _), (v, t) in paths.items())[1]
+        return "".join(settled) + max((v + logs[(a * size + b) * size + space], t) for (a, b, _), (v, t) in paths.items())[1]
 
     def restored(self, token: str) -> str:
-        core = _EDGES.sub("", token)
-        return self.decode(core[:400]) + core[400:] if self.doubtful(core) else core
+        core = token if token.isalpha() else _EDGES.sub("", token)
+        return self.decode(core) if self.doubtful(core) else core
 
     def words(self, text: str | None) -> list[str]:
-        """The restored tokens of a whole text; runs of single characters are joined too."""
+        """The restored tokens of a whole text, and the words found across its spaces."""
         tokens = (text or "").lower().split()
-        return tokens + self.joined(tokens)
-
-    @staticmethod
-    def joined(tokens: list[str]) -> list[str]:
+        return tokens + self.across(tokens)
+
+    def drops_space(self, ends: str) -> bool:
+        a, b, c, d = map(self._symbol, ends)
+        space, logs, n = self._symbol(" "), self.logs, self.size
+        kept = logs[(a * n + b) * n + space] + logs[(b * n + space) * n + c] + logs[(space * n + c) * n + d]
+        return logs[(a * n + b) * n + c] + logs[(b * n + c) * n + d] - ACT_COST / 2 > kept
+
+    def across(self, tokens: list[str]) -> list[str]:
+        """Words that spaces break: every space of the text may be kept or dropped."""
+        out: list[str] = []
+        gaps = self.gaps
+        heads, tails = [t[:2] for t in tokens], [t[-2:] for t in tokens]
+        joins = [gaps[e] for e in map(add, tails, heads[1:])]
+        if True in joins:
+            word = ""
+            for i in [i for i, j in enumerate(joins) if j]:
+                word = word or tokens[i]
+                word += tokens[i + 1]
+                if i + 1 == len(joins) or not joins[i + 1]:
+                    out.append(word)
+                    word = ""
         sizes = list(map(len, tokens))
-        if sizes.count(1) < 3:
-            return []
-        out, at = [], 0
-        for single, run in groupby(sizes, (1).__eq__):
-            n = len(list(run))
-            if single and n >= 3:
-                run_text = "".join(tokens[at : at + n])
-                # a spelled word has more than two letters; the first may be a word of its own
-                out += [] if len(set(run_text)) < 3 else [run_text, run_text[1:]]
-            at += n
+        if 1 in sizes:
+            at = 0
+            for short, run in groupby(sizes, (2).__ge__):
+                n = len(list(run))
+                if short and n >= 3:
+                    out += self.spelled(tokens[at : at + n])
+                at += n
         return out
 
+    def spelled(self, pieces: list[str]) -> list[str]:
+        """Words in a run of pieces of one or two letters: those of the best path, and, as a run
+        spelled letter by letter does not tell where words begin, what begins at each letter."""
+        sizes = list(map(len, pieces))
+        if 1 not in sizes:
+            return []
+        run = " ".join(pieces)
+        if run not in self.runs:
+            if len(self.runs) >= KNOWN_TOKENS // 10:
+                self.runs.clear()
+            found = [w for w in self.decode(run).split() if w not in pieces]
+            at = 0
+            for single, part in groupby(sizes, (1).__eq__):
+                n = len(list(part))
+                if single and n >= 3:
+                    letters = "".join(pieces[at : at + n])
+                    found += [letters[i : i + k] for i in range(n - 2) for k in (3, SPELLED) if k == 3 or i + 3 < n]
+                    found.append(letters)
+                at += n
+            self.runs[run] = list(dict.fromkeys(found))
+        return self.runs[run]
+
 
 def features(word: str) -> list[str]:
     return ["=" + word] + ["^" + word[:k] for k in PREFIXES if len(word) > k]
@@ -128,7 +194,13 @@ class Weigher(dict):
 
     def __missing__(self, token: str) -> float:
         word = self.restorer.restored(token)
-        weight = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
+        # the strongest of features(word)
+        get, n = self.lexicon.get, len(word)
+        weight = get("=" + word, 0.0)
+        for k in PREFIXES:
+            if n <= k:
+                break
+            weight = max(weight, get("^" + word[:k], 0.0))
         if weight == 0.0 and len(word) > 5 and not word.isalpha() and any(c in word for c in "/|"):
             weight = max((self[p] for p in re.split(r"[/|]+", word) if p and p != token), default=0.0)
         if len(self) >= KNOWN_TOKENS:

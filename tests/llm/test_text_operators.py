@@ -156,6 +156,16 @@ def test_spaced_letters_are_joined(restorer):
     assert restorer.words("a b") == ["a", "b"] and restorer.words(None) == []
 
 
+def test_words_across_spaces(restorer):
+    assert "idiot" in restorer.words("u r a i d i o t") and {"stupid", "idiot"} <= {w[:k] for w in restorer.words("s t u p i d i d i o t") for k in (5, 6)}
+    assert "ass" in restorer.words("a s s") and "idiot" in restorer.words("id iot") and "stupid" in restorer.words("stu pid")
+
+
+def test_long_tokens_are_decoded_to_their_end(restorer):
+    assert restorer.restored("x" + "1d10t" * 200)[-500:] == "idiot" * 100
+    assert restorer.restored("cl-o-wn" * 100)[-5:] == "clown"
+
+
 def test_language_model_sums_to_one_and_scores_by_hand():
     size, order = 5, 2
     grams, counts = np.array([0 * 5 + 2, 2 * 5 + 3]), np.array([3, 1])
