@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, small_batches
+from termloom.llm.common import materialize, short
 
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -98,7 +98,6 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     ``tool`` are results of ``call_id``, others are plain messages. Returns conv_id, turn,
     role, call_id, kind, status, level, line."""
     kinds = {c: messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    small_batches(messages.sparkSession)
     calls = messages.where(F.col("name").isNotNull())
     level_of = levels(calls.select("conv_id", "call_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
     is_result = (F.col("role") == "tool") & F.col("name").isNull()
@@ -113,7 +112,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     order = ["conv_id", "turn", "role", "text", "call_id", "name", "kind", "has_call", "has_result", "level"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             status, lines, at = [], [], []
             for r in batch.select(["role", "text", "call_id", "name", "kind", "has_call", "has_result", "level"]).to_pylist():
                 record = {"role": r["role"], "content": r["text"] or ""}

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of an Arrow batch handed to Python; documents can be long, so batches stay short.
+#: Rows that Python turns into objects at once; documents can be long.
 ARROW_ROWS = 256
+#: Rows of the batches that go to Python while a table is written; else Spark's limit in bytes holds.
+WRITE_ROWS = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,21 +34,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+@contextmanager
+def _batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the rows of a batch for Python while a table is written; the session's own setting
+    comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(WRITE_ROWS, int(before)) if int(before) > 0 else WRITE_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: this cuts the lineage
     and survives lost executors, whose tasks are simply run again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/termloom/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with _batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches that go to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows, without a copy; Spark bounds its own by bytes, and
+    what Python makes of the rows at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from termloom.llm.common import small_batches
+from termloom.llm.common import short
 
 SIGMA = 1.5
 #: In logarithms of characters a tag: what an article or main element adds, and how far apart text and markup are.
@@ -199,11 +199,10 @@ def main_lines(html: str | None) -> list[str]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             texts = ["\n".join(main_lines(h)) for h in batch.column(2).to_pylist()]
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), counts], names=["page_id", "url", "text", "n_chars"])

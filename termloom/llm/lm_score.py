@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import held_out, materialize, small_batches
+from termloom.llm.common import held_out, materialize, short
 
 ORDER = 4
 #: Characters of a block: what a task holds at once, unless one document is longer.
@@ -64,11 +64,10 @@ def code_points(text: str) -> np.ndarray:
 
 def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     """Symbol of each code point: 0 boundary, 1 unknown, then characters by frequency."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_PLANE + 1, np.int64)
-        for batch in batches:
+        for batch in short(batches):
             total += np.bincount(code_points("".join(t for t in batch.column(0).to_pylist() if t)), minlength=_PLANE + 1)
         merged = np.bincount(FOLDED, weights=total, minlength=_PLANE + 1).astype(np.int64)
         found = np.flatnonzero(merged)
@@ -104,7 +103,6 @@ def gram_codes(seq: np.ndarray, order: int, size: int) -> np.ndarray:
 def count_grams(docs: DataFrame, symbol_of: np.ndarray, order: int, size: int) -> DataFrame:
     """(gram, target, background) over all rows of (text, chosen)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(symbol_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +116,7 @@ def count_grams(docs: DataFrame, symbol_of: np.ndarray, order: int, size: int) -
                 held[which].clear()
 
         waiting = [0, 0]
-        for batch in batches:
+        for batch in short(batches):
             texts, chosen = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for which in (0, 1):
                 some = [t for t, c in zip(texts, chosen, strict=True) if t and bool(c) == bool(which)]
@@ -207,11 +205,10 @@ def block_grams(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, n
 def blocks_of(docs: DataFrame, block: int) -> DataFrame:
     """The rows with a number of the block they are dealt to, written down."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
+        for batch in short(batches):
             numbers = []
             for n in pc.utf8_length(batch.column(1)).to_pylist():
                 if held and held + (n or 0) > block:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, small_batches
+from termloom.llm.common import materialize, short
 from termloom.llm.tokenization import encoder
 
 CAPACITY = 1024
@@ -48,12 +48,11 @@ def cut_points(n: int, capacity: int) -> list[int]:
 def pieces(docs: DataFrame, tokenizer_path: str, layout: str, end_id: int, capacity: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, place): place ranks the task's pieces of a length."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, layout).encode
         task, places = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in short(batches):
             rows: list[list] = [[] for _ in range(6)]
             owner = []
             for i, ids in enumerate(encode(batch.column(1).to_pylist())):
@@ -125,13 +124,12 @@ def pack(docs: DataFrame, tokenizer_path: str, layout: str, end_id: int, capacit
     runs = np.array(sorted(best_fit_runs(totals, capacity)) or [(0, 0, 0, 0)], np.int64)
     shared = spark.sparkContext.broadcast(runs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(spark, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         # lengths and ranks as one sorted key; ranks stay below 2 ** 50
         keys = table[:, 0] * (1 << 50) + table[:, 1]
-        for batch in batches:
+        for batch in short(batches):
             length = batch.column("length").to_numpy(zero_copy_only=False)
             rank = batch.column("rank").to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, length * (1 << 50) + rank, side="right") - 1

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import held_out, materialize, small_batches
+from termloom.llm.common import held_out, materialize, short
 
 SHRINKAGE = 0.1
 THRESHOLD = 0.5
@@ -109,10 +109,9 @@ def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrinkage: f
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             x = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
 
@@ -140,10 +139,9 @@ def learn(found: DataFrame, labels: DataFrame) -> Discriminant:
 def score(found: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, score) from a table of statistics."""
     kind = found.schema["doc_id"].dataType.simpleString()
-    small_batches(found.sparkSession, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
 
@@ -160,11 +158,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The input rows, with all their columns, that the classifier accepts."""
     model = learn(materialize(document_statistics(docs), "quality-statistics"), labels)
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.scores(x) >= THRESHOLD))
 

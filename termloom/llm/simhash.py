@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, small_batches
+from termloom.llm.common import materialize, short
 from termloom.llm.components import components
 
 BITS = 64
@@ -62,10 +62,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             prints = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             signed = np.array(prints, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "fp"])

@@ -3,19 +3,24 @@
 Each document's ids are cut into chunks where a rolling hash of the last ids says so, so
 equal passages give equal chunks wherever they stand. A chunk is named by its SHA-256 and
 stored once; a document is a recipe, the list of its chunk names, with the root of their
-Merkle tree. Files, all Parquet in the shared folder:
+Merkle tree. Files, all Parquet (zstd) in the shared folder:
 
-* ``kind=0`` (chunks): name, payload (little-endian ids, 2 or 4 bytes each);
+* ``kind=0`` (chunks): name, number of ids, payload (little-endian ids, 2 or 4 bytes each);
 * ``kind=1`` (recipes): doc_id, number of ids, chunk names, Merkle root;
-* recipes in ascending doc_id order with the first position of each document, in parts that
-  are ranges of doc_id, and a manifest with each part's totals and Merkle root.
+* the recipes again in ascending doc_id order, in parts that are ranges of (doc_id, root,
+  row), with each document's place and first position in its part;
+* a manifest: of each part its documents, its ids, the ids of all parts before it and the
+  Merkle root over its recipes' roots; and one row, ``part`` -1, with the totals and the root
+  over the parts' roots.
 
-Reading checks every chunk against its name, every recipe against its root, and takes
-checksums from the payloads alone: chunk checksums are combined in order, so the ids of a
-document need not be brought together.
+Reading checks all of it: each chunk against its name and size, each recipe against its root
+and number of ids, each part and the whole against the manifest. Checksums come from the
+payloads alone: chunk checksums are combined in order, so the ids of a document need not be
+brought together.
 
 Chunks that repeat within a task are dropped before the shuffle; each chunk name is owned by
-one task, which keeps its first copy. Both kinds cross one shuffle.
+one task, which keeps its first copy. Both kinds cross one shuffle. Nulls or an id that many
+rows share are spread over parts by root and row.
 
 Defined cases: null and empty texts are the end token alone; rows that repeat a doc_id each
 get their place, ordered by root; a null doc_id comes first; an empty table gives an empty
@@ -31,39 +36,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.common import materialize, small_batches
-from termloom.llm.tokenization import encoder
+from termloom.llm.common import materialize, short
+from termloom.llm.tokenization import encoder, slices
 
-MIN_CHUNK, MASK_BITS, MAX_CHUNK, ROLL = 64, 10, 8192, 8
+MIN_CHUNK, MASK_BITS, MAX_CHUNK, ROLL = 64, 9, 8192, 8
+#: Recipes under one inner node of a part's Merkle tree.
+FANOUT = 1024
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 CRC_POLYNOMIAL = 0xEDB88320  # fixed value: the reflected polynomial of CRC-32
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the last ROLL ids has MASK_BITS zero bits."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
+def chunk_ends(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
+    """Ends of the chunks of documents that follow each other in ``ids`` up to ``bounds``: where
+    the hash of the last ROLL ids has MASK_BITS zero bits. The hash of a place that may end a
+    chunk never reaches back beyond its document, as chunks are longer than ROLL."""
     gear = _GEAR[ids & 0xFFFF]
     rolled = gear.copy()
     for back in range(1, ROLL):
         rolled[back:] += gear[:-back] << np.uint64(back)
     marks = np.flatnonzero(rolled >> np.uint64(64 - MASK_BITS) == 0) + 1
-    ends, last = [], 0
-    for mark in [*marks.tolist(), n]:
-        while mark - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            ends.append(last)
-        if mark - last >= MIN_CHUNK:
-            ends.append(mark)
-            last = mark
-    if last < n:
-        ends.append(n)
-    return ends
+    split = np.searchsorted(marks, bounds, side="left").tolist()
+    marks = marks.tolist()
+    out, last, at = [], 0, 0
+    for bound, upto in zip(bounds, split, strict=True):
+        ends = []
+        for mark in [*marks[at:upto], bound]:
+            while mark - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                ends.append(last)
+            if mark - last >= MIN_CHUNK or mark == bound and last < bound:
+                ends.append(mark)
+                last = mark
+        out.append(ends)
+        last, at = bound, upto
+    return out
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -107,36 +117,47 @@ def crc_join(first: int, second: int, second_bytes: int) -> int:
 def write_store(docs: DataFrame, tokenizer_path: str, layout: str, end_id: int) -> DataFrame:
     """Write chunks and recipes; returns the table of both, split by ``kind``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spark = docs.sparkSession
-    small_batches(spark)
-    names = ["kind", "owner", "doc_id", "n_tokens", "width", "names", "root", "payload"]
-    types = [pa.int32(), pa.binary(), None, pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+    fields = [("kind", pa.int32()), ("owner", pa.binary()), ("doc_id", None), ("row", pa.int64()), ("n_tokens", pa.int64())]
+    fields += [("width", pa.int32()), ("names", pa.list_(pa.binary())), ("root", pa.binary()), ("payload", pa.binary())]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = encoder(tokenizer_path, layout), set()
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            types[2] = batch.schema.field(0).type
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(ids, np.array(end_id, ids.dtype))
-                found, last = [], 0
-                for end in chunk_ends(ids):
-                    payload = ids[last:end].tobytes()
-                    last = end
-                    name = hashlib.sha256(payload).digest()
-                    found.append(name)
+        sha, row = hashlib.sha256, TaskContext.get().partitionId() << 32
+        for batch in slices(batches, 1):
+            doc_ids = batch.column(0)
+            found = tokens.encode(batch.column(1).to_pylist())
+            end = np.array([end_id], tokens.kind)
+            ids = np.concatenate([x for each in found for x in (each, end)])
+            bounds = np.cumsum([len(x) + 1 for x in found]).tolist()
+            width, raw = ids.itemsize, memoryview(ids.view(np.uint8))
+            chunks: tuple[list, list, list] = ([], [], [])  # names, sizes, payloads
+            recipes: tuple[list, list, list] = ([], [], [])  # sizes, names, roots
+            last = 0
+            for bound, ends in zip(bounds, chunk_ends(ids, bounds), strict=True):
+                names, first = [], last
+                for end_at in ends:
+                    payload = raw[width * last : width * end_at]
+                    name = sha(payload).digest()
+                    names.append(name)
                     if name not in seen:
                         seen.add(name)
-                        rows.append((0, name, None, end, ids.itemsize, None, None, squeeze.compress(payload)))
-                root = merkle_root(found)
-                rows.append((1, hashlib.sha256(root + str(doc_id).encode()).digest(), doc_id, len(ids), ids.itemsize, found, root, None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        for column, value in zip(chunks, (name, end_at - last, payload.tobytes()), strict=True):
+                            column.append(value)
+                    last = end_at
+                for column, value in zip(recipes, (bound - first, names, merkle_root(names)), strict=True):
+                    column.append(value)
+            rows = [row + i for i in range(len(found))]
+            row += len(found)
+            owners = [sha(root + i.to_bytes(8, "little")).digest() for i, root in zip(rows, recipes[2], strict=True)]
+            c, r = len(chunks[0]), len(rows)
+            columns = [[0] * c + [1] * r, chunks[0] + owners, None, [None] * c + rows, chunks[1] + recipes[0], [width] * (c + r)]
+            columns += [[None] * c + recipes[1], [None] * c + recipes[2], chunks[2] + [None] * r]
+            arrays = [pa.concat_arrays([pa.nulls(c, doc_ids.type), doc_ids]) if name == "doc_id" else pa.array(x, t) for (name, t), x in zip(fields, columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in short(batches):
             keep = []
             for what, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keep.append(what == 1 or name not in seen)
@@ -144,71 +165,118 @@ def write_store(docs: DataFrame, tokenizer_path: str, layout: str, end_id: int)
                     seen.add(name)
             yield batch.filter(pa.array(keep))
 
-    shape = f"kind int, owner binary, doc_id {kind}, n_tokens long, width int, names array<binary>, root binary, payload binary"
+    shape = f"kind int, owner binary, doc_id {kind}, row long, n_tokens long, width int, names array<binary>, root binary, payload binary"
     rows = docs.select("doc_id", "text").mapInArrow(encode, shape)
-    return materialize(rows.repartition("owner").mapInArrow(own, shape), "token-store", ["kind"])
+    return materialize(rows.repartition("owner").mapInArrow(own, shape), "token-store", ["kind"], codec="zstd")
+
+
+def _grouped_roots(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, docs, root): Merkle roots of groups of at most FANOUT rows (at, n, docs, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches):
+            roots = [merkle_root([x["root"] for x in sorted(part, key=lambda x: x["at"])]) for part in batch.column("held").to_pylist()]
+            columns = [batch.column(c) for c in (*keys, "n", "docs")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(roots, pa.binary())], names=[*keys, "n", "docs", "root"])
+
+    held = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("at", "root")).alias("held"))
+    shape = ", ".join([*(f"{k} long" for k in keys), "n long, docs long, root binary"])
+    return held.select(*keys, "n", "docs", "held").mapInArrow(run, shape)
+
+
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """(part, n, docs, root) of the recipes' parts, by inner nodes of FANOUT recipes each."""
+    at = F.col("place")
+    leaf = recipes.select("part", F.floor(at / FANOUT).alias("node"), at.alias("at"), F.col("n_tokens").alias("n"), F.lit(1).cast("long").alias("docs"), "root")
+    nodes = _grouped_roots(leaf, ["part", "node"])
+    return _grouped_roots(nodes.withColumn("at", F.col("node")), ["part"])
 
 
 def order_recipes(store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Recipes in ascending doc_id order with starts, and the manifest of their parts."""
-    recipes = store.where("kind = 1").select("doc_id", "n_tokens", "width", "names", "root")
-    parts = recipes.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "root")
-    parts = materialize(parts.withColumn("part", F.spark_partition_id()), "token-recipes")
-    totals = parts.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+    """Recipes in ascending doc_id order with their places in their parts, and the manifest."""
+    kind = store.schema["doc_id"].dataType.simpleString()
+    recipes = store.where("kind = 1").select("doc_id", "row", "n_tokens", "names", "root")
+    order = [F.asc_nulls_first("doc_id"), F.asc("root"), F.asc("row")]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place, start = TaskContext.get().partitionId(), 0, 0
+        for batch in short(batches):
+            n = batch.column("n_tokens").to_numpy()
+            starts = start + np.cumsum(n) - n
+            added = [np.full(len(n), part, np.int64), np.arange(place, place + len(n)), starts]
+            place, start = place + len(n), start + int(n.sum())
+            names = ["doc_id", "n_tokens", "names", "root"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, added)], names=[*names, "part", "place", "part_start"])
+
+    shape = f"doc_id {kind}, n_tokens long, names array<binary>, root binary, part long, place long, part_start long"
+    parts = recipes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, shape)
+    parts = materialize(parts, "token-recipes")
+    # one row a part from here on, so window and list are as small as the list of files
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per part, so this window is as small as the list of files
-    manifest = materialize(totals.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "token-manifest")
-    within = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "root").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.join(manifest.select("part", "base"), "part")
-    placed = placed.withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return materialize(placed.drop("base"), "token-index"), manifest
+    found = materialize(part_roots(parts).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "token-parts")
+    return parts, materialize(found.unionByName(_whole(found)), "token-manifest")
+
+
+def _whole(parts: DataFrame) -> DataFrame:
+    """The manifest's row for the whole store, from its rows for parts."""
+    rows = sorted(parts.collect(), key=lambda r: r["part"])
+    total = (-1, sum(r["n"] for r in rows), sum(r["docs"] for r in rows), merkle_root([bytes(r["root"]) for r in rows]), 0)
+    return parts.sparkSession.createDataFrame([total], parts.schema)
+
+
+def verify_manifest(recipes: DataFrame, manifest: DataFrame) -> None:
+    """Raise unless the recipes' parts, and the parts together, are what the manifest says."""
+    listed = manifest.where("part >= 0")
+    found, said = part_roots(recipes).alias("f"), listed.alias("s")
+    same = (F.col("f.n") == F.col("s.n")) & (F.col("f.docs") == F.col("s.docs")) & (F.col("f.root") == F.col("s.root"))
+    wrong = found.join(said, F.col("f.part") == F.col("s.part"), "full").where(~F.coalesce(same, F.lit(False)))
+    if (row := wrong.select(F.coalesce("f.part", "s.part").alias("part")).first()) is not None:
+        raise ValueError(f"part {row['part']} of the recipes is not what the manifest says")
+    if manifest.where("part < 0").collect() != _whole(listed).collect():
+        raise ValueError("the manifest's parts do not hash to its root")
 
 
-def read_store(store: DataFrame, recipes: DataFrame) -> DataFrame:
+def read_store(store: DataFrame, recipes: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per recipe, from the files: doc_id, start, n_tokens, ids_crc32, chunks.
 
-    Raises when a chunk does not hash to its name, a chunk is missing, or a recipe does not
-    hash to its root."""
+    Raises when a chunk does not hash to its name, a chunk is missing, a recipe does not hash
+    to its root or has another number of ids, or parts are not what the manifest says."""
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    small_batches(store.sparkSession)
+    verify_manifest(recipes, manifest)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        for batch in batches:
-            crcs, sizes = [], []
-            for name, width, squeezed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = expand.decompress(squeezed)
-                if hashlib.sha256(payload).digest() != name:
+        for batch in short(batches):
+            crcs = []
+            for name, n, width, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hashlib.sha256(payload).digest() != name or len(payload) != n * width:
                     raise ValueError(f"chunk {name.hex()} does not hash to its name")
-                ids = np.frombuffer(payload, f"<u{width}").astype("<u4")
-                crcs.append(zlib.crc32(ids.tobytes()))
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64())], names=["name", "crc", "n"])
+                crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), batch.column(1)], names=["name", "crc", "n"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crcs, sizes = [], []
-            for root, chunks in zip(batch.column("root").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+        for batch in short(batches):
+            crcs = []
+            for root, said, chunks in zip(*(batch.column(c).to_pylist() for c in ("root", "n_tokens", "chunks")), strict=True):
                 chunks.sort(key=lambda c: c["k"])
-                if merkle_root([c["name"] for c in chunks]) != root:
+                if merkle_root([c["name"] for c in chunks]) != root or sum(c["n"] for c in chunks) != said:
                     raise ValueError(f"recipe {root.hex()} does not hash to its root")
-                crc, size = 0, 0
+                crc = 0
                 for c in chunks:
-                    crc, size = crc_join(crc, c["crc"], 4 * c["n"]), size + c["n"]
+                    crc = crc_join(crc, c["crc"], 4 * c["n"])
                 crcs.append(crc)
-                sizes.append(size)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            columns = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    chunks = store.where("kind = 0").select(F.col("owner").alias("name"), "width", "payload")
+    chunks = store.where("kind = 0").select(F.col("owner").alias("name"), "n_tokens", "width", "payload")
     known = materialize(chunks.mapInArrow(check, "name binary, crc long, n long"), "token-chunks")
-    used = recipes.select("doc_id", "start", "root", F.posexplode("names").alias("k", "name")).join(known, "name", "left")
+    placed = recipes.join(manifest.where("part >= 0").select("part", "base"), "part").withColumn("start", F.col("base") + F.col("part_start"))
+    used = placed.select("doc_id", "start", "n_tokens", "root", F.posexplode("names").alias("k", "name")).join(known, "name", "left")
     used = used.withColumn("crc", F.when(F.col("crc").isNull(), F.raise_error(F.lit("a chunk is missing"))).otherwise(F.col("crc")))
-    whole = used.groupBy("start", "doc_id", "root").agg(F.collect_list(F.struct("k", "name", "crc", "n")).alias("chunks"))
-    return whole.select("doc_id", "start", "root", "chunks").mapInArrow(build, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    whole = used.groupBy("start", "doc_id", "n_tokens", "root").agg(F.collect_list(F.struct("k", "name", "crc", "n")).alias("chunks"))
+    return whole.mapInArrow(build, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, layout: str, end_id: int) -> DataFrame:
     store = write_store(docs, tokenizer_path, layout, end_id)
-    recipes, _ = order_recipes(store)
-    return read_store(store, recipes)
+    recipes, manifest = order_recipes(store)
+    return read_store(store, recipes, manifest)

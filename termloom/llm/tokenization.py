@@ -11,12 +11,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_UNITS = 1_000_000
+from termloom.llm.common import short
+
+CACHE_UNITS = 500_000
 #: Units of more characters are encoded anew each time, so that the store stays small.
 LONGEST_KEPT = 200
 #: Marks that both layouts keep together as one piece after a word.
@@ -25,6 +28,11 @@ TAIL_MARKS = ".,;:!?*$%&#|"
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: ASCII white space that isn't a single space or newline between words.
 _UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: Letters of Latin-1, and a run of them.
+_LATIN = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_LATIN_WORD = f"^[{_LATIN}]+$"
+#: Characters of text that are encoded at once; more of them share more words.
+SLICE = 3_000_000
 _loaded: dict[tuple[str, str], UnitEncoder] = {}
 
 
@@ -44,45 +52,40 @@ def _uneven(text: str) -> bool:
 
 
 class _Store(dict):
-    """Unit to ids. ``lead`` is the space before every unit, or nothing."""
+    """Word, or other unit, to its ids. ``lead`` is the space before every one, or nothing."""
 
     def __init__(self, tokenizer, code: str, lower: bool, lead: str):
         self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.code, self.lower, self.lead, self.mark = code, lower, lead, lead.replace(" ", "\u0120")
         self.alphabet = _byte_alphabet()
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        word = unit.rstrip(TAIL_MARKS)
-        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
-            # a run of Latin-1 letters is one piece, and the marks after it are another
-            ids = self.words.get(word)
-            if ids is None:
-                piece = word.lower() if self.lower else word
-                if not piece.isascii():
-                    piece = piece.encode().decode("latin1").translate(self.alphabet)
-                ids = self.words[word] = array(self.code, [t.id for t in self.tokenize(self.mark + piece)]).tobytes()
-            if len(word) == len(unit):
-                return ids  # kept among the words
-            tail = unit[len(word) :]
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            ids += self.tails[tail]
+        if unit.isalpha() and (unit.isascii() or max(unit) < "\u0100"):
+            # a run of Latin-1 letters is one piece
+            piece = unit.lower() if self.lower else unit
+            if not piece.isascii():
+                piece = piece.encode().decode("latin1").translate(self.alphabet)
+            ids = array(self.code, [t.id for t in self.tokenize(self.mark + piece)]).tobytes()
         else:
             ids = self.whole(self.lead + unit)
         if len(unit) <= LONGEST_KEPT:
             self[unit] = ids
         return ids
 
+    def tail(self, marks: str) -> bytes:
+        """Ids of the marks after a word; they are another piece."""
+        if marks not in self.tails:
+            self.tails[marks] = self.whole(marks)
+        return self.tails[marks]
+
     def bound(self) -> None:
-        if len(self) + len(self.words) > CACHE_UNITS:
+        if len(self) + len(self.tails) > CACHE_UNITS:
             self.clear()
-            self.words.clear()
-            self.tails.clear()
+            self.tails = {"": b""}
 
 
 class UnitEncoder:
@@ -103,40 +106,52 @@ class UnitEncoder:
         self.store = _Store(tokenizer, code, not self.spaced, " " if self.spaced else "")
         self.bare = _Store(tokenizer, code, not self.spaced, "")
 
-    def _units(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Codes of the texts' units in a row, the ids of each code, and the texts' ends."""
+    def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        """Of the texts' units in a row: codes of words and of the marks after them, the words
+        and marks of the codes, and the texts' ends. A unit that isn't Latin-1 letters and
+        marks counts as a word of its own without marks."""
         if self.spaced:
             # a newline is a unit of its own, and the word after it has no space before it
             split = pc.split_pattern(pa.array([t.replace("\n", " \n ") for t in texts], pa.large_string()), " ")
         else:
-            split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        ends = split.offsets.to_numpy()
+            # the file lower-cases anyway; fewer words are to be told apart so
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
         flat = split.flatten().dictionary_encode()
-        codes, units = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
-        words, other = self.store.words.get, self.store.__getitem__
-        ids = [words(u) or other(u) for u in units]
+        codes, units = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        words = pc.utf8_rtrim(units, TAIL_MARKS)
+        plain = pc.match_substring_regex(words, _LATIN_WORD)
+        words = pc.if_else(plain, words, units).dictionary_encode()
+        tails = pc.if_else(plain, pc.utf8_ltrim(units, _LATIN), "").dictionary_encode()
+        word_of, tail_of = (x.indices.to_numpy(zero_copy_only=False) for x in (words, tails))
+        return word_of[codes], tail_of[codes], words.dictionary, tails.dictionary, split.offsets.to_numpy()
+
+    def _even(self, texts: list[str]) -> list[np.ndarray]:
+        codes, tails, words, marks, ends = self._units(texts)
+        words = words.to_pylist()
+        found = list(map(self.store.__getitem__, words))
         if self.spaced:
             bare = np.zeros(len(codes), bool)
             bare[ends[:-1][ends[:-1] < len(codes)]] = True
-            if "\n" in units:
-                line = codes == units.index("\n")
+            if "\n" in words:
+                line = codes == words.index("\n")
                 bare |= line
                 bare[1:] |= line[:-1]
             some = np.unique(codes[bare])
-            codes[bare] = len(units) + np.searchsorted(some, codes[bare])
-            words, other = self.bare.words.get, self.bare.__getitem__
-            ids += [words(u) or other(u) for u in map(units.__getitem__, some.tolist())]
-        return codes, ids, ends
-
-    def _even(self, texts: list[str]) -> list[np.ndarray]:
-        codes, found, ends = self._units(texts)
+            codes[bare] = len(words) + np.searchsorted(some, codes[bare])
+            found += map(self.bare.__getitem__, map(words.__getitem__, some.tolist()))
+        tails = tails + np.int32(len(found))
+        found += map(self.store.tail, marks.to_pylist())
         ids = np.frombuffer(b"".join(found), self.kind)
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
-        first = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        stops = np.cumsum(n)
-        out = ids[np.repeat(first[codes] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)]
-        at = np.r_[0, stops][ends]
+        pieces = np.stack([codes, tails], axis=1).reshape(-1)
+        n = sizes[pieces]
+        # one slice of texts, and its ids, are far below 2 ** 31
+        stops = np.cumsum(n, dtype=np.int32)
+        step = (np.cumsum(sizes, dtype=np.int32) - sizes)[pieces] - (stops - n)
+        step = np.repeat(step, n)
+        step += np.arange(len(step), dtype=np.int32)
+        out = ids[step]
+        at = np.r_[0, stops][2 * ends]
         return [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -149,6 +164,19 @@ class UnitEncoder:
         return [np.frombuffer(self.store.whole(t), self.kind) if i in apart else next(even) for i, t in enumerate(texts)]
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text."""
+    held, n = [], 0
+    for batch in short(batches):
+        held.append(batch)
+        n += batch.column(text).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoder(path: str, layout: str) -> UnitEncoder:
     """The process's encoder for a file; made once per Python worker."""
     if (path, layout) not in _loaded:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm import lm_score
-from termloom.llm.common import held_out, small_batches
+from termloom.llm.common import held_out, short
 
 THRESHOLD = 0.7
 TRAINING_ROWS = 20_000
@@ -262,13 +262,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = docs.join(F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)), "doc_id")
-    small_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(*shared.value)
         known: dict[str, list[str]] = {}
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in short(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for token in set(restorer.words(text)):
@@ -299,7 +298,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = weigher().vector
-        for batch in batches:
+        for batch in short(batches):
             x = pa.array([vector(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([x, batch.column(1)], names=["x", "toxic"])
 
@@ -310,7 +309,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vector = weigher().vector
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(1).to_pylist()
             scores = np.full(len(texts), constant) if model is None else logistic_scores(model, np.array([vector(t) for t in texts]).reshape(len(texts), -1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
