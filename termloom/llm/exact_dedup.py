@@ -1,17 +1,22 @@
 """Exact de-duplication with an extendible-hash index kept in shared Parquet files.
 
-Every text is folded (A-Z to a-z only, null to empty) and hashed to 64 bits. A directory of
-hash prefixes says which bucket owns a key: it starts with one bucket, and while a bucket
-holds more keys than its capacity the bucket is split on the next hash bit, doubling the
-directory when the bucket was as deep as the directory. The directory has at most
-``2 ** max_depth`` slots whatever the input, so it may be broadcast.
-
-Rows with equal texts meet in the hash table of the task that owns their key. That table
-chains texts whose hashes collide and compares their bytes (the text itself is a grouping
-key); equal texts are combined before the shuffle, so a text that a third of all rows share
-crosses it once per input task. The index (bucket, hash, digest, survivor, size) is written
-in bucket order, and every row finds its survivor by a join on hash and digest, which Spark
-may split where one key is hot.
+Every text is folded (A-Z to a-z only, null to empty) and hashed to 64 bits; the distinct
+hashes are the keys. The directory says which bucket owns a key. It begins with one bucket
+for all; a bucket that holds more keys than its capacity is split on the next bit of the
+hash, and the directory doubles whenever a bucket as deep as itself is split. Splitting ends
+when every bucket fits, at any depth: a round counts the keys by prefix, and rounds go on
+under the prefixes that are still too full. The directory is a table of (depth, prefix,
+bucket), where the slots that share a bucket are one row.
+
+Rows then go to the task that owns their bucket, which is a range of keys, and meet there
+in its hash table: keys chain the texts that collide, the texts are compared byte by byte, and
+each text keeps its survivor and size. A key with more rows than ``HOT_ROWS`` is combined
+by input task first, so its owner gets one row from each. The tasks write the index
+(bucket, hash, digest, survivor, size); every row finds its survivor by a join on hash and
+digest, which Spark may split where one key is hot.
+
+The capacity grows with the keys where needed to keep the directory within some 2 ** 17
+rows, and so does the limit for hot keys; both tables are broadcast within that bound.
 
 Defined cases: null text counts as empty; null ``doc_id`` sorts below every id; rows that
 repeat the same id and text all report the same survivor and are all ``kept``; an empty
@@ -20,71 +25,77 @@ table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import ascii_lower, materialize
 
-MAX_DEPTH = 16
-BUCKET_CAPACITY = 65_536
-
-
-def grow_directory(leaf_counts: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[tuple[int, int, int]]]:
-    """Split overfull buckets until all fit or are ``max_depth`` bits deep.
-
-    ``leaf_counts`` maps a ``max_depth``-bit hash prefix to its number of keys. Returns the
-    global depth and, for each slot of the directory, (slot, bucket, local depth); a bucket
-    is named by the first leaf that it covers, so buckets are key ranges in order.
-    """
-    leaves = 1 << max_depth
-    running = [0] * (leaves + 1)
-    for i in range(leaves):
-        running[i + 1] = running[i] + leaf_counts.get(i, 0)
-    depth_of: dict[int, int] = {0: 0}
-    global_depth = 0
-    todo = [0]
-    while todo:
-        first = todo.pop()
-        depth = depth_of[first]
-        width = leaves >> depth
-        if running[first + width] - running[first] <= capacity or depth == max_depth:
-            continue
-        global_depth = max(global_depth, depth + 1)  # the directory doubles here
-        depth_of[first] = depth_of[first + width // 2] = depth + 1
-        todo += [first, first + width // 2]
-    slots, owner = [], 0
-    for slot in range(1 << global_depth):
-        leaf = slot << (max_depth - global_depth)
-        owner = leaf if leaf in depth_of else owner
-        slots.append((slot, owner, depth_of[owner]))
-    return global_depth, slots
-
-
-def exact_duplicates(docs: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+#: Keys of a bucket, and rows of a key that go to its owner as they are.
+BUCKET_CAPACITY, HOT_ROWS = 8_192, 1_000
+#: Buckets and hot keys stay within some two to this power.
+TABLE_BITS = 16
+HASH_BITS = 64
+_ENTRY = "bucket long, depth int, prefix long, keys long"
+
+
+def _prefix(h: Column, depth: int) -> Column:
+    """The first ``depth`` bits of a hash."""
+    return F.shiftrightunsigned(h, HASH_BITS - depth) if depth else F.lit(0).cast("long")
+
+
+def build_directory(keys: DataFrame, capacity: int, n_keys: int) -> DataFrame:
+    """(bucket, depth, prefix, keys) of the buckets that hold the distinct hashes ``h``.
+
+    A bucket is named by the first key of its range."""
+    settled = keys.sparkSession.createDataFrame([], _ENTRY)
+    least, depth = 0, min(HASH_BITS, max(1, -(-n_keys // capacity)).bit_length() + 2)
+    todo = keys.select("h")
+    while True:
+        leaves = materialize(todo.groupBy(_prefix(F.col("h"), depth).alias("leaf")).agg(F.count(F.lit(1)).alias("n")), "exact-leaves")
+        cuts = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("leaf", depth - d).alias("prefix")) for d in range(least, depth + 1)]))
+        spans = leaves.select(cuts.alias("s"), "n").groupBy("s.depth", "s.prefix").agg(F.sum("n").alias("keys"))
+        fits = spans.where(F.col("keys") <= capacity)
+        # what fits already before its last bit was never split
+        whole = fits.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+        buckets = fits.withColumn("parent", F.shiftrightunsigned("prefix", 1)).join(whole, ["depth", "parent"], "left_anti")
+        start = F.expr(f"shiftleft(prefix, {HASH_BITS} - depth)")
+        fresh = buckets.select(F.when(F.col("depth") > 0, start).otherwise(F.lit(0).cast("long")).alias("bucket"), "depth", "prefix", "keys")
+        settled = materialize(settled.unionByName(fresh), "exact-directory")
+        full = leaves.where(F.col("n") > capacity).select("leaf")
+        if full.isEmpty():
+            return settled
+        todo = materialize(todo.withColumn("leaf", _prefix(F.col("h"), depth)).join(full, "leaf", "left_semi").select("h"), "exact-full")
+        least, depth = depth + 1, min(HASH_BITS, depth + 4)
+
+
+def _owned(texts: DataFrame, directory: DataFrame) -> DataFrame:
+    """The rows with the bucket that owns their hash; one look-up for each depth in use."""
+    depths = sorted(r["depth"] for r in directory.select("depth").distinct().collect())  # 65 at most
+    for d in depths:
+        at = directory.where(F.col("depth") == d).select(F.col("prefix").alias(f"prefix_{d}"), F.col("bucket").alias(f"bucket_{d}"))
+        texts = texts.join(F.broadcast(at), _prefix(F.col("h"), d) == F.col(f"prefix_{d}"), "left")
+    bucket = F.coalesce(*[F.col(f"bucket_{d}") for d in depths]) if depths else F.lit(None).cast("long")
+    return texts.select("doc_id", "body", "h", bucket.alias("bucket")).where("bucket is not null")
+
+
+def exact_duplicates(docs: DataFrame, capacity: int = BUCKET_CAPACITY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("body"))
-    digests = materialize(
-        texts.select("doc_id", F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("text_sha256")), "exact-digests"
-    )
-    leaf = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
-    counts = digests.groupBy("h").agg(F.count(F.lit(1)).alias("n")).groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("keys"))
-    depth, slots = grow_directory({r["leaf"]: r["keys"] for r in counts.collect()}, capacity, max_depth)
-    directory = F.broadcast(spark.createDataFrame(slots, "slot int, bucket int, local_depth int"))
-    slot = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
-
-    owned = texts.select("doc_id", "body", F.xxhash64("body").alias("h"))
-    chains = owned.groupBy("h", "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index = chains.select("h", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size", slot.alias("slot"))
-    index = index.join(directory, "slot").select("bucket", "h", "text_sha256", "keep_id", "group_size")
-    index = materialize(index.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "exact-index")
+    texts = docs.select("doc_id", ascii_lower(F.col("text")).alias("body")).withColumn("h", F.xxhash64("body"))
+    digests = materialize(texts.select("doc_id", "h", F.sha2("body", 256).alias("text_sha256")), "exact-digests")
+    keys = materialize(digests.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    n_keys, n_rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    directory = build_directory(keys, max(capacity, n_keys >> TABLE_BITS), n_keys)
+    hot = F.broadcast(keys.where(F.col("n") > max(hot_rows, n_rows >> TABLE_BITS)).select("h"))
+
+    owned = _owned(texts, directory)
+    alone = owned.join(hot, "h", "left_anti").select("bucket", "h", "body", "doc_id", F.lit(1).cast("long").alias("n"))
+    crowd = owned.join(hot, "h", "left_semi").withColumn("task", F.spark_partition_id())
+    crowd = crowd.groupBy("bucket", "h", "body", "task").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).drop("task")
+    # all rows of a bucket are in its owner's partition, so this grouping needs no other exchange
+    chains = alone.unionByName(crowd).repartition("bucket").groupBy("bucket", "h", "body")
+    index = chains.agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    index = index.select("bucket", "h", F.sha2("body", 256).alias("text_sha256"), "keep_id", "group_size")
+    index = materialize(index.sortWithinPartitions("bucket", "h", "text_sha256"), "exact-index")
 
     found = digests.join(index, ["h", "text_sha256"])
-    return found.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256",
-        "bucket",
-    )
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket")
