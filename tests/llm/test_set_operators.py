@@ -48,19 +48,53 @@ def exact_brute(rows):
     return sorted((-1 if i is None else i, best[fold(t)], size[fold(t)], (-1 if i is None else i) == best[fold(t)], hashlib.sha256(fold(t).encode()).hexdigest()) for i, t in rows)
 
 
-@pytest.mark.parametrize("capacity", [1, 100])
-def test_exact_duplicates(spark, odd, capacity):
-    got = exact_dedup.exact_duplicates(odd, capacity, 6).na.fill(-1, ["doc_id", "keep_id"]).drop("bucket")
-    assert sorted(map(tuple, got.collect())) == exact_brute(ODD)
+@pytest.mark.parametrize("capacity, hot", [(1, 1), (2, 100), (100, 1)])
+def test_exact_duplicates(spark, odd, capacity, hot):
+    got = exact_dedup.exact_duplicates(odd, capacity, hot).na.fill(-1, ["doc_id", "keep_id"])
+    assert sorted(map(tuple, got.drop("bucket").collect())) == exact_brute(ODD)
+    # a bucket is a range of keys and holds no more of them than it may
+    held = defaultdict(set)
+    for r in got.collect():
+        held[r["bucket"]].add(r["text_sha256"])
+    assert max(map(len, held.values())) <= capacity and len(held) >= 6 / capacity
     assert exact_dedup.exact_duplicates(odd.limit(0)).count() == 0
 
 
-def test_directory_splits_and_doubles():
-    depth, slots = exact_dedup.grow_directory({0: 5, 1: 5, 7: 1}, 5, 3)
-    assert depth == 3 and len(slots) == 8
-    assert [b for _, b, _ in slots] == [0, 1, 2, 2, 4, 4, 4, 4]
-    assert exact_dedup.grow_directory({}, 5, 3) == (0, [(0, 0, 0)])
-    assert exact_dedup.grow_directory({3: 99}, 5, 3)[0] == 3  # one key can't be split further
+def directory_brute(keys, capacity):
+    """Buckets by splitting one after another; those without keys left out."""
+    todo, out = [(0, 0, sorted({k & (1 << 64) - 1 for k in keys}))], set()
+    while todo:
+        depth, prefix, held = todo.pop()
+        if len(held) > capacity:
+            bit = 1 << (63 - depth)
+            todo.append((depth + 1, 2 * prefix, [k for k in held if not k & bit]))
+            todo.append((depth + 1, 2 * prefix + 1, [k for k in held if k & bit]))
+        elif held:
+            out.add((depth, prefix, len(held)))
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 50])
+def test_directory_splits_and_doubles(spark, capacity):
+    rnd = random.Random(6)
+    signed = lambda k: k - (1 << 64) if k >> 63 else k
+    # spread keys, and keys that only their last bits tell apart
+    keys = {signed(rnd.getrandbits(64)) for _ in range(60)} | {signed((0xABCDE << 44) + i) for i in range(9)} | {-1, 0, 1}
+    got = exact_dedup.build_directory(spark.createDataFrame([(k,) for k in keys], "h long"), capacity, len(keys)).collect()
+    assert {(r["depth"], r["prefix"] & (1 << r["depth"]) - 1 if r["depth"] else 0, r["keys"]) for r in got} == directory_brute(keys, capacity)
+    assert len({r["bucket"] for r in got}) == len(got)
+    if capacity == 1:
+        assert max(r["depth"] for r in got) == 64
+    assert exact_dedup.build_directory(spark.createDataFrame([], "h long"), capacity, 0).count() == 0
+
+
+def test_colliding_texts_are_chained(spark, monkeypatch):
+    # all texts under one of two keys
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda body: exact_dedup.F.length(body).cast("long") % 2)
+    rows = [(i, t) for i, t in enumerate(["aa", "bb", "AA", "c", "d", "c", "cc", "bb"])]
+    for hot in (1, 100):
+        got = exact_dedup.exact_duplicates(docs_of(spark, rows), 10, hot).drop("bucket")
+        assert sorted(map(tuple, got.collect())) == exact_brute(rows)
 
 
 # --- near duplicates --------------------------------------------------------------------
@@ -224,15 +258,17 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+SHARED = [*ODD, *((1000 + i, "shared passage of many words " * 400 + str(i)) for i in range(6))]
+
+
 def test_store_round_trip(spark, odd, files):
-    texts = [*ODD, *((1000 + i, "shared passage of many words " * 400 + str(i)) for i in range(6))]
-    store = token_store.write_store(docs_of(spark, texts), files["words"], "words", 1)
+    store = token_store.write_store(docs_of(spark, SHARED), files["words"], "words", 1)
     chunks = [bytes(r["owner"]) for r in store.where("kind = 0").collect()]
     assert len(chunks) == len(set(chunks))
     recipes, manifest = token_store.order_recipes(store)
-    assert sum(len(r["names"]) for r in recipes.collect()) > len(chunks) and manifest.count() >= 1
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(store, recipes).collect())
-    ids = sorted(((-1 if i is None else i), [*x, 1]) for (i, _), x in zip(texts, plain_ids(files["words"], [t for _, t in texts]), strict=True))
+    assert sum(len(r["names"]) for r in recipes.collect()) > len(chunks)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(store, recipes, manifest).collect())
+    ids = sorted(((-1 if i is None else i), [*x, 1]) for (i, _), x in zip(SHARED, plain_ids(files["words"], [t for _, t in SHARED]), strict=True))
     want, start = [], 0
     for i, x in ids:
         want.append((i, start, len(x), crc(x)))
@@ -241,16 +277,54 @@ def test_store_round_trip(spark, odd, files):
     assert token_store.store_and_read(odd.limit(0), files["words"], "words", 1).count() == 0
 
 
-def test_store_notices_damage(spark, odd, files):
+def test_manifest_is_the_merkle_tree_of_the_recipes(spark, files, monkeypatch, request):
+    monkeypatch.setattr(token_store, "FANOUT", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    store = token_store.write_store(docs_of(spark, SHARED), files["words"], "words", 1)
+    recipes, manifest = token_store.order_recipes(store)
+    parts = defaultdict(list)
+    for r in recipes.orderBy("part", "place").collect():
+        parts[r["part"]].append(r)
+    rows = {r["part"]: r for r in manifest.collect()}
+    assert set(rows) == {-1, *parts} and len(parts) > 1
+    before, roots = 0, []
+    for part, held in sorted(parts.items()):
+        leaves = [bytes(r["root"]) for r in held]
+        roots.append(token_store.merkle_root([token_store.merkle_root(leaves[i : i + 2]) for i in range(0, len(leaves), 2)]))
+        n = sum(r["n_tokens"] for r in held)
+        assert (rows[part]["n"], rows[part]["docs"], rows[part]["base"], bytes(rows[part]["root"])) == (n, len(held), before, roots[-1])
+        before += n
+    assert (rows[-1]["n"], rows[-1]["docs"], bytes(rows[-1]["root"])) == (before, len(SHARED), token_store.merkle_root(roots))
+
+
+def test_store_notices_damage(spark, files):
     from pyspark.sql import functions as F
 
-    store = token_store.write_store(odd, files["words"], "words", 1)
-    recipes, _ = token_store.order_recipes(store)
+    store = token_store.write_store(docs_of(spark, SHARED), files["words"], "words", 1)
+    recipes, manifest = token_store.order_recipes(store)
+
+    def read(store=store, recipes=recipes, manifest=manifest):
+        return token_store.read_store(store, recipes, manifest).collect()
+
+    swap = lambda df, name, where, to: df.withColumn(name, F.when(where, to).otherwise(F.col(name)))
+    other = F.sha2("root", 256).cast("binary")
     with pytest.raises(Exception, match="missing"):
-        token_store.read_store(store.where("kind = 1 or n_tokens > 5"), recipes).collect()
-    broken = store.withColumn("owner", F.when(F.col("kind") == 0, F.sha2(F.col("owner"), 256).cast("binary")).otherwise(F.col("owner")))
-    with pytest.raises(Exception, match="does not hash"):
-        token_store.read_store(broken, recipes).collect()
+        read(store.where("kind = 1 or n_tokens > 5"))
+    with pytest.raises(Exception, match="does not hash to its name"):
+        read(swap(store, "payload", F.col("kind") == 0, F.reverse(F.hex("payload")).cast("binary")))
+    with pytest.raises(Exception, match="does not hash to its name"):
+        read(swap(store, "n_tokens", F.col("kind") == 0, F.col("n_tokens") + 1))
+    with pytest.raises(Exception, match="recipe .* does not hash"):
+        read(recipes=swap(recipes, "names", F.size("names") > 1, F.reverse("names")))
+    with pytest.raises(ValueError, match="not what the manifest says"):
+        read(recipes=swap(recipes, "root", F.col("doc_id") == 1003, other))
+    with pytest.raises(ValueError, match="not what the manifest says"):
+        read(recipes=recipes.where("doc_id <> 1003"))
+    with pytest.raises(ValueError, match="not what the manifest says"):
+        read(manifest=swap(manifest, "root", F.col("part") == 0, other))
+    with pytest.raises(ValueError, match="do not hash to its root"):
+        read(manifest=swap(manifest, "root", F.col("part") < 0, other))
 
 
 def test_chunks_depend_on_content_alone():
@@ -258,15 +332,19 @@ def test_chunks_depend_on_content_alone():
     body = rnd.integers(0, 40_000, 20_000).astype("u2")
 
     def cut(ids):
-        ends = token_store.chunk_ends(ids)
+        (ends,) = token_store.chunk_ends(ids, [len(ids)])
         return {ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)}
 
     one, two = cut(body), cut(np.r_[body[:50], body[70:]])
     assert len(one & two) > 0.8 * len(one)
-    for n in (1, 64, 65, 5000, 20_000):
-        ends = token_store.chunk_ends(body[:n])
-        assert ends[-1] == n and ends == sorted(set(ends))
-    assert max(np.diff([0, *token_store.chunk_ends(np.zeros(20_000, "u2"))])) <= token_store.MAX_CHUNK
+    bounds = [1, 65, 130, 5000, 5001, 20_000]
+    found, alone = token_store.chunk_ends(body, bounds), []
+    for a, b, ends in zip([0, *bounds], bounds, found, strict=False):
+        (own,) = token_store.chunk_ends(body[a:b], [b - a])  # what stands before a document does not matter
+        alone.append([a + e for e in own])
+        assert ends[-1] == b and ends == sorted(set(ends)) and ends[0] > a
+    assert found == alone
+    assert max(np.diff([0, *token_store.chunk_ends(np.zeros(20_000, "u2"), [20_000])[0]])) <= token_store.MAX_CHUNK
 
 
 def test_joined_checksums():
@@ -294,24 +372,53 @@ def check_packing(rows, capacity):
     return len(by)
 
 
-def test_best_fit_is_as_good_as_one_by_one():
+def one_by_one(sizes, capacity):
+    """Sequences of best fit, longest first, one piece at a time."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("capacity, sizes", [(7, (1, 7)), (64, (1, 64)), (64, (20, 40)), (1024, (1, 400)), (64, (1, 1)), (1024, (341, 342)), (10, (5, 5))])
+def test_best_fit_is_nearly_as_good_as_one_by_one(spark, capacity, sizes):
     rnd = random.Random(4)
-    for capacity in (7, 64, 1024):
-        sizes = [rnd.randint(1, capacity) for _ in range(400)]
-        runs = packing.best_fit_runs(Counter(sizes), capacity)
-        rank, bins = Counter(), defaultdict(list)
-        for s in sorted(sizes, reverse=True):
-            first = max((r for r in runs if r[0] == s and r[1] <= rank[s]), key=lambda r: r[1])
-            bins[first[2] + rank[s] - first[1]].append((first[3], s))
-            rank[s] += 1
-        gaps = []
-        for s in sorted(sizes, reverse=True):  # best fit, one item at a time
-            fits = [g for g in gaps if g >= s]
-            if fits:
-                gaps.remove(min(fits))
-            gaps.append((min(fits) if fits else capacity) - s)
-        assert len(bins) == len(gaps)
-        check_packing([{"sequence_id": b, "offset": o, "length": s} for b, held in bins.items() for o, s in held], capacity)
+    sizes = [rnd.randint(*sizes) for _ in range(500)]
+    table = spark.createDataFrame(list(enumerate(sizes)), "pid long, length long").repartition(3)
+    placed = packing.best_fit(table, capacity).collect()
+    assert sorted(r["pid"] for r in placed) == list(range(500))
+    n = check_packing([r.asDict() | {"length": sizes[r["pid"]]} for r in placed], capacity)
+    assert n <= one_by_one(sizes, capacity) * 1.02 + 1
+    assert packing.best_fit(table.limit(0), capacity).count() == 0
+
+
+def test_sweep_finds_successors(spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rnd = random.Random(7)
+    rooms, lengths = [rnd.choice([3, 5, 5, 8, 13, 40]) for _ in range(90)], [rnd.choice([2, 5, 5, 5, 9, 41]) for _ in range(110)]
+    gaps = spark.createDataFrame(list(enumerate(rooms)), "gid long, room long")
+    loose = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    swept = packing.sweep(gaps, loose, 41).collect()
+    assert len({r["part"] for r in swept}) > 1
+    got = {r["pid"]: r["gid"] for r in swept if r["kind"] == packing.MATCH}
+    left = {(r["part"], r["kind"], r["rank"]): r for r in swept if r["kind"] != packing.MATCH}
+    for part, first, end, gap_part, top in packing.carried(Counter((p, k) for p, k, _ in left)):
+        for rank in range(first, end):
+            assert gap_part < part
+            got[left[part, packing.PIECE, rank]["pid"]] = left[gap_part, packing.GAP, top - rank + first]["gid"]
+    assert len(set(got.values())) == len(got)
+    # by size, the same as taking the smallest gap that holds the piece, longest first
+    want, open_rooms = [], sorted(rooms)
+    for length in sorted(lengths, reverse=True):
+        fit = next((r for r in open_rooms if r >= length), None)
+        if fit is not None:
+            open_rooms.remove(fit)
+            want.append((length, fit))
+    assert sorted((lengths[p], rooms[g]) for p, g in got.items()) == sorted(want)
 
 
 def test_pack(spark, odd, files):
