@@ -2,14 +2,18 @@
 
 A document contains a benchmark window when the window's words occur in it in a row. The
 containment threshold is 1, so the necessary prefix of a window is one token: its rarest
-word by frequency over all documents. Only document words that are some window's prefix
-token are joined; the token's place in the window fixes where the window must begin, which
-gives the positional bound (it may not begin before the document) and the length bound (it
-may not end after it); then the item-sized slice of the document is compared word by word.
+word by frequency over all documents. The join goes in steps that leave less each:
 
-The prefix tables are broadcast only while they are within ``BROADCAST_ROWS`` rows. Larger
-benchmarks are worked off in blocks of that many windows, each against all documents, so
-the result is the same at any size.
+* document words that are some window's prefix token;
+* those with a place of that token in a window of some length that the document has room for,
+  the positional and the length bound;
+* those where the slice of the document there is a window, by its hash;
+* those where it is the window, word by word, in an equi-join on the whole slice.
+
+The first three look into sets of hash slots: whatever the benchmark holds, a set has at most
+``SLOTS`` rows of one long, so it may always be broadcast; what passes by chance fails the last
+step. Only what passes is shuffled. Keys that many rows share (a common word in the windows, a
+passage in many documents) are salted in ``SALTS`` parts, the other side repeated as often.
 
 Defined cases: null texts have no words; an item of no words has no window; an item shorter
 than the window size is one window; a null ``item_id`` marks words as hit but is not
@@ -19,16 +23,14 @@ counts or no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import ascii_lower, materialize
 
 WINDOW = 10
-#: Rows of a prefix table that may be broadcast: windows of some 200 bytes, 40 MB at most.
-BROADCAST_ROWS = 200_000
+#: Most rows of a set of slots, 8 MB of longs; and parts of a key that many rows share.
+SLOTS, SALTS = 1 << 20, 32
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,74 +46,79 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return every.select("item_id", "win", F.array_join("win", " ").alias("key")).distinct()
 
 
+def _slot(*values: Column) -> Column:
+    return F.pmod(F.xxhash64(*values), F.lit(SLOTS))
+
+
+def _met(rows: DataFrame, values: list[Column], among: DataFrame) -> DataFrame:
+    """The rows whose values have a slot that rows of ``among`` have."""
+    slots = among.select(_slot(*[F.col(c) for c in among.columns]).alias("__slot")).distinct()
+    return rows.join(F.broadcast(slots), _slot(*values) == F.col("__slot"), "left_semi")
+
+
+def _salted(many: DataFrame, few: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Join on a key that many rows of ``many`` may share; ``spread`` tells these apart."""
+    many = many.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.join(few, [key, "__salt"], how).drop("__salt")
+
+
 def anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, back, win, key): each distinct window with its rarest word and that word's place."""
+    """(key, token, back, len): each distinct window with its rarest word and that word's place."""
     distinct = windows.select("key", "win").distinct()
-    spread = distinct.select("key", "win", F.posexplode("win").alias("back", "token"))
-    vocabulary = spread.select("token").distinct()
-    if vocabulary.count() <= BROADCAST_ROWS:
-        vocabulary = F.broadcast(vocabulary)
-    seen = docs.select(F.explode_outer(words_of(F.col("text"))).alias("token")).join(vocabulary, "token")
-    rarity = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = spread.join(rarity, "token", "left").groupBy("key", "win")
+    spread = distinct.select("key", F.size("win").alias("len"), F.posexplode("win").alias("back", "token"))
+    words = docs.select(F.explode(words_of(F.col("text"))).alias("token"))
+    rarity = _met(words, [F.col("token")], spread.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = _salted(spread, rarity, "token", ["key", "back"], "left").groupBy("key", "len")
     first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "back"))
-    return ranked.agg(first.alias("a")).select("a.token", "a.back", "win", "key")
+    return ranked.agg(first.alias("a")).select("key", "a.token", "a.back", "len")
 
 
-def window_hits(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Per document row group (doc_id, fingerprint of the text): copies, n_words, spans, keys.
+def slices(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(doc_id, row_key, n_words, at, len, key): a row with ``n_words`` for every document row, and
+    rows with ``key`` for its slices that are windows, or by chance have a window's slot.
 
-    The empty string, which is no word, closes every word list and is a prefix token of its
-    own, so documents without hits keep a row in the same single pass."""
-    spark = docs.sparkSession
-    end = spark.createDataFrame([("", 0, None, None)], prefixes.schema)
+    The empty string, which is no word, closes every word list and passes all steps, so
+    documents are read once and those without hits keep their row."""
+    places = sorted((r["back"], r["len"]) for r in prefixes.select("back", "len").distinct().collect())  # below WINDOW squared
     body = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("row_key"), words_of(F.col("text")).alias("w"))
-    tokens = body.select("doc_id", "row_key", "w", F.posexplode_outer(F.concat("w", F.array(F.lit("")))).alias("pos", "token"))
-    met = tokens.join(F.broadcast(prefixes.unionByName(end)), "token")
-    start = F.col("pos") - F.col("back")
-    fits = (start >= 0) & (start + F.size("win") <= F.size("w"))
-    met = met.where(F.col("key").isNull() | (fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("win"), F.lit(0))) == F.col("win"))))
-    is_end = F.col("key").isNull()
-    return met.groupBy("doc_id", "row_key").agg(
-        F.sum(F.when(is_end, 1).otherwise(0)).alias("copies"),
-        F.max(F.when(is_end, F.col("pos"))).cast("long").alias("n_words"),
-        F.collect_set(F.when(~is_end, F.struct(start.alias("at"), F.size("win").alias("len")))).alias("spans"),
-        F.collect_set("key").alias("keys"),
-    )
+    words = body.select("doc_id", "row_key", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "token"))
+    spark = docs.sparkSession
+    end = spark.createDataFrame([("", None, None)], "token string, back int, len int")
+    words = _met(words, [F.col("token")], prefixes.select("token").unionByName(end.select("token")))
+    is_end = F.col("token") == ""
+    place = lambda back, size: F.struct(F.lit(back).cast("int").alias("back"), F.lit(size).cast("int").alias("len"))
+    every = F.array(*[place(*p) for p in places]) if places else F.array().cast("array<struct<back:int,len:int>>")
+    tried = words.select("doc_id", "row_key", "w", "pos", "token", F.explode(F.when(is_end, F.array(place(None, None))).otherwise(every)).alias("p"))
+    at, size = F.col("pos") - F.col("p.back"), F.col("p.len")
+    tried = tried.where(is_end | ((at >= 0) & (at + size <= F.size("w"))))
+    tried = _met(tried, [F.col("token"), F.col("p.back"), size], prefixes.select("token", "back", "len").unionByName(end))
+    key = F.when(~is_end, F.array_join(F.slice("w", F.greatest(at, F.lit(0)) + 1, F.coalesce(size, F.lit(0))), " "))
+    cut = tried.select("doc_id", "row_key", F.when(is_end, F.col("pos")).cast("long").alias("n_words"), at.alias("at"), size.alias("len"), key.alias("key"))
+    return _met(cut, [F.col("key")], prefixes.select("key").unionByName(spark.createDataFrame([(None,)], "key string")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = materialize(item_windows(benchmark, window), "decon-windows")
     prefixes = materialize(anchored(windows, docs), "decon-prefixes")
-    n = prefixes.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
-    if blocks == 1:
-        hits = window_hits(docs, prefixes)
-    else:
-        part = F.pmod(F.xxhash64("key"), F.lit(blocks))
-        parts = [window_hits(docs, prefixes.where(part == b)) for b in range(blocks)]
-        merged = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "row_key")
-        hits = merged.agg(
-            F.max("copies").alias("copies"),
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.flatten(F.collect_list("keys")).alias("keys"),
-        )
+    found = materialize(slices(docs, prefixes), "decon-slices")
+    owner = ["doc_id", "row_key"]
+    hits = _salted(found.where("key is not null").drop("n_words"), prefixes.select("key"), "key", [*owner, "at"])
+    hits = materialize(hits.distinct(), "decon-hits")
+    listed = windows.where("item_id is not null").select("key", F.col("item_id").cast("string").alias("item"))
+    items = _salted(hits.select(*owner, "key").distinct(), listed, "key", owner).select(*owner, F.lit(None).alias("span"), "item").distinct()
+    spans = hits.select(*owner, F.struct("at", "len").alias("span"), F.lit(None).cast("string").alias("item"))
+    per = spans.unionByName(items).groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r"))
+    per = per.agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
+    out = found.where("key is null").join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
-    hits = materialize(hits.select("doc_id", "row_key", "copies", "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), "keys"), "decon-hits")
-    listed = hits.where(F.size("keys") > 0).select("doc_id", "row_key", F.explode("keys").alias("key"))
-    items = listed.join(windows.where("item_id is not null").select("key", "item_id"), "key")
-    items = items.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    out = hits.drop("keys").join(items, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")), "left")
     ids = F.array_sort(F.coalesce("items", F.array().cast("array<string>")))
-    out = out.select(
+    return out.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        F.when(F.col("spans").isNotNull(), F.size(F.array_distinct(covered))).otherwise(0).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        F.col("spans").isNotNull().alias("contaminated"),
     )
-    return out.drop("copy")
