@@ -1,15 +1,18 @@
-"""Connected components by alternating large-star and small-star steps on DataFrames.
+"""Connected components by local forests and alternating large-star and small-star steps.
 
-Each step is one aggregation and one join over the edge table, written to the shared folder
-so that the lineage stays short and a lost executor costs only its tasks. The number of
-steps grows with the logarithm of the longest chain. Nothing but two totals per step
-reaches the driver. Edge tables of at most ``ONE_TASK`` rows, a bounded size, are settled by
-one task with a disjoint-set forest instead of steps.
+A round has two parts. Every task turns the edges that it reads into a forest of stars with a
+disjoint-set structure of bounded size, which shortens chains whatever the cluster's size;
+then a large-star and a small-star step, each one aggregation and one join, relink across
+tasks. A round is written once to the shared folder, so the lineage stays short and a lost
+executor costs only its tasks. Rounds end when the edges stay as they are; their number grows
+with the logarithm of the longest chain of tasks. Nothing but two totals per round reaches the
+driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize
 
-#: Edges that one task may settle: some 100 MB of Python objects.
-ONE_TASK = 300_000
+#: Nodes that a task's forest holds at once: some 100 MB of Python objects.
+FOREST_NODES = 500_000
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +40,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Stars (u, v), v the smallest of its tree, of edges (u, v); a forest of ``most`` nodes is
+    given out and begun anew."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -48,28 +53,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def stars() -> pa.RecordBatch:
+        rooted = [(x, root(x)) for x in parent]
+        pairs = [(x, r) for x, r in rooted if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parent.setdefault(u, u)
             parent.setdefault(v, v)
             a, b = root(u), root(v)
             parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(root, nodes)), pa.int64())], names=["node", "component"])
+        if len(parent) >= most:
+            yield stars()
+            parent.clear()
+    yield stars()
+
 
+def components(edges: DataFrame, label: str = "components", most: int = FOREST_NODES) -> DataFrame:
+    """(node, component) for every node of an edge table (u, v) of longs: the smallest node reachable.
 
-def components(edges: DataFrame, label: str = "components", one_task: int = ONE_TASK) -> DataFrame:
-    """(node, component) for every node of an edge table (u, v) of longs: the smallest node reachable."""
+    A node whose only edge is to itself is left out."""
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), label)
-    if now.count() <= one_task:
-        return materialize(now.coalesce(1).mapInArrow(_forest, "node long, component long"), label)
     mark = None
     while True:
-        now = materialize(_stars(_stars(now, True), False), label)
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
+        forests = now.select("u", "v").mapInArrow(partial(_forests, most=most), "u long, v long")
+        now = materialize(_stars(_stars(forests, True), False), label)
+        row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if row == mark or not row[0]:
             break
-        mark = tuple(row)
+        mark = row
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return named.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

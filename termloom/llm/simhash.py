@@ -8,15 +8,18 @@ Hamming balls of radius 1 around them; of two halves that differ in one bit only
 with the bit unset looks up the other, so a ball has half the members. Matches are verified
 on all 64 bits.
 
-Documents with the same fingerprint form a class first and only classes are linked. A dense
-group of near copies holds many classes in a few buckets; links within a group that
-distance-1 links (whole-fingerprint look-ups, at most 64 per class) already connect are not
-produced again, so a bucket's output does not grow with the square of a group.
+Documents with the same fingerprint form a class first and only classes are linked; a class is
+named by its fingerprint. A dense group of near copies holds many classes in a few buckets, so
+classes that distance-1 links (whole-fingerprint look-ups, at most 64 per class) connect are
+gathered first, and of a bucket only classes of different gatherings are compared: a probe
+meets a table row at the first bit in which their gatherings' names differ, and rows with the
+same name never meet. So neither the work nor the output of a bucket grows with the square
+of a group.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer
 words than a shingle count as one shingle; repeated rows share a class; a null ``doc_id``
-keeps its row but never names a component unless its whole component has no other id;
-empty tables give no rows; other columns are ignored.
+keeps its row and its links but never names a component unless its whole component has no
+other id; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,35 +87,44 @@ def _flips(value: Column, width: int) -> Column:
     return F.array_compact(F.array(*bits))
 
 
+def _apart(rows: DataFrame, name: str, flip: int) -> DataFrame:
+    """Each row under every prefix of its ``name``, with the prefix's last bit turned by ``flip``:
+    rows of other names, and no row of the same name, meet under exactly one of them."""
+    cuts = F.array(*[F.shiftrightunsigned(name, 63 - j).bitwiseXOR(F.lit(flip)) for j in range(64)])
+    return rows.select("*", F.posexplode(cuts).alias("bit", "stem"))
+
+
 def fingerprint_links(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) of class representatives that connect whatever links within RADIUS bits do.
+    """Edges (u, v) of fingerprints that connect whatever links within RADIUS bits do.
 
-    ``classes`` has (fp, rep), fp unique."""
-    near = classes.select("rep", F.explode(_flips(F.col("fp"), 64)).alias("fp"))
-    ones = near.join(classes.select("fp", F.col("rep").alias("other")), "fp")
-    ones = materialize(ones.select(F.col("rep").alias("u"), F.col("other").alias("v")), "simhash-ones")
+    ``classes`` has distinct ``fp``."""
+    near = classes.select(F.col("fp").alias("u"), F.explode(_flips(F.col("fp"), 64)).alias("fp"))
+    ones = materialize(near.join(classes.select("fp"), "fp").select("u", F.col("fp").alias("v")), "simhash-ones")
     tight = components(ones, "simhash-tight")
-    grouped = classes.join(tight, classes.rep == tight.node, "left")
-    grouped = materialize(grouped.select("fp", "rep", F.coalesce("component", "rep").alias("c")), "simhash-classes")
-    low = F.lit(0xFFFFFFFF)
-    halves = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(low))
-    keyed = grouped.select("fp", "c", F.posexplode(halves).alias("part", "half"))
-    table = keyed.select("part", F.col("half").alias("key"), F.col("fp").alias("b"), F.col("c").alias("cb"))
-    exact = keyed.select("part", F.col("half").alias("key"), F.col("fp").alias("a"), F.col("c").alias("ca"), F.lit(True).alias("same"))
-    ball = keyed.select("part", F.explode(_flips(F.col("half"), 32)).alias("key"), F.col("fp").alias("a"), F.col("c").alias("ca"), F.lit(False).alias("same"))
-    probes = exact.unionByName(ball).alias("p")
-    t = table.alias("t")
-    meets = (F.col("p.part") == F.col("t.part")) & (F.col("p.key") == F.col("t.key"))
-    apart = (F.col("ca") != F.col("cb")) & (_distance("a", "b") <= RADIUS) & (~F.col("same") | (F.col("a") < F.col("b")))
-    wide = probes.join(t, meets & apart).select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")).distinct()
+    grouped = classes.join(tight, classes.fp == tight.node, "left")
+    grouped = materialize(grouped.select("fp", F.coalesce("component", "fp").alias("c")), "simhash-classes")
+    halves = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    table = grouped.select("fp", "c", F.posexplode(halves).alias("part", "key"))
+    exact = table.select("fp", "c", "part", "key")
+    ball = table.select("fp", "c", "part", F.explode(_flips(F.col("key"), 32)).alias("key"))
+    # of a bucket's look-ups most find nothing, and most of the rest their own gathering only
+    held = table.groupBy("part", "key").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    live = exact.unionByName(ball).join(held, ["part", "key"]).where((F.col("low") != F.col("c")) | (F.col("high") != F.col("c")))
+    live = materialize(live.select("fp", "c", "part", "key"), "simhash-probes")
+    met = table.join(live.select("part", "key").distinct(), ["part", "key"], "left_semi")
+    probes = _apart(live.select(F.col("fp").alias("a"), "c", "part", "key"), "c", 1)
+    rows = _apart(met.select(F.col("fp").alias("b"), "c", "part", "key"), "c", 0)
+    pairs = probes.drop("c").join(rows.drop("c"), ["part", "key", "bit", "stem"]).where(_distance("a", "b") <= RADIUS)
+    wide = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     return ones.unionByName(wide)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id."""
     prints = materialize(fingerprints(docs, shingle), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-fps")
-    joined = components(materialize(fingerprint_links(classes), "simhash-links"), "simhash-components")
-    named = classes.join(joined, classes.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp", "left")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
+    joined = components(fingerprint_links(classes.select("fp")), "simhash-components")
+    members = materialize(classes.join(joined, classes.fp == joined.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("c")), "simhash-members")
+    low = members.groupBy("c").agg(F.min("rep").alias("component_id"))
+    out = prints.join(members.join(low, "c").select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

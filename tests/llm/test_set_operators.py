@@ -157,18 +157,39 @@ def test_links_at_every_distance(spark):
         prints.append(base)
         flips = rnd.sample(range(64), 4)
         prints += [base ^ sum(1 << b for b in flips[:n]) for n in (1, 2, 3, 4)] if i % 2 else []
-    rows = [(i, int(np.uint64(p).view(np.int64))) for i, p in enumerate(prints)]
-    links = simhash.fingerprint_links(spark.createDataFrame(rows, "rep long, fp long").select("fp", "rep"))
-    found = {r["node"]: r["component"] for r in components(links).collect()}
-    assert {i: found.get(i, i) for i, _ in rows} == components_brute(list(enumerate(prints)))
-
-
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components(spark, one_task):
-    edges = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (60, 50), (70, 70)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), one_task=one_task).collect()}
-    assert got == {i: 0 for i in range(21)} | {40: 40, 50: 40, 60: 40}
-    assert components(spark.createDataFrame([], "u long, v long"), one_task=one_task).count() == 0
+    # a dense group, and others three bits from one of its members
+    base = rnd.getrandbits(64)
+    group = {base ^ sum(1 << b for b in rnd.sample(range(10), rnd.randint(0, 4))) for _ in range(150)}
+    prints += [*group, *{g ^ 0b111 << 40 + 3 * i for i, g in enumerate(sorted(group)[:6])}]
+    signed = lambda p: int(np.uint64(p).view(np.int64))
+    links = simhash.fingerprint_links(spark.createDataFrame([(signed(p),) for p in prints], "fp long")).collect()
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    groups, want = defaultdict(set), defaultdict(set)
+    for i, p in enumerate(prints):
+        groups[found.get(signed(p), signed(p))].add(i)
+    for i, low in components_brute(list(enumerate(prints))).items():
+        want[low].add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    # no pairs within a gathering: at most 64 links a class, and those between gatherings
+    assert len(links) < 64 * len(prints)
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_components(spark, most):
+    edges = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (60, 50), (70, 70), (-5, 90)]
+    table = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    got = {r["node"]: r["component"] for r in components(table, most=most).collect()}
+    assert got == {i: 0 for i in range(21)} | {40: 40, 50: 40, 60: 40, -5: -5, 90: -5}
+    assert components(spark.createDataFrame([], "u long, v long"), most=most).count() == 0
+
+
+def test_nulls_lose_no_links(spark, monkeypatch):
+    prints = {"a": 0, "b": 0b111, "c": 0b111111, "d": (1 << 40) - 1 << 20}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: spark.createDataFrame([(r["doc_id"], prints[r["text"]]) for r in docs.collect()], "doc_id long, fp long"))
+    for middle in (2, None):
+        rows = spark.createDataFrame([(1, "a"), (middle, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+        got = [r["component_id"] for r in simhash.near_duplicates(rows).collect()]
+        assert sorted(got, key=str) == [1, 1, 1, None]
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
@@ -212,7 +233,7 @@ def test_contamination(spark, odd, monkeypatch):
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     table = docs_of(spark, docs)
     assert sorted(map(tuple, decontaminate.contamination(table, benchmark).na.fill(-1, ["doc_id"]).select(*names).collect())) == want
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)  # several blocks, no broadcast vocabulary
+    monkeypatch.setattr(decontaminate, "SLOTS", 2)  # nearly everything passes the sets, as with a huge benchmark
     assert sorted(map(tuple, decontaminate.contamination(table, benchmark).na.fill(-1, ["doc_id"]).select(*names).collect())) == want
     assert decontaminate.contamination(table, benchmark.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(table.limit(0), benchmark).count() == 0
