@@ -29,6 +29,11 @@ def test_lexer_positions():
         ('"x y" OR NOT z', "and", '(or "x y" (not z))'),
         ("(a b c)", "or", "(or (or a b) c)"),
         ("search-engine", "and", "(and search engine)"),
+        ("a OR b OR c", "and", "(or (or a b) c)"),
+        ("a NOT b OR c", "and", "(or (and a (not b)) c)"),
+        ("a AND b c", "or", "(or (and a b) c)"),
+        ("NOT (a OR b) NOT NOT c", "and", "(and (not (or a b)) (not (not c)))"),
+        ("((a))", "and", "a"),
     ],
 )
 def test_trees(query, implicit, expected):
@@ -50,6 +55,13 @@ def test_trees(query, implicit, expected):
         ("NOT", "MISSING_OPERAND", 0),
         ("a AND OR b", "MISSING_OPERAND", 2),
         ("(", "UNBALANCED_PAREN", 0),
+        ("((a) b", "UNBALANCED_PAREN", 0),
+        ("(a (b", "UNBALANCED_PAREN", 3),
+        ("(OR a)", "MISSING_OPERAND", 1),
+        ("a AND )", "MISSING_OPERAND", 2),
+        ("a NOT )", "MISSING_OPERAND", 2),
+        ("a ) OR", "UNBALANCED_PAREN", 2),
+        ("a AND NOT", "MISSING_OPERAND", 6),
     ],
 )
 def test_errors(query, code, position):

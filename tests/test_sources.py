@@ -90,8 +90,12 @@ def test_allowlist(spark):
 def test_robots():
     r = web.parse_robots("User-agent: a\nUser-agent: bot\nDisallow: /x\nAllow: /x/y\nCrawl-delay: 2\n\nUser-agent: *\nDisallow: /*.pdf$\nDisallow:\nSitemap: http://s")
     assert not r.allows("MyBot/1", "/x/z") and r.allows("mybot", "/x/y") and r.delay_for("bot") == 2.0
-    assert not r.allows("other", "/q.pdf") and r.allows("other", "/q.pdfx") and r.sitemaps == ["http://s"]
+    assert not r.allows("other", "/q.pdf") and r.allows("other", "/q.pdfx") and r.sitemaps == ("http://s",)
     assert not web.parse_robots("Disallow: /").allows("any", "/a")
+    r = web.parse_robots("Crawl-delay: 9\r\nDisallow: /p # why\r\n  USER-AGENT : Long-Bot \nSitemap: u\nUser-agent: bot\nCrawl-delay: x\nDisallow: /\nUser-agent: bot\nAllow: /q\n: none\nnonsense")
+    assert [g.agents for g in r.groups] == [("*",), ("long-bot", "bot"), ("bot",)] and r.groups[0].delay is None and r.delay_for("bot") is None
+    assert not r.allows("x", "/p/1") and r.allows("x", "/1") and not r.allows("the long-bot", "/q") and not r.allows("bot", "/q") and r.sitemaps == ("u",)
+    assert web.parse_robots("").allows("a", "/") and web.parse_robots("Crawl-delay: 3").groups == ()
     assert web.parse_robots("User-agent: *\nDisallow: /a\nAllow: /a").allows("z", "/a")
     assert not web.robots_for(403, None).allows("z", "/") and web.robots_for(404, None).allows("z", "/") and web.robots_for(None, None).allows("z", "/")
 
@@ -105,6 +109,7 @@ def test_extract_page():
     assert page["links"] == [{"raw_href": "p#f", "href": "http://h.org/d/p#f", "anchor": "go", "position": 0}]
     assert page["text"] == "H x go nonetext & more"
     assert web.extract_page("", "http://h")["text"] == ""
+    assert web.extract_page("<p>a<![foo[ x ]]>b<![>c<!-- d", "http://h")["text"] == "abc"
 
 
 def test_decode_and_snippet():
