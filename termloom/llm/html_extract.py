@@ -14,20 +14,21 @@ Character references are decoded; white space within a line becomes one space; l
 trimmed, empty ones left out, and joined in page order by a newline.
 
 Defined cases: null and empty html give the empty text; unclosed, misnested and cut-off
-markup is read as far as it goes; repeated rows get a row each; an empty table gives no
+markup is read as browsers do, and a comment or tag that never ends is no text; repeated rows get a row each; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from termloom.functions.markup import TolerantParser
 from termloom.llm.common import short
 
 SIGMA = 1.5
@@ -73,14 +74,16 @@ def _is_marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-class LineReader(HTMLParser):
+class LineReader(TolerantParser):
     """Folds parser events into lines: [text, tags, region, strong]."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.lines: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, bool]] = []  # tag, whether it opened something dropped
-        self.dropped = 0
+        self.named: Counter[str] = Counter()  # open elements by tag
+        self.blocks: list[int] = []  # where in ``open`` the block elements are
+        self.dropped = self.silent = 0
         self.regions: list[tuple[int, bool]] = [(0, False)]
         self.count = 0
         self.text: list[str] = []
@@ -100,17 +103,22 @@ class LineReader(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.handle_data(" ")
+                self.handle_text(" ")
             return
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close_implied(tag)
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and self.blocks and self.open[self.blocks[-1]][0] == tag:
+            # a paragraph or item that opens ends the one before it in the same parent
+            self._close(tag)
         if tag in STRONG_REGIONS and self.dropped:
             # an article does not stand in an advert or menu: that one was left open
-            while self.dropped and not any(t in SILENT for t, d in self.open if d):
+            while self.dropped and not self.silent:
                 self._pop()
         dropped = tag in SILENT or _is_marked(tag, attrs)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, dropped))
+        self.named[tag] += 1
         self.dropped += dropped
+        self.silent += tag in SILENT
         if tag in REGIONS:
             region, strong = self.regions[-1]
             self.count += 1
@@ -119,21 +127,18 @@ class LineReader(HTMLParser):
 
     def _pop(self) -> str:
         tag, dropped = self.open.pop()
+        self.named[tag] -= 1
         self.dropped -= dropped
+        self.silent -= tag in SILENT
+        if tag in BLOCKS:
+            self.blocks.pop()
         if tag in REGIONS:
             self.regions.pop()
         return tag
 
-    def _close_implied(self, tag: str) -> None:
-        """A paragraph or item that opens ends the one before it in the same parent."""
-        for depth in range(len(self.open) - 1, -1, -1):
-            t = self.open[depth][0]
-            if t == tag:
-                while len(self.open) > depth:
-                    self._pop()
-                return
-            if t in BLOCKS:
-                return
+    def _close(self, tag: str) -> None:
+        while self._pop() != tag:
+            pass
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -144,11 +149,10 @@ class LineReader(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        if any(t == tag for t, _ in self.open):
-            while self._pop() != tag:
-                pass
+        if self.named[tag]:
+            self._close(tag)
 
-    def handle_data(self, data: str) -> None:
+    def handle_text(self, data: str) -> None:
         if not self.dropped:
             self.text.append(data)
 
@@ -180,8 +184,7 @@ def threshold(values: np.ndarray) -> float:
 
 def main_lines(html: str | None) -> list[str]:
     reader = LineReader()
-    reader.feed(html or "")
-    reader.close()
+    reader.read(html or "")
     reader.end_line()
     lines = reader.lines
     if not lines:
