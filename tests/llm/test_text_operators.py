@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -289,20 +290,72 @@ def test_chat_links(spark):
     assert chat.link_tool_calls(spark.createDataFrame([], MESSAGES), SCHEMA).count() == 0
 
 
+def call(conv, i, needs=(), text='{"a":1}', name="add"):
+    return (conv, 0, "assistant", text, i, name, list(needs), "")
+
+
+def test_chat_nulls_depth_and_surrogates(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [
+        call(None, "c1"), (None, 1, "tool", "r", "c1", None, None, ""), call(3, None), (3, 1, "tool", "r", None, None, None, ""),
+        call(4, "deep", text=deep), call(4, "half", text='{"a":1,"tags":["\\ud800"]}'), call(4, "nan", text='{"a":NaN}'), call(4, "inf", text='{"a":1e999}'),
+        call(4, "twin"), call(4, "twin"), (4, 9, None, None, None, None, None, ""),
+    ]
+    got = chat.link_tool_calls(spark.createDataFrame(rows, MESSAGES), SCHEMA).collect()
+    assert len(got) == len(rows)
+    state = {(r["conv_id"], r["call_id"], r["kind"]): (r["status"], r["level"]) for r in got}
+    assert state[None, "c1", "call"] == ("linked", 0) and state[None, "c1", "result"] == ("linked", 0)
+    assert state[3, None, "call"] == ("open", 0) and state[3, None, "result"] == ("orphan", None)
+    assert {i: state[4, i, "call"][0] for i in ("deep", "half", "nan", "inf", "twin")} == {"deep": "invalid", "half": "open", "nan": "invalid", "inf": "invalid", "twin": "open"}
+    lines = {r["call_id"]: json.loads(r["line"]) for r in got if r["conv_id"] == 4 and r["kind"] == "call"}
+    assert lines["deep"]["tool_call"]["arguments"] == deep and lines["half"]["tool_call"]["arguments"]["tags"] == ["\ud800"]
+
+
+def test_chat_levels_against_brute_force(spark):
+    rnd = random.Random(9)
+    needs = {"n0": []}
+    for i in range(1, 60):
+        needs[f"n{i}"] = rnd.sample(sorted(needs), min(len(needs), rnd.choice([0, 1, 1, 1, 2, 3]))) + rnd.choice([[], ["gone"]])
+    needs |= {f"k{i}": [f"k{i - 1}"] if i else ["n5"] for i in range(40)}  # a long chain
+    needs |= {"x": ["y"], "y": ["x"], "above": ["x", "n1"], "higher": ["above"], "self": ["self"], "tail": ["x"], "both": ["tail", "n2"]}
+
+    def level(i, path=()):
+        found = [level(j, (*path, i)) for j in needs[i] if j in needs] if i not in path else [None]
+        return None if None in found else max((f + 1 for f in found), default=0)
+
+    got = chat.link_tool_calls(spark.createDataFrame([call(1, i, n) for i, n in needs.items()], MESSAGES), SCHEMA).collect()
+    assert {r["call_id"]: r["level"] for r in got} == {i: level(i) for i in needs}
+    assert {r["call_id"] for r in got if r["status"] == "cycle"} == {"x", "y", "above", "higher", "self", "tail", "both"}
+    order = [(r["level"] is not None, r["level"]) for r in got]
+    assert order == sorted(order)
+
+
 @needs_tables
 def test_chat_query_against_brute_force(spark):
     turns = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{DIR}/conversations.parquet").collect()}
     got = QUERIES["op7_chat_formatting"](spark, DIR).collect()
     assert len(got) == len(turns)
+    asked = {k for k, r in turns.items() if r["role"] == "user"}
+
+    def level(conv, turn):
+        before = next(((conv, turn - n) for n in (1, 2) if (conv, turn - n) in asked), None)
+        return level(*before) + 1 if before else 0
+
     for r in got:
-        own = turns[r["conv_id"], r["turn"]]
-        before, after = turns.get((r["conv_id"], r["turn"] - 1)), turns.get((r["conv_id"], r["turn"] + 1))
+        at = r["conv_id"], r["turn"]
+        own = turns[at]
+        before, after = at[0], at[1] - 1
+        answered = turns.get((at[0], at[1] + 1))
         line = json.loads(r["line"])
         if own["role"] == "user":
-            want = "invalid" if not own["text"] else "linked" if after and after["role"] == "assistant" else "open"
-            assert line["tool_call"]["arguments"] == {"prompt": own["text"]}
+            want = "invalid" if not own["text"] else "linked" if answered and answered["role"] == "assistant" else "open"
+            assert line["tool_call"]["arguments"] == {"prompt": own["text"]} and r["level"] == level(*at)
         elif own["role"] == "assistant":
-            want = "linked" if before and before["role"] == "user" else "orphan"
+            want = "linked" if (before, after) in asked else "orphan"
+            assert r["level"] == (level(before, after) if want == "linked" else None)
         else:
             want = "message"
         assert r["status"] == want and r["line"] == chat.canonical(line)
+    assert max(r["level"] or 0 for r in got) > 0
+    order = [(r["conv_id"], -1 if r["level"] is None else r["level"], r["turn"]) for r in got]
+    assert order == sorted(order)
