@@ -1,12 +1,12 @@
 """Connected components by local forests and alternating large-star and small-star steps.
 
-A round has two parts. Every task turns the edges that it reads into a forest of stars with a
-disjoint-set structure of bounded size, which shortens chains whatever the cluster's size;
-then a large-star and a small-star step, each one aggregation and one join, relink across
-tasks. A round is written once to the shared folder, so the lineage stays short and a lost
-executor costs only its tasks. Rounds end when the edges stay as they are; their number grows
-with the logarithm of the longest chain of tasks. Nothing but two totals per round reaches the
-driver.
+A round has two parts. Tasks of ``FOREST_NODES`` edges each turn theirs into a forest of stars
+with a disjoint-set structure of bounded size, which shortens chains and leaves fewer edges.
+Where the stars of all tasks together are not stars yet, a large-star and a small-star step,
+each one aggregation and one join, relink across tasks. What a round leaves is written to the
+shared folder, so the lineage stays short and a lost executor costs only its tasks. The number
+of rounds grows with the logarithm of the tasks that a chain runs through. Nothing but totals
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -70,19 +70,26 @@ def _forests(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
     yield stars()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges point from a node of its own to a node that points nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    per = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return per.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("in") > 0)).isEmpty()
+
+
 def components(edges: DataFrame, label: str = "components", most: int = FOREST_NODES) -> DataFrame:
     """(node, component) for every node of an edge table (u, v) of longs: the smallest node reachable.
 
     A node whose only edge is to itself is left out."""
-    now = materialize(edges.select("u", "v").where("u <> v").distinct(), label)
-    mark = None
+    now = materialize(edges.select("u", "v").where("u <> v"), label)
     while True:
-        forests = now.select("u", "v").mapInArrow(partial(_forests, most=most), "u long, v long")
-        now = materialize(_stars(_stars(forests, True), False), label)
-        row = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if row == mark or not row[0]:
+        tasks = -(-now.count() // most)
+        forests = now.coalesce(max(1, tasks)).mapInArrow(partial(_forests, most=most), "u long, v long")
+        now = materialize(forests, label)
+        if _settled(now):
             break
-        mark = row
+        now = materialize(_stars(_stars(now, True), False), label)
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return named.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return named.unionByName(roots)
