@@ -1,4 +1,15 @@
-"""The corpus pipeline: stages over ``documents``, each on what the one before it kept."""
+"""The corpus pipeline: stages over ``documents``, each on what the one before it kept.
+
+Decisions are taken and applied by row, not by ``doc_id``: the stages after the first number the
+rows they get, write them down and drop rows by their number. So every row is judged by its
+own text, whatever ids it shares or lacks.
+
+Defined cases: null and empty texts are texts without words, which the classifier scores like
+any other, and of which the exact stage keeps one; of rows that repeat an id and a text one
+stays; rows with equal or null ids and other texts are judged apart, a null id being the
+smallest; an empty table gives an empty table; other columns, whatever their names, are passed
+on by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +23,17 @@ from termloom.llm.common import materialize, table
 from termloom.llm.entries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+ROW = "__termloom_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written down so that it stays."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``chosen``; null ids match null ids."""
-    ids = chosen.select(F.col("doc_id").alias("__chosen_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__chosen_id"]), "left_semi")
+def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows that are not among ``dropped``, which has their numbers."""
+    return numbered.join(dropped.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +42,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """Of equal texts, one row with the largest doc_id."""
+    rows = _numbered(docs)
+    # the number makes ids distinct, and decides among equal ones
+    found = exact_dedup.exact_duplicates(rows.select(F.struct("doc_id", ROW).alias("doc_id"), "text"))
+    return _without(rows, found.where("not kept").select(F.col("doc_id")[ROW].alias(ROW)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by the SimHash operator's own terms, the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of documents of similar five-word shingles (0.8 or more), the smallest doc_id."""
+    rows = _numbered(docs)
+    found = materialize(simhash.similar_documents(rows.select(F.col(ROW).alias("row"), "text")), "pipeline-groups")
+    shared = found.where("row <> group").select("group").distinct()
+    members = found.join(shared, "group", "left_semi").join(rows.select(F.col(ROW).alias("row"), "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stays = members.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first")["row"].alias("first"))
+    return _without(rows, members.join(stays, "group").where("row <> first").select(F.col("row").alias(ROW)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark windows."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, found.where("not contaminated"))
+    rows = _numbered(docs)
+    found = decontaminate.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
