@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.plans.storage import new_path
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,20 +20,6 @@ ARROW_ROWS = 256
 WRITE_ROWS = 1024
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local tests) is a temporary folder made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="termloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 @contextmanager
 def _batches(spark: SparkSession) -> Iterator[None]:
     """Bound the rows of a batch for Python while a table is written; the session's own setting
@@ -51,7 +37,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     """Write ``df`` as Parquet in the shared folder and read it again: this cuts the lineage
     and survives lost executors, whose tasks are simply run again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/termloom/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     writer = df.write.mode("errorifexists").option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
