@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from termloom.llm import decontaminate, exact_dedup, packing, quality, simhash
 from termloom.llm.common import materialize, table
 from termloom.llm.entries import tokenizer_file
+from termloom.plans.storage import new_path, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW = "__termloom_row"
@@ -85,7 +86,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch():
+            # a stage's own tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
 
 
