@@ -7,6 +7,7 @@ analysis without stemming, which SQL can express.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from termloom.functions.analysis import RUN_PATTERN, AnalysisConfig, analyzed_te
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.web import content_hash, extracted, host_allowed, host_of, normalized_url, robots_match, snippets
 from termloom.operators import evaluation, fuzzy, graph, ranking, retrieval
-from termloom.operators.index import Index, build_index, length_distribution
+from termloom.operators.index import Index, build_index, length_distribution, spread
 from termloom.plans.query import Node, analyzed, parse
+from termloom.plans.storage import cut, new_path, scratch
 from termloom.sources.files import page_text, page_title
 from termloom.streaming import crawl
 
@@ -33,11 +35,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _state(docs: DataFrame) -> str:
+    """Names, lengths and times of a table's files."""
+    spark = docs.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for name in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of ``documents``, built once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of ``documents``: built and saved once per session and state of the files; all
+    queries read the saved index, of whose sorted postings a term's row groups are enough."""
+    docs = read(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, _state(docs))
     if key not in _indexes:
-        _indexes[key] = build_index(read(spark, sf_dir, "documents"), PLAIN)
+        path = new_path(spark, "index")
+        with scratch():
+            build_index(docs, PLAIN).save(path)
+        _indexes[key] = Index.load(spark, path)
     return _indexes[key]
 
 
@@ -451,19 +470,38 @@ def bounded_edit_distance(spark, sf_dir):
 # --- evaluation -------------------------------------------------------------------------
 
 
+JUDGED_WORDS = 8
+
+
+def _word_runs(table: DataFrame, key: str) -> DataFrame:
+    """(key, run, h): every run of JUDGED_WORDS words of a table's texts, with its hash; a shorter
+    text is one run."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = spread(table.select(key, "text")).select(key, words.alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.size("w") - JUDGED_WORDS + 1, F.lit(1))
+    run = F.slice("w", F.col("at"), JUDGED_WORDS)
+    return rows.select(key, "w", F.explode(F.sequence(F.lit(1), last)).alias("at")).select(key, run.alias("run"), F.xxhash64(run).alias("h"))
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, grade): a document that holds an item's first 60 characters; grade 2
-    where it is labelled good. The items are found by their first ten characters, then compared."""
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.join(F.broadcast(items), F.contains("text", "head")).select("query_id", "doc_id")  # a stated query set
+    """(query_id, doc_id, grade): a document that shares a run of JUDGED_WORDS words with an item's
+    whole text; grade 2 where it is labelled good."""
+    items = _word_runs(read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id").distinct()
+    docs = _word_runs(read(spark, sf_dir, "documents"), "doc_id")
+    found = docs.join(items.withColumnRenamed("run", "item_run"), "h").where(F.col("run") == F.col("item_run")).select("query_id", "doc_id").distinct()
     good = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     grade = F.when(F.col("quality") == 1, F.lit(2.0)).otherwise(F.lit(1.0))
-    return found.join(good, "doc_id", "left").select("query_id", "doc_id", grade.alias("grade"))
+    return cut(found.join(good, "doc_id", "left").select("query_id", "doc_id", grade.alias("grade")), "qrels")
+
+
+def _runs_sql(table: str, key: str) -> str:
+    return rf"""(SELECT DISTINCT k, list_slice(w, s, s + {JUDGED_WORDS - 1}) AS run FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {JUDGED_WORDS - 1}, 1) + 1)) AS s
+    FROM (SELECT {key} AS k, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM {table}) WHERE len(w) > 0))"""
 
 
-_QRELS = """qr AS (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN l.quality = 1 THEN 2.0::DOUBLE ELSE 1.0 END AS grade
-    FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+_QRELS = f"""qr AS (SELECT f.query_id, f.doc_id, CASE WHEN l.quality = 1 THEN 2.0::DOUBLE ELSE 1.0 END AS grade
+    FROM (SELECT DISTINCT b.k AS query_id, d.k AS doc_id FROM {_runs_sql("benchmark", "item_id")} b JOIN {_runs_sql("documents", "doc_id")} d USING (run)) f
+    LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
 qs AS (SELECT query_id, count(*) AS nrel FROM qr GROUP BY query_id),
 jr AS (SELECT r.query_id, r.rank, q.grade, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS cum FROM run r JOIN qr q USING (query_id, doc_id))"""
 

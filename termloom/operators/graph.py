@@ -36,14 +36,21 @@ def keep_known(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     return known, edges.count() - known.count()
 
 
-def pagerank_step(nodes: DataFrame, links: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
-    """(node, value, old) after one step. ``links`` has (src, dst, degree)."""
-    sent = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("value") / F.col("degree")).alias("got"))
-    linked = links.select(F.col("src").alias("node")).distinct()
-    hanging = ranks.join(linked, "node", "left_anti").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("hang"))
-    moved = ranks.join(sent, ranks.node == sent.dst, "left").join(F.broadcast(hanging))
-    value = F.lit((1.0 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("hang") / F.lit(float(n)))
-    return moved.select(ranks.node, value.alias("value"), F.col("value").alias("old"))
+def _prepared(nodes: DataFrame, links: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Links with the degree of their source, and first ranks (node, value, hanging); both are
+    written once and every step reads them."""
+    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    weighted = cut(links.join(degree, "src"), "links")
+    ranks = nodes.join(degree.select(F.col("src").alias("node"), F.lit(False).alias("hanging")), "node", "left")
+    return weighted, cut(ranks.select("node", F.lit(1.0 / n).alias("value"), F.coalesce("hanging", F.lit(True)).alias("hanging")), "ranks")
+
+
+def pagerank_step(links: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
+    """(node, value, hanging, old) after one step. ``links`` has (src, dst, degree)."""
+    sent = links.join(ranks.select(F.col("node").alias("src"), "value"), "src").groupBy("dst").agg(F.sum(F.col("value") / F.col("degree")).alias("got"))
+    hang = ranks.agg(F.coalesce(F.sum(F.when(F.col("hanging"), F.col("value"))), F.lit(0.0))).first()[0]
+    value = F.lit((1.0 - damping) / n + damping * hang / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+    return ranks.join(sent, ranks.node == sent.dst, "left").select("node", value.alias("value"), "hanging", F.col("value").alias("old"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_iterations: int = 100, on_iteration=None) -> PageRank:
@@ -55,30 +62,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     n = nodes.count()
     if n < 1:
         raise ValueError("a graph needs a node")
-    links = build_graph(nodes, edges)
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = cut(links.join(degree, "src"))
-    ranks = cut(nodes.withColumn("value", F.lit(1.0 / n)))
+    links, ranks = _prepared(nodes, build_graph(nodes, edges), n)
     residual, done = float("inf"), 0
     while done < max_iterations and residual >= tolerance:
-        moved = cut(pagerank_step(nodes, links, ranks, n, damping))
-        residual = moved.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
-        ranks, done = moved.select("node", "value"), done + 1
+        ranks = cut(pagerank_step(links, ranks, n, damping), "ranks")
+        residual = ranks.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
+        done += 1
         if on_iteration:
             on_iteration(done, residual)
-    return PageRank(ranks, done, residual < tolerance, residual)
+    return PageRank(ranks.select("node", "value"), done, residual < tolerance, residual)
 
 
 def pagerank_fixed(nodes: DataFrame, edges: DataFrame, iterations: int, damping: float = 0.85) -> DataFrame:
     """(node, value) after a fixed number of steps."""
     nodes = nodes.select("node").distinct()
     n = nodes.count()
-    links = edges.select("src", "dst").distinct()
-    links = cut(links.join(links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src"))
-    ranks = nodes.withColumn("value", F.lit(1.0 / n))
+    links, ranks = _prepared(nodes, edges.select("src", "dst").distinct(), n)
     for _ in range(iterations):
-        ranks = cut(pagerank_step(nodes, links, ranks, n, damping).select("node", "value"))
-    return ranks
+        ranks = cut(pagerank_step(links, ranks, n, damping), "ranks")
+    return ranks.select("node", "value")
 
 
 def map_citations(edges: DataFrame, ids: DataFrame) -> DataFrame:

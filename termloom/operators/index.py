@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.analysis import AnalysisConfig, tokens
+from termloom.functions.analysis import AnalysisConfig, analyzed_terms
+from termloom.plans.storage import cut
 
 #: Fixed value: the largest term frequency that the reference format allows.
 MAX_TF = 65_535
@@ -38,7 +39,8 @@ class Index:
 
     def save(self, path: str) -> None:
         """Postings sorted by term, so that a term list prunes row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        # a term of very many documents lies in several files
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         meta = json.dumps({"config": json.loads(self.config.to_json()), "n_docs": self.n_docs, "total_tokens": self.total_tokens})
@@ -63,31 +65,47 @@ class Index:
         return self.postings.groupBy("term").agg(F.array_sort(F.collect_list(row)).alias("postings"))
 
 
-def build_postings(found: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions) with ascending positions; fails above MAX_TF."""
-    grouped = found.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    too_many = F.raise_error(F.concat(F.lit("term frequency above the limit: "), "term"))
-    return grouped.withColumn("tf", F.when(F.col("tf") > MAX_TF, too_many.cast("int")).otherwise(F.col("tf")))
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as the cluster runs tasks at once: a small file
+    is one partition however long its texts are."""
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallel) if df._jdf.queryExecution().toRdd().getNumPartitions() < parallel else df
 
 
-def document_lengths(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """(doc_id, dl, max_tf) of every document, empty ones too."""
-    per = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.max("tf").alias("max_tf"))
-    out = docs.select("doc_id").join(per, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.coalesce("max_tf", F.lit(0)).alias("max_tf"))
+def entries(terms: Column) -> Column:
+    """array<struct<term, tf, positions>> of a document's terms in order; fails above MAX_TF.
 
+    The sorted (term, position) pairs are cut where the term changes, so a document becomes
+    its postings where it is, without a shuffle."""
+    pairs = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("at"))))
 
-def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text", keep: bool = True) -> Index:
-    """Index a table (doc_id, text)."""
+    def runs(pairs: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(pairs) - 1)
+        begins = F.filter(places, lambda i: (i == 0) | (pairs[i]["term"] != pairs[F.greatest(i - 1, F.lit(0))]["term"]))
+        ends = F.concat(F.slice(begins, 2, F.size(pairs)), F.array(F.size(pairs)))
+        return F.zip_with(begins, ends, lambda b, e: F.slice(pairs, b + 1, e - b))
+
+    def entry(run: Column) -> Column:
+        term, tf = run[0]["term"], F.size(run)
+        too_many = F.raise_error(F.concat(F.lit("term frequency above the limit: "), term)).cast("int")
+        return F.struct(term.alias("term"), F.when(tf > MAX_TF, too_many).otherwise(tf).alias("tf"), F.transform(run, lambda r: r["at"]).alias("positions"))
+
+    # one-element arrays bind the pairs, and the cuts, so that they are made once
+    cut = F.flatten(F.transform(F.array(pairs), runs))
+    return F.when(F.size(terms) > 0, F.transform(cut, entry)).otherwise(F.array().cast("array<struct<term:string,tf:int,positions:array<int>>>"))
+
+
+def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text") -> Index:
+    """Index a table (doc_id, text). Documents are analysed once, and their entries written to the
+    shared folder; postings, terms and lengths are read from there."""
     config = config or AnalysisConfig()
-    postings = build_postings(tokens(docs, config, text))
-    lengths = document_lengths(docs, postings)
-    if keep:
-        postings, lengths = postings.persist(), lengths.persist()
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = terms.persist() if keep else terms
+    rows = spread(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", analyzed_terms(F.col("text"), config).alias("terms"))
+    rows = cut(rows.select("doc_id", F.size("terms").cast("long").alias("dl"), entries(F.col("terms")).alias("entries")), "index-entries")
+    postings = rows.select("doc_id", F.explode("entries").alias("e")).select("e.term", "doc_id", "e.tf", "e.positions")
+    lengths = rows.select("doc_id", "dl", F.coalesce(F.array_max(F.transform("entries", lambda e: e["tf"])), F.lit(0)).alias("max_tf"))
+    terms = postings.select("term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     row = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-    return Index(postings, terms, lengths, config, row["n"], row["t"])
+    return Index(postings, cut(terms, "index-terms"), cut(lengths, "index-docs"), config, row["n"], row["t"])
 
 
 def length_distribution(lengths: DataFrame) -> DataFrame:

@@ -149,14 +149,14 @@ def total_pages(n: int, k: int) -> int:
 def bm25_batch(index: Index, query_terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score) for a whole set of any-term queries in one plan.
 
-    ``query_terms`` has (query_id, ord, term), terms distinct within a query; contributions
-    are added in the order of the terms."""
-    wanted = query_terms.join(index.terms, "term")
+    ``query_terms`` has (query_id, term), terms distinct within a query. The set's terms, with
+    their frequencies, meet each posting once; Spark broadcasts them while they are small and
+    splits frequent terms where they are not."""
+    wanted = query_terms.select("query_id", "term").join(index.terms, "term")
     n, avgdl = F.lit(float(index.n_docs)), F.lit(index.avgdl)
-    part = bm25_part(F.col("tf").cast("double"), F.col("dl").cast("double"), bm25_idf(n, F.col("df").cast("double")), avgdl, k1, b)
     met = index.postings.select("term", "doc_id", "tf").join(wanted, "term").join(index.docs.select("doc_id", "dl"), "doc_id")
-    rows = met.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", part.alias("c")))).alias("cs"))
-    return rows.select("query_id", "doc_id", F.aggregate("cs", F.lit(0.0), lambda a, x: a + x["c"]).alias("score"))
+    part = bm25_part(F.col("tf").cast("double"), F.col("dl").cast("double"), bm25_idf(n, F.col("df").cast("double")), avgdl, k1, b)
+    return met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
