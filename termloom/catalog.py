@@ -564,7 +564,7 @@ def page_text_extract(spark, sf_dir):
 @register("content_hash_duplicates", r"""WITH h AS (SELECT doc_id, sha1(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS content_hash FROM documents)
     SELECT doc_id, content_hash, min(doc_id) OVER (PARTITION BY content_hash) AS owner, doc_id <> min(doc_id) OVER (PARTITION BY content_hash) AS duplicate FROM h""")
 def content_hash_duplicates(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("doc_id").alias("place"), content_hash(F.col("text")).alias("content_hash"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.lit(0).alias("depth"), F.col("doc_id").alias("place"), content_hash(F.col("text")).alias("content_hash"))
     owner = F.coalesce("duplicate_of", "url")
     return crawl.mark_duplicates(rows).select(F.col("url").alias("doc_id"), "content_hash", owner.alias("owner"), F.col("duplicate_of").isNotNull().alias("duplicate"))
 

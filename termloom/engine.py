@@ -5,8 +5,9 @@ from __future__ import annotations
 import time
 from collections import deque
 from dataclasses import dataclass, field
+from inspect import signature
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.web import snippets
@@ -46,6 +47,30 @@ class Corpus:
     pagerank: DataFrame | None = None
 
 
+def open_corpus(spark: SparkSession, path: str, rows: DataFrame | None = None, source: str = "") -> Corpus:
+    """A saved index with its documents; INDEX_UNAVAILABLE where it can't be read."""
+    try:
+        index = Index.load(spark, path)
+    except Exception as e:
+        raise ServiceError("INDEX_UNAVAILABLE", f"no index at {path}: {e}") from e
+    ids = index.ids if index.ids is not None else index.docs.select("doc_id", F.col("doc_id").cast("string").alias("corpus_id"))
+    return Corpus(index, document_store(ids, rows, source))
+
+
+def document_store(ids: DataFrame, rows: DataFrame | None = None, source: str = "") -> DataFrame:
+    """(doc_id, corpus_id, title, url, text, source) for an index's id map.
+
+    ``rows`` (corpus_id and any of title, url, text) are a collection, a folder of pages or a
+    crawl's documents; without them, or where one is missing, the id stands for the title and
+    there is no text. A missing or empty title is the id as well."""
+    found = ids.select("doc_id", "corpus_id")
+    if rows is not None:
+        found = found.join(rows, "corpus_id", "left")
+    column = lambda c: F.col(c).cast("string") if c in found.columns else F.lit(None).cast("string")
+    title = F.coalesce(F.nullif(column("title"), F.lit("")), F.col("corpus_id"))
+    return found.select("doc_id", "corpus_id", title.alias("title"), column("url").alias("url"), column("text").alias("text"), F.lit(source).alias("source"))
+
+
 @dataclass
 class Engine:
     corpora: dict[str, Corpus]
@@ -58,6 +83,30 @@ class Engine:
             raise ServiceError("INVALID_CORPUS", f"no corpus {name}")
         return self.corpora[name or self.default]
 
+    def call(self, name: str, **params) -> object:
+        """A service call by name: NOT_FOUND for no such call, VALIDATION for parameters that it
+        does not take or of a wrong type, INTERNAL for what fails inside."""
+        if name not in ("health", "config", "search", "document", "stats", "trace"):
+            raise ServiceError("NOT_FOUND", f"no call {name}")
+        method = getattr(self, name)
+        known = signature(method).parameters
+        strict = not any(p.kind is p.VAR_KEYWORD for p in known.values())
+        for key, value in params.items():
+            if strict and key not in known:
+                raise ServiceError("VALIDATION", f"{name} takes no {key}")
+            kind = {"query": str, "corpus": str, "strategy": str, "implicit": str, "k": int, "page": int, "doc_id": int, "fuzzy_edits": int}.get(key)
+            if kind and value is not None and (not isinstance(value, kind) or isinstance(value, bool)):
+                raise ServiceError("VALIDATION", f"{key} must be {kind.__name__}")
+        missing = [p.name for p in known.values() if p.default is p.empty and p.kind is p.POSITIONAL_OR_KEYWORD and p.name not in params]
+        if missing:
+            raise ServiceError("VALIDATION", f"{name} needs {missing[0]}")
+        try:
+            return method(**params)
+        except ServiceError:
+            raise
+        except Exception as e:
+            raise ServiceError("INTERNAL", "the call failed") from e
+
     def health(self) -> dict:
         return {"status": "ok", "corpora": sorted(self.corpora), "default": self.default}
 
@@ -138,11 +187,23 @@ class Engine:
 
     def trace(self, query: str, corpus: str | None = None, implicit: str | None = None) -> dict:
         """How a query is understood: terms with df, number of candidates, the best ten."""
+        times, start = {}, time.perf_counter()
+
+        def stage(name: str) -> None:
+            nonlocal start
+            times[name], start = (time.perf_counter() - start) * 1000, time.perf_counter()
+
         c = self._corpus(corpus)
         tree = self._tree(query, implicit or self.limits.implicit, c)
+        stage("parse")
         df = {r["term"]: r["df"] for r in c.index.terms.where(F.col("term").isin(leaf_terms(tree))).collect()}
+        postings = {r["term"]: r["n"] for r in c.index.postings.where(F.col("term").isin(leaf_terms(tree))).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+        stage("lookup")
+        met = candidates(c.index, tree).count()
+        stage("candidates")
         best = ranking.top_k(ranking.rank(c.index, tree), 10).collect()
-        return {"terms": {t: df.get(t, 0) for t in leaf_terms(tree)}, "candidates": candidates(c.index, tree).count(), "top": [(r["doc_id"], r["score"]) for r in best]}
+        stage("rank")
+        return {"stages_ms": times, "postings": postings, "terms": {t: df.get(t, 0) for t in leaf_terms(tree)}, "candidates": met, "top": [(r["doc_id"], r["score"]) for r in best]}
 
 
-__all__ = ["Corpus", "Engine", "Limits", "ServiceError"]
+__all__ = ["Corpus", "Engine", "Limits", "ServiceError", "document_store", "open_corpus"]

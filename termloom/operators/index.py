@@ -25,6 +25,7 @@ class Index:
     config: AnalysisConfig
     n_docs: int
     total_tokens: int
+    ids: DataFrame | None = None  # doc_id, corpus_id
 
     @property
     def avgdl(self) -> float:
@@ -37,13 +38,16 @@ class Index:
         fixed = spark.createDataFrame([(self.n_docs, self.total_tokens, self.avgdl)], "num_docs long, total_tokens long, avg_doc_length double")
         return fixed.join(counted)
 
-    def save(self, path: str) -> None:
-        """Postings sorted by term, so that a term list prunes row groups."""
+    def save(self, path: str, ids: DataFrame | None = None) -> None:
+        """Postings sorted by term, so that a term list prunes row groups; and the map ``ids``
+        (doc_id, corpus_id), if there is one."""
+        if ids is not None:
+            ids.select("doc_id", F.col("corpus_id").cast("string").alias("corpus_id")).write.mode("overwrite").parquet(f"{path}/ids")
         # a term of very many documents lies in several files
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        meta = json.dumps({"config": json.loads(self.config.to_json()), "n_docs": self.n_docs, "total_tokens": self.total_tokens})
+        meta = json.dumps({"config": json.loads(self.config.to_json()), "n_docs": self.n_docs, "total_tokens": self.total_tokens, "ids": ids is not None})
         self.docs.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
@@ -53,6 +57,11 @@ class Index:
         index = Index(read("postings"), read("terms"), read("docs"), AnalysisConfig(**meta["config"]), meta["n_docs"], meta["total_tokens"])
         if index.docs.count() != index.n_docs:
             raise ValueError(f"{path} holds another number of documents than its metadata says")
+        if meta.get("ids"):
+            index.ids = read("ids")
+            row = index.ids.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+            if tuple(row) != (index.n_docs, index.n_docs):
+                raise ValueError(f"{path} maps another number of documents than it holds")
         return index
 
     def lookup(self, term: str) -> DataFrame:

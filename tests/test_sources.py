@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.engine import Engine, ServiceError, open_corpus
 from termloom.functions import web
 from termloom.functions.analysis import AnalysisConfig
 from termloom.sources import files
@@ -141,18 +142,76 @@ def test_crawl(spark):
     options = crawl.CrawlOptions(("http://s.org",), ("s.org",), max_pages=20, max_depth=2)
     state = crawl.crawl(spark, site(spark), options)
     got = {r["url"].removeprefix("http://s.org"): (r["depth"], r["status"]) for r in state.urls.collect()}
-    assert got == {"/": (0, "fetched"), "/a": (1, "fetched"), "/b": (1, "fetched"), "/no": (1, "failed"), "/blocked": (1, "skipped"), "/plain": (1, "failed"), "/c": (2, "fetched")}
+    assert got == {"/": (0, "fetched"), "/a": (1, "fetched"), "/b": (1, "fetched"), "/no": (1, "failed"), "/blocked": (1, "skipped"), "/plain": (1, "skipped"), "/c": (2, "fetched")}
     assert state.counts["fetched"] == 4 and state.counts["duplicates"] == 1 and state.counts["off_allowlist"] == 1 and state.counts["too_deep"] == 1
     owners = [r["url"] for r in crawl.indexable(state.documents).collect()]
     assert owners == ["http://s.org/", "http://s.org/a", "http://s.org/c"]
-    assert len(crawl.corpus_hash(state.documents)) == 64
+    lines = sorted((r["url"], r["title"], r["text"]) for r in crawl.indexable(state.documents).collect())
+    assert crawl.corpus_hash(state.documents) == hashlib.sha256("".join(f"{u}\t{t}\t{x}\n" for u, t, x in lines).encode()).hexdigest()
     few = crawl.crawl(spark, site(spark), crawl.CrawlOptions(("http://s.org",), ("s.org",), max_pages=2, max_depth=2))
     assert few.counts["fetched"] == 2 and {r["status"]: r["n"] for r in crawl.status_counts(few.urls).collect()}["pending"] > 0
     again = crawl.crawl(spark, site(spark), options, few)
     assert {r["url"] for r in again.urls.where("status = 'fetched'").collect()} == {r["url"] for r in state.urls.where("status = 'fetched'").collect()}
 
 
-@pytest.mark.parametrize("bad", [{"seeds": ()}, {"allowlist": ()}, {"max_pages": 0}, {"max_depth": -1}])
+def test_crawl_index_and_manifest(spark, tmp_path):
+    state = crawl.crawl(spark, site(spark), crawl.CrawlOptions(("http://s.org",), ("s.org",), max_pages=20, max_depth=2))
+    manifest = crawl.build_crawl_index(state, str(tmp_path))
+    assert manifest["corpusHash"] == crawl.corpus_hash(state.documents)
+    assert manifest["counts"]["indexable"] == 3 and manifest["counts"]["duplicates"] == 1 and manifest["counts"]["urls"] == {"fetched": 4, "failed": 1, "skipped": 2}
+    rows = state.documents.select(F.col("url").alias("corpus_id"), "title", "url", "text")
+    corpus = open_corpus(spark, f"{tmp_path}/crawled.index", rows, "crawl")
+    hit = Engine({"c": corpus}, "c").call("search", query="samell")[0].first()
+    assert hit["url"] == "http://s.org/a" and corpus.docs.where("source = 'crawl' and text is not null").count() == 3
+    bare = open_corpus(spark, f"{tmp_path}/crawled.index")
+    assert {(r["title"], r["text"]) for r in bare.docs.collect()} == {(u, None) for u in ("http://s.org/", "http://s.org/a", "http://s.org/c")}
+    with pytest.raises(ServiceError, match="INDEX_UNAVAILABLE"):
+        open_corpus(spark, str(tmp_path / "none"))
+    for call, code in (({"name": "nothing"}, "NOT_FOUND"), ({"name": "search"}, "VALIDATION"), ({"name": "search", "query": 3}, "VALIDATION"), ({"name": "stats", "x": 1}, "VALIDATION"), ({"name": "document", "doc_id": 9}, "DOC_NOT_FOUND")):
+        with pytest.raises(ServiceError, match=code):
+            Engine({"c": corpus}, "c").call(**call)
+
+
+def test_owner_is_the_first_arrival_after_a_resume(spark):
+    # a page of the second level is met again with a hash of a page of the first that a resumed run fetches
+    def page(text, *links):
+        return text + "".join(f'<a href="{x}">.</a>' for x in links)
+
+    rows = [("http://s.org/", page("home", *(f"/{i}" for i in range(1, 60))))]
+    rows += [(f"http://s.org/{i}", page(f"n{i}", "/deep") if i < 59 else "same") for i in range(1, 60)] + [("http://s.org/deep", "same")]
+    store = spark.createDataFrame([(u, 200, "text/html", b, u) for u, b in rows], "url string, status int, content_type string, body string, final_url string")
+    options = crawl.CrawlOptions(("http://s.org",), ("s.org",), max_pages=20, max_depth=2)
+    state = None
+    for _ in range(4):
+        state = crawl.crawl(spark, store, options, state)
+    assert {r["url"]: r["duplicate_of"] for r in state.documents.where("text = 'same'").collect()} == {"http://s.org/59": None, "http://s.org/deep": "http://s.org/59"}
+
+
+def test_politeness_redirects_and_size(spark):
+    rows = [
+        ("http://a.org/", 200, "text/html", "".join(f'<a href="http://{h}.org/{i}">x</a>' for i in range(3) for h in "ab"), None),
+        ("http://b.org/robots.txt", 200, "text/plain", "User-agent: *\nCrawl-delay: 5\nDisallow: /2", None),
+        *((f"http://{h}.org/{i}", 200, "text/html", f"{h}{i}", None) for i in (1, 2) for h in "ab"),
+        ("http://a.org/0", 302, None, None, "/hop"), ("http://a.org/hop", 301, None, None, "http://a.org/end"), ("http://a.org/end", 200, "text/html", "moved <a href='z'>z</a>", None),
+        ("http://b.org/0", 302, None, None, "/0"),
+    ]
+    store = spark.createDataFrame([(u, s, t, b, None, loc) for u, s, t, b, loc in rows], "url string, status int, content_type string, body string, final_url string, location string")
+    options = crawl.CrawlOptions(("http://a.org",), ("a.org", "b.org"), max_pages=20, max_depth=1, delay=2, max_redirects=3)
+    state = crawl.crawl(spark, store, options)
+    status = {r["url"]: (r["status"], r["reason"]) for r in state.urls.collect()}
+    assert status["http://b.org/2"] == ("skipped", "robots") and status["http://a.org/0"] == ("fetched", None) and status["http://b.org/0"] == ("failed", "too many redirects")
+    assert state.documents.where("url = 'http://a.org/0'").first()["text"] == "moved z"
+    assert state.links.where("from_url = 'http://a.org/0'").first()["to_url"] == "http://a.org/z"
+    at = {r["url"]: r["at"] for r in state.requests.collect()}
+    assert at == {"http://a.org/": 0, "http://a.org/0": 2, "http://a.org/1": 4, "http://a.org/2": 6, "http://b.org/0": 0, "http://b.org/1": 5}
+    # a budget takes what is due first
+    few = crawl.crawl(spark, store, crawl.CrawlOptions(("http://a.org",), ("a.org", "b.org"), max_pages=4, max_depth=1, delay=2))
+    assert {r["url"] for r in few.requests.collect()} == {"http://a.org/", "http://b.org/0", "http://a.org/0", "http://a.org/1"}
+    small = crawl.crawl(spark, store, crawl.CrawlOptions(("http://a.org",), ("a.org",), max_bytes=10))
+    assert small.urls.first()["reason"] == "body too long"
+
+
+@pytest.mark.parametrize("bad", [{"seeds": ()}, {"allowlist": ()}, {"max_pages": 0}, {"max_depth": -1}, {"delay": -1.0}, {"max_bytes": 0}])
 def test_bad_crawl_options(bad):
     with pytest.raises(ValueError):
         crawl.CrawlOptions(**({"seeds": ("http://a",), "allowlist": ("*",)} | bad))
