@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,13 +178,49 @@ def debug_export(spark, sf_dir):
 def porter_vocab(spark, sf_dir):
     """Every term of the vocabulary with its stem."""
 
-    @F.udf("string", useArrow=True)
-    def stem(term: str) -> str:
-        return porter.stem(term)
+    @F.pandas_udf("string")
+    def stem(terms: pd.Series) -> pd.Series:
+        return terms.map(porter.stem)
 
     return index_of(spark, sf_dir).terms.select("term", stem("term").alias("stem"))
 
 
+#: Words with their stems, examples of the published description of the stemmer.
+STEMS = (
+    "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat "
+    "troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat "
+    "conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile "
+    "analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous "
+    "formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope "
+    "goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit "
+    "replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ angulariti angular homologous homolog "
+    "effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll"
+).split()
+#: Texts in forms that the default analysis makes equal, and their terms.
+ANALYZED = (
+    ("The Ponies' relational operators", "poni relat oper"),
+    ("ﬁling the ﬂags", "file flag"),
+    ("Ｆｕｌｌ ｗｉｄｔｈ Ⅷ ①②", "full width viii 12"),
+    ("don't stop MOTORING", "stop motor"),
+    ("it’s the and of", ""),
+    ("naïve café–bar", "naïv café bar"),
+)
+
+
+@register("porter_examples", f"SELECT * FROM (VALUES {', '.join(f"('{w}', '{t}')" for w, t in zip(STEMS[::2], STEMS[1::2], strict=True))}) v(word, stem)")
+def porter_examples(spark, sf_dir):
+    """The stemmer, by way of the default analysis of columns, over published examples."""
+    rows = spark.createDataFrame([(w,) for w in STEMS[::2]], "word string")
+    return rows.select("word", F.array_join(analyzed_terms(F.col("word"), AnalysisConfig(stopwords="none")), " ").alias("stem"))
+
+
+@register("default_analysis", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(x.replace("'", "''"), t) for x, t in ANALYZED) + ") v(text, terms)")
+def default_analysis(spark, sf_dir):
+    """NFKC, stop-words and stemming together, as users get them."""
+    rows = spark.createDataFrame([(x,) for x, _ in ANALYZED], "text string")
+    return rows.select("text", F.array_join(analyzed_terms(F.col("text"), AnalysisConfig()), " ").alias("terms"))
+
+
 # --- Boolean and positional retrieval ---------------------------------------------------
 
 
@@ -583,13 +620,32 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("page_id", "from_url", normalized_url(F.col("l.raw_href"), F.col("from_url")).alias("to_url"), F.col("l.position").alias("position"), F.col("l.anchor").alias("anchor"))
 
 
-@register("html_links")
+_SAFE_MARKS = ",*$&%:;!|@()+='~"
+_PATH = "url_encode(regexp_replace(substr(trim({}), 2), '#.*$', ''))"
+for _mark in _SAFE_MARKS:
+    _PATH = f"replace({_PATH}, '%{ord(_mark):02X}', '{_mark * 2 if _mark == chr(39) else _mark}')"
+_PATH = f"replace({_PATH}, '%2F', '/')"
+
+
+@register("html_links", rf"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<a href="[^"]*"[^>]*>.*?</a>') AS l FROM pages),
+    u AS (SELECT page_id, url, unnest(l) AS tag, unnest(range(len(l))) AS position FROM a),
+    h AS (SELECT *, regexp_extract(tag, '<a href="([^"]*)"', 1) AS href, regexp_replace(tag, '<[^>]+>', '', 'g') AS words FROM u)
+    SELECT page_id, url AS from_url, lower(regexp_extract(url, '^(https?://[^/]+)', 1)) || '/' || {_PATH.format('href')} AS to_url, position::INT AS position,
+        trim(regexp_replace({_ENTITY.format('words')}, '\s+', ' ', 'g')) AS anchor FROM h""")
 def html_links(spark, sf_dir):
     """Every link of every page, resolved and normalised."""
     return page_links(spark, sf_dir)
 
 
-@register("html_extract")
+_MARKS = {"nbsp": "\u00a0", "copy": "©", "middot": "·", "mdash": "—", "ndash": "–", "hellip": "…", "laquo": "«", "raquo": "»", "eacute": "é", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ"}
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|noscript|template|svg|iframe)\b.*?</(script|style|noscript|template|svg|iframe)>', '', 'g'), '<[^>]+>', '', 'g')"
+for _name, _char in _MARKS.items():
+    _BARE = f"replace({_BARE}, '&{_name};', '{_char}')"
+
+
+@register("html_extract", rf"""SELECT page_id, trim(regexp_replace({_ENTITY.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) AS title,
+    trim(regexp_replace({_ENTITY.format(_BARE)}, '[\s ]+', ' ', 'g')) AS text, len(regexp_extract_all(html, '<a href="[^"]+"'))::INT AS n_links,
+    len(regexp_extract_all(html, '<h[1-3]\b'))::INT AS n_headings FROM pages""")
 def html_extract(spark, sf_dir):
     """Title, text and counts of every page."""
     page = extracted(F.col("html"), F.col("url"))
@@ -626,7 +682,8 @@ def frontier_bfs_order(spark, sf_dir):
     return state.urls.select("url", "depth", "place", "status")
 
 
-@register("robots_match")
+@register("robots_match", r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+([^#]*)', 1) AS path FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(path, '^/.*[?]page=') THEN false WHEN starts_with(path, '/de/1') THEN true ELSE NOT starts_with(path, '/de/') END AS allowed FROM p""")
 def robots_match_query(spark, sf_dir):
     """Whether a fixed robots.txt lets an agent fetch each page."""
     rules = "User-agent: *\nDisallow: /de/\nAllow: /de/1\nDisallow: /*?page=\n\nUser-agent: other\nDisallow: /\n"
