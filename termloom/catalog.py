@@ -169,9 +169,8 @@ def postings_lookup(spark, sf_dir):
 
 @register("debug_export", f"{_BASE} SELECT term, count(*)::INT AS n_docs, sum(tf)::BIGINT AS total_tf, min(doc_id) AS first_doc FROM post GROUP BY term")
 def debug_export(spark, sf_dir):
-    p = F.col("postings")
-    total = F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["tf"])
-    return index_of(spark, sf_dir).debug().select("term", F.size(p).alias("n_docs"), total.alias("total_tf"), p[0]["doc_id"].alias("first_doc"))
+    rows = index_of(spark, sf_dir).debug().groupBy("term")
+    return rows.agg(F.count(F.lit(1)).cast("int").alias("n_docs"), F.sum("tf").alias("total_tf"), F.min("doc_id").alias("first_doc"))
 
 
 @register("porter_vocab")

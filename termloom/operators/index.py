@@ -69,9 +69,8 @@ class Index:
         return self.postings.where(F.col("term") == term)
 
     def debug(self) -> DataFrame:
-        """Decoded postings per term."""
-        row = F.struct("doc_id", "tf", "positions")
-        return self.postings.groupBy("term").agg(F.array_sort(F.collect_list(row)).alias("postings"))
+        """Decoded postings (term, doc_id, tf, positions) in order, to be written as text or JSON."""
+        return self.postings.select("term", "doc_id", "tf", "positions").orderBy("term", "doc_id")
 
 
 def spread(df: DataFrame) -> DataFrame:

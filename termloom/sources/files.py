@@ -9,10 +9,20 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file, 1-based; the file is one record, so lines keep their order."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    return lines.select((F.col("line") + 1).alias("line"), "value")
+    """(line, seq, value) of one text file: the 1-based number of each line, and its 0-based place
+    among those that are not blank.
+
+    A large file is read by blocks; lines are counted within their block, and the blocks' totals,
+    one row each, are added up before it."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    full = (F.trim("value") != "").cast("long")
+    here = Window.partitionBy("block").orderBy("id")
+    rows = rows.select("block", "value", F.row_number().over(here).cast("long").alias("line"), (F.sum(full).over(here) - full).alias("seq"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(full).alias("k"))
+    sizes = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k"))
+    return rows.join(sizes, "block").select((F.col("line") + F.col("n")).alias("line"), (F.col("seq") + F.col("k")).alias("seq"), "value")
 
 
 def _fail(path_line: Column, what: str) -> Column:
@@ -28,9 +38,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(value), '$._id', 'variant'))")
     good = F.expr("is_variant_null(try_parse_json(value))").isNotNull() & kind.startswith("STRING")
     ident = F.when(good, parsed["_id"]).otherwise(_fail(F.col("line"), "_id is not a string"))
-    rows = rows.select("line", ident.alias("corpus_id"), F.coalesce(parsed["title"], F.lit("")).alias("title"), F.coalesce(parsed["text"], F.lit("")).alias("text"))
-    order = F.row_number().over(Window.orderBy("line")) - 1  # one file's lines; already one record
-    return rows.select(order.cast("long").alias("doc_id"), "corpus_id", "title", "text")
+    return rows.select(F.col("seq").alias("doc_id"), ident.alias("corpus_id"), F.coalesce(parsed["title"], F.lit("")).alias("title"), F.coalesce(parsed["text"], F.lit("")).alias("text"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +73,11 @@ def file_hash(spark: SparkSession, path: str) -> str:
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def indexed_text(title: Column, text: Column) -> Column:
     """title + ". " + text, or the text alone without a title."""
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit(". "), F.coalesce(text, F.lit("")))).otherwise(F.coalesce(text, F.lit("")))
@@ -89,8 +102,15 @@ def _entities(col: Column) -> Column:
 
 def read_static_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, corpus_id, title, url, text) of a folder of pages listed in documents.jsonl
-    with their SHA-256; a page that is missing or has another hash fails."""
+    with their SHA-256; a page that is missing or has another hash fails, and so does a list that
+    has another hash or number of documents than manifest.json says, if there is one."""
     listed = spark.read.schema("id string, file string, title string, url string, sha256 string").json(f"{folder}/documents.jsonl")
+    said = spark.read.schema("documentsSha256 string, numDocuments long").json(f"{folder}/manifest.json", multiLine=True).first() if _exists(spark, f"{folder}/manifest.json") else None
+    if said is not None:
+        if said["documentsSha256"] != file_hash(spark, f"{folder}/documents.jsonl"):
+            raise ValueError(f"{folder}/documents.jsonl has another hash than the manifest says")
+        if said["numDocuments"] != listed.count():
+            raise ValueError(f"{folder} lists another number of documents than the manifest says")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(folder)
     files = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("html"))
     joined = listed.withColumn("name", F.regexp_extract("file", r"([^/]+)$", 1)).join(files, "name", "left")
@@ -124,6 +144,56 @@ def merge_collections(parts: dict[str, DataFrame], key: str) -> DataFrame:
     return out
 
 
+def news_parts(raw: Column) -> tuple[Column, Column]:
+    """Subject and body of a news message: the header block ends at the first blank line, and a
+    folded subject goes on with lines that begin with white space."""
+    text = F.regexp_replace(raw, "\r\n", "\n")
+    cut = F.instr(text, "\n\n")
+    header = F.when(cut > 0, F.substring(text, F.lit(1), cut - 1)).otherwise(text)
+    subject = F.regexp_extract(F.regexp_replace(header, r"[ \t]*\n[ \t]+", " "), r"(?im)^Subject:[ \t]*(.*)$", 1)
+    return F.trim(subject), F.when(cut > 0, F.regexp_replace(F.substring(text, cut + 2, F.length(text)), r"^\s+|\s+$", "")).otherwise(F.lit(""))
+
+
+def read_news(spark: SparkSession, folder: str) -> DataFrame:
+    """(corpus_id, title, text) of a tree split/group/file of news messages; messages with neither
+    subject nor body are left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    title, body = news_parts(F.decode("content", "UTF-8"))
+    rows = raw.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("corpus_id"), title.alias("title"), body.alias("text"))
+    return rows.where((F.col("title") != "") | (F.col("text") != ""))
+
+
+#: Lines between a contents list's headings at most.
+CONTENTS_GAP = 5
+
+
+def split_books(lines: DataFrame, heading: str, isolated: bool = True) -> DataFrame:
+    """(book, part, heading, text) of books given as (book, line, value).
+
+    A book is what stands between its licence's START and END lines, or all of it. A part begins
+    with a line that matches ``heading``; with ``isolated``, not one that has another heading within
+    CONTENTS_GAP lines, as in a list of contents. Paragraphs are folded and apart by newlines;
+    illustrations are left out. One book is one task's window."""
+    per = Window.partitionBy("book").orderBy("line")
+    upto, rest = per.rowsBetween(Window.unboundedPreceding, 0), per.rowsBetween(Window.unboundedPreceding, -1)
+    mark = lambda word: F.col("value").rlike(rf"^\*\*\* {word} OF (THE|THIS) PROJECT GUTENBERG EBOOK").cast("int")
+    whole = Window.partitionBy("book")
+    rows = lines.withColumns({"begun": F.coalesce(F.sum(mark("START")).over(rest), F.lit(0)), "any": F.max(mark("START")).over(whole)})
+    rows = rows.where((F.col("begun") > 0) | (F.col("any") == 0)).withColumn("ended", F.sum(mark("END")).over(upto)).where("ended = 0")
+    rows = rows.select("book", "line", "value", F.col("value").rlike(heading).alias("is_heading"))
+    found = rows.where("is_heading")
+    if isolated:
+        near = lambda other: F.coalesce(F.abs(F.col("line") - other) <= CONTENTS_GAP, F.lit(False))
+        found = found.withColumns({"a": F.lag("line").over(per), "b": F.lead("line").over(per)}).where(~near(F.col("a")) & ~near(F.col("b")))
+    found = found.select("book", "line", F.lit(1).alias("begins"))
+    rows = rows.join(found, ["book", "line"], "left").withColumn("part", F.sum(F.coalesce("begins", F.lit(0))).over(upto))
+    inside = F.when(F.col("begins").isNull(), F.struct("line", "value"))
+    parts = rows.where("part > 0").groupBy("book", "part").agg(F.max(F.when(F.col("begins") == 1, F.trim("value"))).alias("heading"), F.array_sort(F.collect_list(inside)).alias("held"))
+    text = F.regexp_replace(F.array_join(F.transform("held", lambda r: r["value"]), "\n"), r"(?s)\[Illustration.*?\]", "")
+    folded = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    return parts.select("book", F.col("part").cast("int").alias("part"), "heading", F.array_join(folded, "\n").alias("text"))
+
+
 def check_coverage(qrels: DataFrame, corpus: DataFrame, queries: DataFrame) -> None:
     """Every judged document and query must exist."""
     for key, other in (("corpus_id", corpus), ("query_id", queries)):

@@ -122,6 +122,32 @@ def test_decode_and_snippet():
     assert web.make_snippet("nothing", {"fox"}, config) == {"text": "nothing", "matched": False, "source_start": 0, "highlights": []}
 
 
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f"line {i}" if i % 7 else " \t"[: i % 2] for i in range(3000)]
+    path = write(tmp_path / "l.txt", "\r\n".join(lines) + "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.numbered_lines(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["line"], r["value"]) for r in rows) == list(enumerate(lines, 1))
+    assert [r["seq"] for r in sorted(rows, key=lambda r: r["line"]) if r["value"].strip()] == list(range(sum(bool(x.strip()) for x in lines)))
+
+
+def test_news_and_books(spark, tmp_path):
+    group = tmp_path / "train" / "sci"
+    group.mkdir(parents=True)
+    (group / "1").write_bytes(b"From: a\r\nSUBJECT: Re: the\r\n  moon\r\nX: y\r\n\r\nbody\r\n\r\nend\r\n")
+    (group / "2").write_bytes(b"From: b\n\n\n")
+    (group / "3").write_bytes(b"Subject: alone")
+    got = {r["corpus_id"]: (r["title"], r["text"]) for r in files.read_news(spark, str(tmp_path)).collect()}
+    assert got == {"train/sci/1": ("Re: the moon", "body\n\nend"), "train/sci/3": ("alone", "")}
+    book = ["licence", "*** START OF THE PROJECT GUTENBERG EBOOK X", "CHAPTER I", "CHAPTER II", *[""] * 8, "CHAPTER I", "One", "line.", "", "[Illustration: a", "b] Two.", *[""] * 6, "CHAPTER II", "", "Last.", "*** END OF THE PROJECT GUTENBERG EBOOK X", "CHAPTER III"]
+    lines = [("x", i, v) for i, v in enumerate(book)] + [("y", i, v) for i, v in enumerate(["CHAPTER I", "all"])]
+    got = files.split_books(spark.createDataFrame(lines, "book string, line int, value string"), r"^CHAPTER [IVX]+$").collect()
+    assert sorted(map(tuple, got)) == [("x", 1, "CHAPTER I", "One line.\nTwo."), ("x", 2, "CHAPTER II", "Last."), ("y", 1, "CHAPTER I", "all")]
+
+
 def site(spark):
     def page(*links, text="t"):
         return "<html><body>" + text + "".join(f'<a href="{x}">l</a>' for x in links) + "</body></html>"
