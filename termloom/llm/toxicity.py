@@ -10,7 +10,7 @@ lattice as well: each may be kept or dropped, and the words of the best path are
 beside the tokens; runs of pieces of one or two letters are searched as one stretch.
 
 The scorer is learned from labelled rows outside the held-out fold (at most
-``TRAINING_ROWS``, the first by a hash of their ids): words and word beginnings with the
+``TRAINING_ROWS`` ids, the first by a hash of them, with one text each): words and word beginnings with the
 highest smoothed log odds of toxic documents form the lexicon, and a logistic regression
 over the strongest matches of a document gives its score.
 
@@ -262,6 +262,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_R
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = docs.join(F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)), "doc_id")
+    # one text of each id, so that rows that repeat an id don't add to the bounded sample
+    taught = taught.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(*shared.value)

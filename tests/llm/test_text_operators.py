@@ -73,8 +73,28 @@ def test_discriminant_is_the_gaussian_formula():
     assert model.scores(points) == pytest.approx(1 / (1 + np.exp(logs[0] - logs[1])))
 
 
-def test_quality_filter_keeps_columns(spark, odd, labels):
-    assert quality.keep_accepted(odd, labels.limit(0)).columns == odd.columns
+def test_statistics_against_brute_force():
+    import re
+
+    texts = [None, "", "One two  two\n\nTHREE 3 a!\nOne two  two\n", "Ünï € <b>", " \n", "w" * 5000]
+    for t in texts:
+        raw = (t or "").encode()
+        n, words, lines = len(raw), raw.split(), [x for x in raw.split(b"\n") if x]
+        share = lambda k, of: np.log((k + 0.5) / (of + 20))
+        kinds = [b"[A-Z]", b"[a-z]", b"[0-9]", rb"[.,;:'\"()\-?]", rb"[!#$%&*+/<=>@\[\\\]^_`{|}~]"]
+        want = [np.log(len(words) + 1), np.log((n + 1) / (len(words) + 1)), *(share(len(re.findall(k, raw)), n) for k in kinds)]
+        want += [share(n - len(t or ""), n), np.log((len(set(words)) + 1) / (len(words) ** 0.8 + 1)), share(sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words))]
+        want += [share(len(lines), len(words)), share(len(lines) - len(set(lines)), len(lines)), share(sum(w.isupper() for w in words), len(words)), share(sum(len(w) == 1 for w in words), len(words))]
+        assert quality.statistics(t) == pytest.approx(want), t
+    assert len(want) == len(quality.STATISTICS)
+
+
+def test_rejected_rows(spark, odd, labels):
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(odd, labels).collect()}
+    numbered = odd.withColumn("n", F.monotonically_increasing_id())
+    out = {r["n"] for r in quality.rejected(numbered, labels, "n").collect()}
+    assert {r["n"] for r in numbered.collect() if scores[r["doc_id"]] < 0.5} == out
+    assert quality.rejected(numbered.limit(0), labels, "n").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -186,6 +206,42 @@ def test_words_across_spaces(restorer):
     assert "ass" in restorer.words("a s s") and "idiot" in restorer.words("id iot") and "stupid" in restorer.words("stu pid")
 
 
+def best_by_trying_all(restorer, token):
+    """The best original of a token over every path through its lattice."""
+    import itertools
+
+    edge, size, logs = restorer._symbol(" "), restorer.size, restorer.logs
+    choices = []
+    for i, c in enumerate(token):
+        found = [(c, 0.0)] + [(x, -toxicity.ACT_COST) for x in toxicity.STANDS_FOR.get(c, "")]
+        if c in toxicity.SEPARATORS or c == " " or i and token[i - 1] == c:
+            found.append(("", -toxicity.ACT_COST / 2))
+        choices.append(found)
+    best = {}
+    for path in itertools.product(*choices):
+        text, cost, a, b = "".join(x for x, _ in path), sum(v for _, v in path), 0, 0
+        for s in [*map(restorer._symbol, text), edge]:
+            cost, a, b = cost + logs[(a * size + b) * size + s], b, s
+        best[text] = max(best.get(text, -np.inf), cost)
+    return best
+
+
+@pytest.mark.parametrize("token", ["1d10t", "m0r0n", "cl-o-wn", "stuupid", "$tup!d!!", "id iot", "s t u", "1|1", "a--b", "zz0z", "the"])
+def test_decoding_against_all_paths(restorer, token):
+    every = best_by_trying_all(restorer, token)
+    got = restorer.decode(token)
+    assert every[got] == pytest.approx(max(every.values()), abs=1e-4)
+
+
+def test_repeated_rows_teach_once(spark, labels):
+    words = ["idiot moron", "clown stupid", "search engine", "the and of"]
+    docs = [(i, f"{words[i % 2 if i % 2 == 0 else 2]} {i}") for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    once = {r["doc_id"]: r["score"] for r in toxicity.toxicity(table, labels).collect()}
+    many = toxicity.toxicity(table.unionByName(table.where("doc_id = 4")), labels).collect()
+    assert len(many) == 61 and all(r["score"] == pytest.approx(once[r["doc_id"]], abs=0.2) for r in many)
+
+
 def test_long_tokens_are_decoded_to_their_end(restorer):
     assert restorer.restored("x" + "1d10t" * 200)[-500:] == "idiot" * 100
     assert restorer.restored("cl-o-wn" * 100)[-5:] == "clown"
