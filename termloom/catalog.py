@@ -116,7 +116,7 @@ def _ranked(spark: SparkSession, sf_dir: str, query: str, strategy: ranking.Stra
 
 @register("tokens_count", f"WITH {_RAW} SELECT count(*) AS tokens, count(DISTINCT term) AS distinct_terms FROM norm WHERE term <> ''")
 def tokens_count(spark, sf_dir):
-    found = tokens(read(spark, sf_dir, "documents"), AnalysisConfig("none", "none", False))
+    found = tokens(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), AnalysisConfig("none", "none", False))
     return found.agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("distinct_terms"))
 
 
@@ -125,7 +125,7 @@ def tokens_count(spark, sf_dir):
 def stopword_filter(spark, sf_dir):
     text = F.col("text")
     every, kept = analyzed_terms(text, AnalysisConfig("none", "none", False)), analyzed_terms(text, PLAIN)
-    sizes = read(spark, sf_dir, "documents").select("doc_id", F.size(every).alias("all"), F.size(kept).alias("kept"))
+    sizes = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(every).alias("all"), F.size(kept).alias("kept"))
     return sizes.select("doc_id", "kept", (F.col("all") - F.col("kept")).alias("dropped"))
 
 
@@ -614,7 +614,7 @@ def url_host_allowlist(spark, sf_dir):
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, from_url, to_url, position, anchor) of every link of the pages."""
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", extracted(F.col("html"), F.col("url")).alias("page"))
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", extracted(F.col("html"), F.col("url")).alias("page"))
     links = pages.select("page_id", F.col("url").alias("from_url"), F.explode("page.links").alias("l"))
     return links.select("page_id", "from_url", normalized_url(F.col("l.raw_href"), F.col("from_url")).alias("to_url"), F.col("l.position").alias("position"), F.col("l.anchor").alias("anchor"))
 
@@ -648,7 +648,7 @@ for _name, _char in _MARKS.items():
 def html_extract(spark, sf_dir):
     """Title, text and counts of every page."""
     page = extracted(F.col("html"), F.col("url"))
-    rows = read(spark, sf_dir, "pages").select("page_id", page.alias("p"))
+    rows = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", page.alias("p"))
     return rows.select("page_id", "p.title", "p.text", F.size("p.links").alias("n_links"), F.size("p.headings").alias("n_headings"))
 
 

@@ -210,6 +210,61 @@ def read_artifacts(spark: SparkSession, paths: str) -> DataFrame:
     return rows.select("file", F.col("r.kind").alias("kind"), F.col("r.createdAt").alias("created"), F.col("r.config").alias("config"), F.col("r.metrics").alias("metrics")).orderBy(F.desc("file"))
 
 
+#: Where the recorded experiments of each kind hold what a service shows, by file
+#: name ending; "kind" has a default where a file does not say it.
+ARTIFACTS = {
+    "run": {
+        "experiment_id": ("$.experiment_id", "string"), "timestamp": ("$.timestamp", "string"), "git_sha": ("$.git.sha", "string"),
+        "corpus": ("$.corpus.name", "string"), "strategy": ("$.strategy.id", "string"), "mode": ("$.strategy.mode", "string"),
+        "params": ("$.strategy.params", "json"), "evaluated_queries": ("$.query_set.evaluated_queries", "double"), "map": ("$.metrics.map", "double"),
+        "ndcg10": ("$.metrics.ndcg['10']", "double"), "recall100": ("$.metrics.recall['100']", "double"), "latency_avg_ms": ("$.latency_ms.avg", "double"),
+        "fuzzy": ("$.fuzzy.enabled", "boolean"),
+    },
+    "-fuzzy-benchmark.json": {
+        "kind": ("$.kind", "string"), "timestamp": ("$.timestamp", "string"), "git_sha": ("$.git.sha", "string"), "strategy": ("$.config.strategy", "string"),
+        "max_edits": ("$.config.fuzzy.maxEdits", "double"), "judged_queries": ("$.query_set.judged_queries", "double"), "arms": ("$.arms", "json"),
+        "corrections": ("$.corrections", "json"),
+    },
+    "-query-benchmark.json": {
+        "kind": ("$.kind", "string"), "timestamp": ("$.timestamp", "string"), "git_sha": ("$.git.sha", "string"), "corpus": ("$.config.corpus", "string"),
+        "queries": ("$.config.queries", "double"), "topk": ("$.config.topk", "double"), "parse_failures": ("$.parse_failures.candidates", "double"),
+        "stages": ("$.stages", "json"), "results": ("$.results", "json"), "fuzzy_expansion": ("$.fuzzy_expansion", "json"), "link_graph": ("$.link_graph", "json"),
+    },
+    "-pagerank.json": {
+        "kind": ("$.kind", "string"), "timestamp": ("$.timestamp", "string"), "git_sha": ("$.git.sha", "string"), "run_id": ("$.runId", "double"),
+        "graph": ("$.graph", "json"), "convergence": ("$.convergence", "json"), "sum": ("$.scores.sum", "double"), "top": ("$.scores.top", "json"),
+    },
+}
+_DEFAULT_KIND = {"-fuzzy-benchmark.json": "fuzzy-typo-benchmark", "-query-benchmark.json": "query-latency", "-pagerank.json": "pagerank"}
+
+
+def artifacts_of(spark: SparkSession, paths: str, ending: str = "run") -> DataFrame:
+    """Recorded experiments of a kind, one row a readable file, newest name first; what a file does
+    not hold, or holds in another type, is null. Parts of no fixed form are JSON text. Runs without
+    a mean average precision are left out."""
+    raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.expr("try_parse_json(value)").alias("v"))
+    quoted = lambda path: path.replace("'", "\\'")
+
+    def column(name: str, path: str, kind: str) -> Column:
+        part = f"try_variant_get(v, '{quoted(path)}', 'variant')"
+        if kind == "json":
+            return F.expr(f"to_json({part})").alias(name)
+        # numbers and texts are not turned into each other
+        types = {"string": ("STRING",), "double": ("BIGINT", "DOUBLE", "DECIMAL", "INT", "TINYINT", "SMALLINT"), "boolean": ("BOOLEAN",)}[kind]
+        of_type = " OR ".join(f"startswith(schema_of_variant({part}), '{t}')" for t in types)
+        return F.expr(f"CASE WHEN {of_type} THEN try_variant_get(v, '{quoted(path)}', '{kind}') END").alias(name)
+
+    rows = raw.where("v IS NOT NULL")
+    if ending != "run":
+        rows = rows.where(F.col("file").endswith(ending))
+    rows = rows.select("file", *(column(n, *f) for n, f in ARTIFACTS[ending].items()))
+    if ending == "run":
+        rows = rows.where("map IS NOT NULL").withColumn("fuzzy", F.coalesce("fuzzy", F.lit(False)))
+    else:
+        rows = rows.withColumn("kind", F.coalesce("kind", F.lit(_DEFAULT_KIND[ending])))
+    return rows.orderBy(F.desc("file"))
+
+
 def write_experiment(spark: SparkSession, path: str, artifact: dict) -> None:
     spark.createDataFrame([(json.dumps(artifact, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

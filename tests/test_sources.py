@@ -148,6 +148,19 @@ def test_news_and_books(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("x", 1, "CHAPTER I", "One line.\nTwo."), ("x", 2, "CHAPTER II", "Last."), ("y", 1, "CHAPTER I", "all")]
 
 
+def test_recorded_experiments(spark, tmp_path):
+    run = {"experiment_id": "e", "git": {"sha": 7}, "strategy": {"id": "bm25", "params": {"b": 0.5}}, "metrics": {"map": 0.25, "ndcg": {"10": 0.5}}, "fuzzy": {"enabled": True}}
+    for name, value in (("1.json", run), ("2.json", {"metrics": {"map": "x"}}), ("3.json", {"metrics": {"map": 1}}), ("a-pagerank.json", {"scores": {"sum": 1.0, "top": [[1, 2]]}, "graph": {"n": 3}})):
+        write(tmp_path / name, json.dumps(value))
+    write(tmp_path / "4.json", "{broken")
+    got = files.artifacts_of(spark, str(tmp_path / "[0-9].json")).collect()
+    assert [r["file"] for r in got] == ["3.json", "1.json"] and got[0]["map"] == 1.0 and not got[0]["fuzzy"]
+    one = got[1].asDict()
+    assert (one["git_sha"], one["strategy"], json.loads(one["params"]), one["ndcg10"], one["recall100"], one["fuzzy"]) == (None, "bm25", {"b": 0.5}, 0.5, None, True)
+    (rank,) = files.artifacts_of(spark, str(tmp_path), "-pagerank.json").collect()
+    assert (rank["kind"], rank["sum"], json.loads(rank["top"]), json.loads(rank["graph"])) == ("pagerank", 1.0, [[1, 2]], {"n": 3})
+
+
 def site(spark):
     def page(*links, text="t"):
         return "<html><body>" + text + "".join(f'<a href="{x}">l</a>' for x in links) + "</body></html>"
