@@ -62,6 +62,27 @@ class CrawlState:
     counts: dict[str, int] = field(default_factory=dict)
 
 
+    def save(self, path: str) -> None:
+        """Write the state under ``path``, to be gone on with in another session."""
+        for name in ("urls", "documents", "links", "requests"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = self.urls.sparkSession
+        spark.createDataFrame([(json.dumps(self.counts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/counts")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CrawlState:
+        tables = [spark.read.parquet(f"{path}/{name}") for name in ("urls", "documents", "links", "requests")]
+        return CrawlState(*tables, json.loads(spark.read.text(f"{path}/counts").first()["value"]))
+
+
+def upsert(known: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """``known`` with the rows of ``fresh`` in the place of those with the same keys; of rows of
+    ``fresh`` with the same keys the greatest stays."""
+    last = fresh.groupBy(*keys).agg(F.max(F.struct(*[c for c in fresh.columns if c not in keys])).alias("__row"))
+    last = last.select(*keys, "__row.*").select(*known.columns)
+    return known.join(last.select(*keys), keys, "left_anti").select(*known.columns).unionByName(last)
+
+
 def enqueue(known: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows of ``fresh`` whose url is not known; the first by place stays."""
     first = Window.partitionBy("url").orderBy("place")

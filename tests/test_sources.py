@@ -161,6 +161,12 @@ def test_recorded_experiments(spark, tmp_path):
     assert (rank["kind"], rank["sum"], json.loads(rank["top"]), json.loads(rank["graph"])) == ("pagerank", 1.0, [[1, 2]], {"n": 3})
 
 
+def test_upsert(spark):
+    known = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "url string, n int, t string")
+    fresh = spark.createDataFrame([("b", 2, "z"), ("b", 3, "w"), ("c", 1, "v")], "url string, n int, t string")
+    assert sorted(map(tuple, crawl.upsert(known, fresh, ["url"]).collect())) == [("a", 1, "x"), ("b", 3, "w"), ("c", 1, "v")]
+
+
 def site(spark):
     def page(*links, text="t"):
         return "<html><body>" + text + "".join(f'<a href="{x}">l</a>' for x in links) + "</body></html>"
@@ -177,7 +183,7 @@ def site(spark):
     return spark.createDataFrame([(*r, r[0]) for r in rows], "url string, status int, content_type string, body string, final_url string")
 
 
-def test_crawl(spark):
+def test_crawl(spark, tmp_path):
     options = crawl.CrawlOptions(("http://s.org",), ("s.org",), max_pages=20, max_depth=2)
     state = crawl.crawl(spark, site(spark), options)
     got = {r["url"].removeprefix("http://s.org"): (r["depth"], r["status"]) for r in state.urls.collect()}
@@ -189,7 +195,8 @@ def test_crawl(spark):
     assert crawl.corpus_hash(state.documents) == hashlib.sha256("".join(f"{u}\t{t}\t{x}\n" for u, t, x in lines).encode()).hexdigest()
     few = crawl.crawl(spark, site(spark), crawl.CrawlOptions(("http://s.org",), ("s.org",), max_pages=2, max_depth=2))
     assert few.counts["fetched"] == 2 and {r["status"]: r["n"] for r in crawl.status_counts(few.urls).collect()}["pending"] > 0
-    again = crawl.crawl(spark, site(spark), options, few)
+    few.save(str(tmp_path / "state"))
+    again = crawl.crawl(spark, site(spark), options, crawl.CrawlState.load(spark, str(tmp_path / "state")))
     assert {r["url"] for r in again.urls.where("status = 'fetched'").collect()} == {r["url"] for r in state.urls.where("status = 'fetched'").collect()}
 
 
