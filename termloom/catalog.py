@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import porter
-from termloom.functions.analysis import RUN_PATTERN, AnalysisConfig, analyzed_terms, tokens
+from termloom.functions.analysis import RUN_PATTERN, AnalysisConfig, analyzed_terms, runs, tokens
 from termloom.functions.stopwords import ENGLISH
 from termloom.functions.web import content_hash, extracted, host_allowed, host_of, normalized_url, robots_match, snippets
-from termloom.operators import evaluation, fuzzy, graph, ranking, retrieval
+from termloom.operators import batch, evaluation, fuzzy, graph, ranking, retrieval
 from termloom.operators.index import Index, build_index, length_distribution, spread
 from termloom.plans.query import Node, analyzed, parse
 from termloom.plans.storage import cut, new_path, scratch
@@ -372,6 +372,16 @@ def bm25_batch_benchmark_queries(spark, sf_dir):
     return batch_run(spark, sf_dir).select("query_id", "doc_id", "score", "rank")
 
 
+@register("tfidf_batch", f"""{_BASE}, {_QTERMS}, sc AS (SELECT query_id, doc_id, round(sum(ln(n / df) * tf), 6) AS score
+    FROM qt JOIN post USING (term) JOIN dfs USING (term), st GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 50""")
+def tfidf_batch(spark, sf_dir):
+    # a stated query set: its texts as free text, without operators
+    items = read(spark, sf_dir, "benchmark").select("item_id", "text").collect()
+    queries = [(r["item_id"], " ".join(w.lower() for w, _, _ in runs(r["text"] or ""))) for r in items]
+    return batch.run_queries(index_of(spark, sf_dir), queries, ranking.Strategy("tfidf"), 50).rows.select("query_id", "doc_id", "score", "rank")
+
+
 def _norm_sql(guard: float) -> str:
     return f"""{_RUN}, b AS (SELECT query_id, min(score) AS lo, max(score) AS hi, quantile_disc(score, {guard}) AS an FROM sc GROUP BY query_id)
     SELECT query_id, doc_id, round(CASE WHEN hi = lo THEN 0 WHEN score <= an THEN

@@ -45,6 +45,8 @@ def _drop(since: int) -> None:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
     del _written[since:]
+    # shuffles of plans that nothing refers to any more are deleted when the plans are collected
+    jvm.System.gc()
 
 
 @contextmanager
