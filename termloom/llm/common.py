@@ -52,6 +52,8 @@ def short(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    # workers live on after a task; what Arrow has kept for it goes back
+    pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(col: Column) -> Column:

@@ -14,7 +14,7 @@ Defined cases: null and empty texts have the statistics of the empty text and ar
 like any other; rows of ``labels`` with null labels or ids teach nothing; several labels of
 a document each count; with fewer than two classes labelled every score is the smoothed
 share of label 1; repeated rows get a row each; empty tables give no rows; other columns
-are ignored, or passed through by :func:`keep_accepted`.
+are ignored.
 """
 
 from __future__ import annotations
@@ -106,16 +106,16 @@ def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrinkage: f
     return Discriminant(share, np.log(counts / counts.sum()), means, np.array(factors), np.array(halves))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of every text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def document_statistics(docs: DataFrame, *ids: str) -> DataFrame:
+    """(ids..., x): the statistics of every text, beside the columns named ``ids``."""
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            x = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
+            x = pa.array([statistics(t) for t in batch.column(len(ids)).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], x], names=[*ids, "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select(*ids, "text").mapInArrow(run, f"{shape}, x array<double>")
 
 
 def learn(found: DataFrame, labels: DataFrame) -> Discriminant:
@@ -136,33 +136,27 @@ def learn(found: DataFrame, labels: DataFrame) -> Discriminant:
     return fit(counts, totals, products)
 
 
-def score(found: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, score) from a table of statistics."""
-    kind = found.schema["doc_id"].dataType.simpleString()
+def score(found: DataFrame, model: Discriminant, key: str) -> DataFrame:
+    """(key, score) from a table of statistics."""
+    kind = found.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
+        for batch in batches:
             x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=[key, "score"])
 
-    return found.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
+    return found.select(key, "x").mapInArrow(run, f"`{key}` {kind}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
-    found = materialize(document_statistics(docs), "quality-statistics")
-    scored = score(found, learn(found, labels))
+    found = materialize(document_statistics(docs, "doc_id"), "quality-statistics")
+    scored = score(found, learn(found, labels), "doc_id")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input rows, with all their columns, that the classifier accepts."""
-    model = learn(materialize(document_statistics(docs), "quality-statistics"), labels)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
-            x = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
-            yield batch.filter(pa.array(model.scores(x) >= THRESHOLD))
-
-    return docs.mapInArrow(run, docs.schema)
+def rejected(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The values of the column ``key`` of the rows that the classifier, taught by their doc_id's
+    labels, does not accept."""
+    found = materialize(document_statistics(docs, "doc_id", key), "quality-statistics")
+    return score(found, learn(found, labels), key).where(F.col("score") < THRESHOLD).select(key)

@@ -22,7 +22,9 @@ other id; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -132,15 +134,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 # --- similar documents: long fingerprints --------------------------------------------------
 
-#: Longs of a long fingerprint, its segments and their bits. Of two documents whose shingle sets
-#: have a Jaccard similarity of 0.8 (a cosine of 0.89) a bit differs with probability 0.15, so a
-#: segment differs in at most one bit with 0.10 and one of the segments does with 0.96; at 0.85
-#: with 0.99. Segments of 24 bits suit some ten million documents; a hundred times as many
-#: take 6 bits and half as many segments again for the same number of look-ups that find nothing.
-WORDS_64, SEGMENTS, SEGMENT_BITS = 11, 29, 24
-#: Bits that documents may differ in before their shingles are compared: at a similarity of 0.8
-#: the number of differing bits is beyond it for one pair in a thousand.
-FAR = 138
+#: The probability that a bit of two fingerprints differs where the Jaccard similarity of the
+#: shingle sets is 0.8: the angle of a cosine of 0.89 over pi. And that of missing such a pair.
+BIT_DIFFERS, MISSED = 0.1515, 0.05
+#: Segments looked up in one pass, whose shuffles are all that the disk holds at once.
+PASS_SEGMENTS = 4
 #: The odd factors and shifts of a well-known 64-bit mixer.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -159,10 +157,44 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)], np.uint64))
 
 
-def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WORDS_64 unsigned longs: a bit is set where it is set in over half of the mixed hashes."""
-    total = np.zeros(64 * WORDS_64, np.int64)
-    step = (np.arange(1, WORDS_64 + 1, dtype=np.uint64) * np.uint64(_MIX[0]))[None, :]
+@dataclass(frozen=True)
+class Segments:
+    """How many segments of how many bits a long fingerprint has."""
+
+    count: int
+    bits: int
+
+    @property
+    def words(self) -> int:
+        """Longs of the fingerprint."""
+        return -(-self.count * self.bits // 64)
+
+    @property
+    def far(self) -> int:
+        """Bits that fingerprints may differ in before shingles are compared: at a similarity of 0.8
+        one pair in a thousand differs in more."""
+        n = 64 * self.words
+        return math.ceil(n * BIT_DIFFERS + 3.3 * math.sqrt(n * BIT_DIFFERS * (1 - BIT_DIFFERS)))
+
+
+def segments_for(n: int) -> Segments:
+    """The shortest segments with which a document of n meets at most one other by chance.
+
+    A segment of w bits differs in at most one bit with a probability s that falls with w; so many
+    segments are taken that a pair at a similarity of 0.8 is missed by all with probability MISSED.
+    The look-ups per document so grow with about the fourth root of the documents."""
+    for w in range(16, 56):
+        s = (1 - BIT_DIFFERS) ** w * (1 + w * BIT_DIFFERS / (1 - BIT_DIFFERS))
+        m = math.ceil(math.log(MISSED) / math.log(1 - s))
+        if m * (1 + w) / 2**w * n / 2 <= 1:
+            return Segments(m, w)
+    raise ValueError("too many documents")
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Unsigned longs: a bit is set where it is set in over half of the mixed hashes."""
+    total = np.zeros(64 * words, np.int64)
+    step = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(_MIX[0]))[None, :]
     for at in range(0, len(hashes), 255):
         z = hashes[at : at + 255, None] + step
         z = (z ^ (z >> np.uint64(30))) * np.uint64(_MIX[1])
@@ -173,20 +205,20 @@ def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > len(hashes)).view(np.uint64)
 
 
-def _segments(prints: np.ndarray) -> np.ndarray:
+def _slots(prints: np.ndarray, parts: Segments) -> np.ndarray:
     """Slots of the segments of fingerprints: the segment's number above its bits."""
-    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)[:, : SEGMENTS * SEGMENT_BITS]
-    parts = bits.reshape(len(prints), SEGMENTS, SEGMENT_BITS).astype(np.int64) @ (1 << np.arange(SEGMENT_BITS, dtype=np.int64))
-    return parts + (np.arange(SEGMENTS, dtype=np.int64) << SEGMENT_BITS)
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)[:, : parts.count * parts.bits]
+    found = bits.reshape(len(prints), parts.count, parts.bits).astype(np.int64) @ (1 << np.arange(parts.bits, dtype=np.int64))
+    return found + (np.arange(parts.count, dtype=np.int64) << parts.bits)
 
 
-def long_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+def long_fingerprints(docs: DataFrame, shingle: int, parts: Segments) -> DataFrame:
     """(row, fp, slots) of documents (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            prints = np.array([long_fingerprint(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], np.uint64)
-            columns = [pa.FixedSizeListArray.from_arrays(x.reshape(-1), x.shape[1]).cast(pa.list_(pa.int64())) for x in (prints.view(np.int64), _segments(prints))]
+            prints = np.array([long_fingerprint(shingle_hashes(t, shingle), parts.words) for t in batch.column(1).to_pylist()], np.uint64)
+            columns = [pa.FixedSizeListArray.from_arrays(x.reshape(-1), x.shape[1]).cast(pa.list_(pa.int64())) for x in (prints.view(np.int64), _slots(prints, parts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "fp", "slots"])
 
     return docs.select("row", "text").mapInArrow(run, "row long, fp array<long>, slots array<long>")
@@ -201,12 +233,12 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, similarity: float, parts: Segments) -> DataFrame:
     """The distinct pairs (a, b) whose fingerprints are near and whose shingle sets are similar."""
     fp = prints.select("row", "fp")
     near = pairs.join(fp.withColumnsRenamed({"row": "a", "fp": "fa"}), "a").join(fp.withColumnsRenamed({"row": "b", "fp": "fb"}), "b")
-    bits = reduce(add, [F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(WORDS_64)])
-    near = materialize(near.where(bits <= FAR).select("a", "b").distinct(), "similar-near")
+    bits = reduce(add, [F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(parts.words)])
+    near = materialize(near.where(bits <= parts.far).select("a", "b").distinct(), "similar-near")
     used = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
     sets = materialize(_shingle_sets(docs.join(used, "row", "left_semi"), shingle), "similar-sets")
     both = near.join(sets.withColumnsRenamed({"row": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"row": "b", "hashes": "hb"}), "b")
@@ -215,30 +247,63 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int
     return materialize(both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar-links")
 
 
+def _turned(slot: Column, bits: int, unset: bool) -> Column:
+    """The slot with each one of its bits turned, or only with those that are unset."""
+    turned = [F.when((slot.bitwiseAND(F.lit(1 << i)) == 0) | F.lit(not unset), slot.bitwiseXOR(F.lit(1 << i))) for i in range(bits)]
+    return F.array_compact(F.array(*turned))
+
+
+def _lone_pairs(lone: DataFrame, parts: Segments) -> DataFrame:
+    """(a, b) of rows with slots that differ in at most one bit, a few segments a pass."""
+    passes = []
+    for first in range(0, parts.count, PASS_SEGMENTS):
+        table = lone.select(F.col("row").alias("b"), F.explode(F.slice("slots", first + 1, PASS_SEGMENTS)).alias("slot"))
+        exact = table.select(F.col("b").alias("a"), "slot", F.lit(True).alias("same"))
+        ball = table.select(F.col("b").alias("a"), F.explode(_turned(F.col("slot"), parts.bits, True)).alias("slot"), F.lit(False).alias("same"))
+        met = exact.unionByName(ball).join(table, "slot").where(~F.col("same") | (F.col("a") < F.col("b")))
+        passes.append(materialize(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "similar-lone"))
+        # what this pass has shuffled is not needed any more; Spark deletes it when the plan is collected
+        lone.sparkSession._jvm.System.gc()
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _gathered_pairs(rows: DataFrame, parts: Segments) -> DataFrame:
+    """(a, b) of rows (row, slots, c, n) of different gatherings where the larger one has two rows or
+    more: its rows stand in the table under the whole balls around their segments, and rows of
+    smaller gatherings look their own segments up, so a large group's rows look nothing up."""
+    order = F.struct("n", "c")
+    many = rows.where("n > 1").select(F.col("row").alias("b"), order.alias("ob"), F.explode("slots").alias("slot"))
+    ball = F.concat(F.array("slot"), _turned(F.col("slot"), parts.bits, False))
+    table = many.select("b", "ob", F.explode(ball).alias("slot"))
+    largest = table.groupBy("slot").agg(F.max("ob").alias("most"))
+    probes = rows.select(F.col("row").alias("a"), order.alias("oa"), F.explode("slots").alias("slot"))
+    live = materialize(probes.join(largest, "slot").where(F.col("oa") < F.col("most")).select("slot", "a", "oa"), "similar-live")
+    return live.join(table, "slot").where(F.col("oa") < F.col("ob")).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, group) of documents (row, text), ``row`` distinct longs: the smallest row that links of
     a Jaccard ``similarity`` of word shingles or more lead to.
 
-    Multi-index hashing over long fingerprints: each is stored in a table under every segment and
-    looks up the Hamming balls of radius 1 around its segments (from the side whose bit is unset);
-    matches are verified by the complete distance, then by the shingle sets themselves. Documents
-    are first compared with the smallest row that shares a segment, which gathers dense groups
-    with one pair a member and segment; then look-ups pair documents of different gatherings only.
-    A pair is missed where no segment is near, by chance: see SEGMENTS. Documents without words
-    are alike. Rows with a null or repeated ``row`` are not allowed; columns other than these are ignored."""
-    prints = materialize(long_fingerprints(docs, shingle), "similar-prints")
+    Multi-index hashing over long fingerprints: each is stored in a table under every segment, and
+    Hamming balls of radius 1 around segments are looked up; matches are verified by the complete
+    distance, then by the shingle sets themselves. Documents are first compared with the smallest
+    row that shares a segment, which gathers dense groups with one pair a member and segment; then
+    look-ups pair documents of different gatherings only. A pair is missed where no segment is
+    near, by chance: see :func:`segments_for`. Documents without words are alike. Rows with a
+    null or repeated ``row`` are not allowed; columns other than these are ignored."""
+    parts = segments_for(docs.count())
+    prints = materialize(long_fingerprints(docs, shingle, parts), "similar-prints")
     slots = prints.select("row", F.explode("slots").alias("slot"))
     heads = slots.groupBy("slot").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("slot", "head")
     first = slots.join(heads, "slot").where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
-    links = _verified(first, prints, docs, shingle, similarity)
+    links = _verified(first, prints, docs, shingle, similarity, parts)
     gathered = components(links, "similar-gathered")
-    grouped = prints.join(gathered, prints.row == gathered.node, "left")
-    grouped = materialize(grouped.select("row", "slots", F.coalesce("component", "row").alias("c")), "similar-grouped")
-    table = grouped.select(F.explode("slots").alias("slot"), F.col("row").alias("b"), F.col("c").alias("cb"))
-    flips = F.array_compact(F.array(F.col("slot"), *[F.when(F.col("slot").bitwiseAND(F.lit(1 << i)) == 0, F.col("slot").bitwiseOR(F.lit(1 << i))) for i in range(SEGMENT_BITS)]))
-    probes = table.select(F.col("b").alias("a"), F.col("cb").alias("ca"), F.explode(flips).alias("slot"))
-    wide = cross_pairs(probes, table, ["slot"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_verified(materialize(wide, "similar-wide"), prints, docs, shingle, similarity))
+    sizes = gathered.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    rows = prints.join(gathered.join(sizes, "component"), prints.row == gathered.node, "left")
+    rows = materialize(rows.select("row", "slots", F.coalesce("component", "row").alias("c"), F.coalesce("n", F.lit(1).cast("long")).alias("n")), "similar-grouped")
+    wide = _lone_pairs(rows.where("n = 1"), parts).unionByName(materialize(_gathered_pairs(rows, parts), "similar-crowd"))
+    links = links.unionByName(_verified(materialize(wide.distinct(), "similar-wide"), prints, docs, shingle, similarity, parts))
     groups = components(links, "similar-groups")
     out = prints.join(groups, prints.row == groups.node, "left")
     return out.select("row", F.coalesce("component", "row").alias("group"))

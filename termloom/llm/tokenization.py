@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from termloom.llm.common import short
 
-CACHE_UNITS = 500_000
+CACHE_UNITS = 300_000
 #: Units of more characters are encoded anew each time, so that the store stays small.
 LONGEST_KEPT = 200
 #: Marks that both layouts keep together as one piece after a word.
@@ -173,6 +173,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE) -> I
         if n >= size:
             yield pa.concat_batches(held)
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 

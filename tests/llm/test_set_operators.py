@@ -506,31 +506,42 @@ def test_long_fingerprint_is_the_definition():
     hashes = simhash.shingle_hashes("some words of a text " * 90 + " ".join(map(str, range(400))), 5)
     assert len(hashes) > 255  # several blocks
     mask = (1 << 64) - 1
-    votes = [0] * (64 * simhash.WORDS_64)
+    votes = [0] * (64 * 5)
     for h in hashes.tolist():
-        for k in range(simhash.WORDS_64):
+        for k in range(5):
             z = h + (k + 1) * simhash._MIX[0] & mask
             z = (z ^ z >> 30) * simhash._MIX[1] & mask
             z = (z ^ z >> 27) * simhash._MIX[2] & mask
             z ^= z >> 31
             for bit in range(64):
                 votes[64 * k + bit] += z >> bit & 1
-    got = simhash.long_fingerprint(hashes).tolist()
+    got = simhash.long_fingerprint(hashes, 5).tolist()
     # bytes in order, the first bit of each on top
     want = [2 * v > len(hashes) for v in votes]
     bits = [[g >> 8 * (i // 8) + i % 8 & 1 for i in range(64)] for g in got]
     assert [bool(b) for row in bits for b in row] == want
 
 
+def test_segments_grow_with_the_documents():
+    small, large = simhash.segments_for(40_000), simhash.segments_for(12_000_000)
+    assert (small.bits, small.count) < (large.bits, large.count) and large.count * large.bits <= 64 * large.words
+    for n in (0, 1, 1000, 10**9):
+        parts = simhash.segments_for(n)
+        same = (1 - 0.1515) ** parts.bits * (1 + parts.bits * 0.1515 / 0.8485)
+        assert 1 - (1 - same) ** parts.count >= 0.95 and parts.count << parts.bits < 1 << 62
+        assert parts.count * (1 + parts.bits) * n / 2 ** (parts.bits + 1) <= 1
+
+
 # --- pipeline ---------------------------------------------------------------------------
 
 
 @needs_tables
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     now, kept = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, now, DIR).persist()
+        stage(spark, now, DIR).repartition(3).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
         assert after.columns == docs.columns
         before, left = {r["doc_id"]: r["text"] for r in now.collect()}, {r["doc_id"] for r in after.collect()}
         assert left < set(before)
