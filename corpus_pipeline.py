@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each on what the one before it kept.
 
-Decisions are taken and applied by row, not by ``doc_id``: the stages after the first number the
-rows they get, write them down and drop rows by their number. So every row is judged by its
+Decisions are taken and applied by row, not by ``doc_id``: the stages number the rows
+they get by their places in the files, and drop rows by their number. So every row is judged by its
 own text, whatever ids it shares or lacks.
 
 Defined cases: null and empty texts are texts without words, which the classifier scores like
@@ -28,44 +28,72 @@ ROW = "__termloom_row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number of their own, written down so that it stays."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
-
-
-def _without(numbered: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows that are not among ``dropped``, which has their numbers."""
-    return numbered.join(dropped.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
+    """The rows with a number of their own that does not change with how they are read: the file's
+    place among the table's files and the row's in the file. Rows that are not read from files as
+    they are, as in tests, are written down with numbers first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    # one name and one row a file; no column is read for it
+    names = [r["name"] for r in docs.select(F.col("_metadata.file_path").alias("name")).distinct().collect()]
+    files = docs.sparkSession.createDataFrame(list(enumerate(sorted(names))), "__place long, __file string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
+    placed = placed.join(F.broadcast(files), F.col("__path") == F.col("__file"), "left")
+    place = F.coalesce("__place", F.raise_error(F.concat(F.lit("unknown file "), "__path")).cast("long"))
+    return placed.select(*docs.columns, F.shiftleft(place, 40).bitwiseOR(F.col("__index")).alias(ROW))
+
+
+def _without(numbered: DataFrame, decide: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``decide`` does not list by their numbers. Its list is written down, and the
+    tables that led to it are dropped."""
+    spark = numbered.sparkSession
+    path = new_path(spark, "pipeline-dropped")
+    with scratch():
+        decide().select(ROW).distinct().write.parquet(path)
+    return numbered.join(spark.read.parquet(path), ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
+    rows = _numbered(docs)
+    return _without(rows, lambda: quality.rejected(rows, table(spark, sf_dir, "labels"), ROW))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row with the largest doc_id."""
     rows = _numbered(docs)
-    # the number makes ids distinct, and decides among equal ones
-    found = exact_dedup.exact_duplicates(rows.select(F.struct("doc_id", ROW).alias("doc_id"), "text"))
-    return _without(rows, found.where("not kept").select(F.col("doc_id")[ROW].alias(ROW)))
+
+    def copies() -> DataFrame:
+        # the number makes ids distinct, and decides among equal ones
+        found = exact_dedup.exact_duplicates(rows.select(F.struct("doc_id", ROW).alias("doc_id"), "text"))
+        return found.where("not kept").select(F.col("doc_id")[ROW].alias(ROW))
+
+    return _without(rows, copies)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents of similar five-word shingles (0.8 or more), the smallest doc_id."""
     rows = _numbered(docs)
-    found = materialize(simhash.similar_documents(rows.select(F.col(ROW).alias("row"), "text")), "pipeline-groups")
-    shared = found.where("row <> group").select("group").distinct()
-    members = found.join(shared, "group", "left_semi").join(rows.select(F.col(ROW).alias("row"), "doc_id"), "row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    stays = members.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first")["row"].alias("first"))
-    return _without(rows, members.join(stays, "group").where("row <> first").select(F.col("row").alias(ROW)))
+
+    def copies() -> DataFrame:
+        found = materialize(simhash.similar_documents(rows.select(F.col(ROW).alias("row"), "text")), "pipeline-groups")
+        shared = found.where("row <> group").select("group").distinct()
+        members = found.join(shared, "group", "left_semi").join(rows.select(F.col(ROW).alias("row"), "doc_id"), "row")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        stays = members.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first")["row"].alias("first"))
+        return members.join(stays, "group").where("row <> first").select(F.col("row").alias(ROW))
+
+    return _without(rows, copies)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark windows."""
     rows = _numbered(docs)
-    found = decontaminate.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
+
+    def leaks() -> DataFrame:
+        found = decontaminate.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        return found.where("contaminated").select(F.col("doc_id").alias(ROW))
+
+    return _without(rows, leaks)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
