@@ -56,7 +56,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _indexes:
         path = new_path(spark, "index")
         with scratch():
-            build_index(docs, PLAIN).save(path)
+            build_index(docs, PLAIN, keep=False).save(path)
         _indexes[key] = Index.load(spark, path)
     return _indexes[key]
 

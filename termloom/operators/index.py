@@ -75,9 +75,12 @@ class Index:
 
 def spread(df: DataFrame) -> DataFrame:
     """The rows over at least as many partitions as the cluster runs tasks at once: a small file
-    is one partition however long its texts are."""
+    is one partition however long its texts are. What a shuffle has dealt is left as it is."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
     parallel = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(parallel) if df._jdf.queryExecution().toRdd().getNumPartitions() < parallel else df
+    return df.repartition(parallel) if plan.toRdd().getNumPartitions() < parallel else df
 
 
 def entries(terms: Column) -> Column:
@@ -103,9 +106,10 @@ def entries(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.transform(cut, entry)).otherwise(F.array().cast("array<struct<term:string,tf:int,positions:array<int>>>"))
 
 
-def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text") -> Index:
+def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text", keep: bool = True) -> Index:
     """Index a table (doc_id, text). Documents are analysed once, and their entries written to the
-    shared folder; postings, terms and lengths are read from there."""
+    shared folder; postings, terms and lengths are read from there. Without ``keep``, for an index
+    that is saved at once, terms and lengths are not written as well."""
     config = config or AnalysisConfig()
     rows = spread(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", analyzed_terms(F.col("text"), config).alias("terms"))
     rows = cut(rows.select("doc_id", F.size("terms").cast("long").alias("dl"), entries(F.col("terms")).alias("entries")), "index-entries")
@@ -113,7 +117,9 @@ def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str
     lengths = rows.select("doc_id", "dl", F.coalesce(F.array_max(F.transform("entries", lambda e: e["tf"])), F.lit(0)).alias("max_tf"))
     terms = postings.select("term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     row = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-    return Index(postings, cut(terms, "index-terms"), cut(lengths, "index-docs"), config, row["n"], row["t"])
+    if keep:
+        terms, lengths = cut(terms, "index-terms"), cut(lengths, "index-docs")
+    return Index(postings, terms, lengths, config, row["n"], row["t"])
 
 
 def length_distribution(lengths: DataFrame) -> DataFrame:
