@@ -44,6 +44,8 @@ from termloom.llm.common import materialize, short
 from termloom.llm.tokenization import encoder, slices
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK, ROLL = 64, 9, 8192, 8
+#: Words whose ids a worker keeps, some 100 MB.
+WORDS_KEPT = 500_000
 #: Recipes under one inner node of a part's Merkle tree.
 FANOUT = 1024
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -121,7 +123,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, layout: str, end_id: int)
     fields += [("width", pa.int32()), ("names", pa.list_(pa.binary())), ("root", pa.binary()), ("payload", pa.binary())]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen = encoder(tokenizer_path, layout), set()
+        tokens, seen = encoder(tokenizer_path, layout, WORDS_KEPT), set()
         sha, row = hashlib.sha256, TaskContext.get().partitionId() << 32
         for batch in slices(batches, 1):
             doc_ids = batch.column(0)

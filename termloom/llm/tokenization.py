@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 
 from termloom.llm.common import short
 
+#: Units whose ids a worker keeps, some 60 MB.
 CACHE_UNITS = 300_000
 #: Units of more characters are encoded anew each time, so that the store stays small.
 LONGEST_KEPT = 200
@@ -54,7 +55,8 @@ def _uneven(text: str) -> bool:
 class _Store(dict):
     """Word, or other unit, to its ids. ``lead`` is the space before every one, or nothing."""
 
-    def __init__(self, tokenizer, code: str, lower: bool, lead: str):
+    def __init__(self, tokenizer, code: str, lower: bool, lead: str, most: int):
+        self.most = most
         self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
         self.code, self.lower, self.lead, self.mark = code, lower, lead, lead.replace(" ", "\u0120")
         self.alphabet = _byte_alphabet()
@@ -83,7 +85,7 @@ class _Store(dict):
         return self.tails[marks]
 
     def bound(self) -> None:
-        if len(self) + len(self.tails) > CACHE_UNITS:
+        if len(self) + len(self.tails) > self.most:
             self.clear()
             self.tails = {"": b""}
 
@@ -94,7 +96,7 @@ class UnitEncoder:
     ``layout`` is "words" where the file drops white space, and "spaced" for byte-level
     files, where a word is one piece with the space before it."""
 
-    def __init__(self, path: str, layout: str):
+    def __init__(self, path: str, layout: str, most: int = CACHE_UNITS):
         if layout not in ("words", "spaced"):
             raise ValueError(f"unknown layout {layout}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,8 +105,8 @@ class UnitEncoder:
         tokenizer = Tokenizer.from_file(path)
         self.spaced = layout == "spaced"
         self.kind, code = (np.dtype("u2"), "H") if tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("u4"), "I")
-        self.store = _Store(tokenizer, code, not self.spaced, " " if self.spaced else "")
-        self.bare = _Store(tokenizer, code, not self.spaced, "")
+        self.store = _Store(tokenizer, code, not self.spaced, " " if self.spaced else "", most)
+        self.bare = _Store(tokenizer, code, not self.spaced, "", most)
 
     def _units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, np.ndarray]:
         """Of the texts' units in a row: codes of words and of the marks after them, the words
@@ -178,8 +180,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE) -> I
         yield pa.concat_batches(held)
 
 
-def encoder(path: str, layout: str) -> UnitEncoder:
-    """The process's encoder for a file; made once per Python worker."""
+def encoder(path: str, layout: str, most: int = CACHE_UNITS) -> UnitEncoder:
+    """The process's encoder for a file, which keeps the ids of ``most`` units; made once per Python
+    worker."""
     if (path, layout) not in _loaded:
-        _loaded[path, layout] = UnitEncoder(path, layout)
+        _loaded[path, layout] = UnitEncoder(path, layout, most)
     return _loaded[path, layout]
