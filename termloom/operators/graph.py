@@ -33,7 +33,7 @@ def keep_known(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """Edges with both ends among the nodes, and how many others there were."""
     ids = nodes.select("node").distinct()
     known = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return known, edges.count() - known.count()
+    return known.select(*edges.columns), edges.count() - known.count()
 
 
 def _prepared(nodes: DataFrame, links: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
