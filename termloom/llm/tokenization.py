@@ -175,7 +175,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE) -> I
         if n >= size:
             yield pa.concat_batches(held)
             held, n = [], 0
-            pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 
