@@ -139,6 +139,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 BIT_DIFFERS, MISSED = 0.1515, 0.05
 #: Segments looked up in one pass, whose shuffles are all that the disk holds at once.
 PASS_SEGMENTS = 4
+#: Rows of one gathering that a row is compared with wherever it meets them; for more, bounds tell which.
+CROWD = 100
+#: There: the part of a gathering that makes a shingle common, steps of a doubling in which lengths
+#: are looked up, and what bounds leave to rounding.
+COMMON, STEPS, SLACK = 10, 16, 1e-6
 #: The odd factors and shifts of a well-known 64-bit mixer.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -233,6 +238,11 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "row long, hashes array<long>")
 
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return (common >= similarity * (F.size(a) + F.size(b) - common)) | (F.size(a) + F.size(b) == 0)
+
+
 def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, similarity: float, parts: Segments) -> DataFrame:
     """The distinct pairs (a, b) whose fingerprints are near and whose shingle sets are similar."""
     fp = prints.select("row", "fp")
@@ -242,9 +252,7 @@ def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int
     used = near.select(F.col("a").alias("row")).unionByName(near.select(F.col("b").alias("row"))).distinct()
     sets = materialize(_shingle_sets(docs.join(used, "row", "left_semi"), shingle), "similar-sets")
     both = near.join(sets.withColumnsRenamed({"row": "a", "hashes": "ha"}), "a").join(sets.withColumnsRenamed({"row": "b", "hashes": "hb"}), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    alike = (common >= similarity * (F.size("ha") + F.size("hb") - common)) | (F.size("ha") + F.size("hb") == 0)
-    return materialize(both.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar-links")
+    return materialize(both.where(_alike("ha", "hb", similarity)).select(F.col("a").alias("u"), F.col("b").alias("v")), "similar-links")
 
 
 def _turned(slot: Column, bits: int, unset: bool) -> Column:
@@ -267,18 +275,85 @@ def _lone_pairs(lone: DataFrame, parts: Segments) -> DataFrame:
     return reduce(DataFrame.unionByName, passes)
 
 
-def _gathered_pairs(rows: DataFrame, parts: Segments) -> DataFrame:
+def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows ``a`` that would look at many rows of a gathering ``c`` (asks: a, c, n, meets): the
+    asks (a, c) that are settled here, pairs (a, b) left to compare, and links (u, v).
+
+    Shingles that over 1 / COMMON of a gathering's rows have are its common ones, the others rare.
+    One row is the nearest to the common ones: who links to it is of the gathering, and needs no
+    other row. Else a and b are alike only if they share a rare shingle, for which a looks its rarest
+    ones up, or if the fewer of their common shingles reach what their lengths ask for, which is a
+    range of lengths. So whoever merely resembles a crowd is not compared with each row of it.
+    An ask whose look-ups outnumber the rows it meets is not settled."""
+    members = rows.join(asks.select("c").distinct(), "c", "left_semi").select("c", "n", "row", F.lit(None).cast("long").alias("meets"))
+    asking = asks.select("c", "n", F.col("a").alias("row"), "meets")
+    used = members.select("row").unionByName(asking.select("row")).distinct()
+    sets = materialize(_shingle_sets(docs.join(used, "row", "left_semi"), shingle), "similar-crowd-sets")
+    counts = members.join(sets, "row").select("c", "n", F.explode("hashes").alias("s")).groupBy("c", "n", "s").agg(F.count(F.lit(1)).alias("df"))
+    counts = materialize(counts, "similar-counts")
+    common = counts.where(F.col("df") * COMMON > F.col("n")).groupBy("c").agg(F.collect_list("s").alias("known"))
+    shapes = members.unionByName(asking).join(sets, "row").join(common, "c", "left")
+    rare = F.array_except("hashes", F.coalesce("known", F.array().cast("array<long>")))
+    shapes = materialize(shapes.select("c", "row", "meets", F.size("hashes").alias("size"), rare.alias("rare")), "similar-shapes")
+    shapes = shapes.withColumn("common", F.col("size") - F.size("rare"))
+    held = shapes.where("meets is null").select("c", F.col("row").alias("b"), F.col("size").alias("nb"), F.col("common").alias("kb"), "rare")
+
+    nearest = F.struct((1 + similarity) * F.col("kb") - similarity * F.col("nb"), -F.col("b"))
+    heart = held.groupBy("c").agg((-F.max(nearest)["col2"]).alias("v"))
+    tried = asks.select("c", F.col("a").alias("u")).join(heart, "c").join(sets.withColumnsRenamed({"row": "u", "hashes": "ha"}), "u")
+    tried = tried.join(sets.withColumnsRenamed({"row": "v", "hashes": "hb"}), "v").where(_alike("ha", "hb", similarity))
+    links = materialize(tried.select("c", "u", "v"), "similar-hearts")
+
+    # what is shared is at least the similarity of the longer one's length, and of what is not common at least the rest
+    left = shapes.where("meets is not null").withColumnRenamed("row", "a").join(links.select("c", F.col("u").alias("a")), ["c", "a"], "left_anti")
+    least = F.ceil(similarity * F.col("size") - SLACK)
+    need = F.greatest(F.lit(1), least - F.col("common"))
+    found = left.select("c", "a", "meets", need.alias("need"), F.explode("rare").alias("s")).join(counts.select("c", "s", "df"), ["c", "s"])
+    found = found.groupBy("c", "a", "meets", "need").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("keys")).where(F.size("keys") >= F.col("need"))
+    found = found.withColumn("keys", F.slice("keys", F.lit(1), (F.size("keys") - F.col("need") + 1).cast("int")))
+    found = materialize(found.withColumn("cost", F.aggregate("keys", F.lit(0).cast("long"), lambda n, k: n + k["df"])), "similar-keys")
+    costly = found.where("cost > meets").select("c", "a")
+    shared = found.where("cost <= meets").select("c", "a", F.explode("keys.s").alias("s")).join(held.select("c", "b", F.explode("rare").alias("s")), ["c", "s"])
+
+    step = lambda n: F.floor(STEPS * F.log2(n))
+    most = F.floor(((1 + similarity) * F.col("common") + SLACK) / similarity) - F.col("size")
+    spans = left.join(costly, ["c", "a"], "left_anti").withColumn("least", least).withColumn("most", most).where("least <= most")
+    spans = spans.select("c", "a", "size", "common", F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"))
+    enough = (1 + similarity) * F.least("common", "kb") + SLACK >= similarity * (F.col("size") + F.col("nb"))
+    fits = spans.join(held.select("c", "b", "nb", "kb", step(F.col("nb")).alias("step")), ["c", "step"]).where(enough)
+    pairs = materialize(shared.select("a", "b").unionByName(fits.select("a", "b")).distinct(), "similar-crowd-pairs")
+    return asks.select("a", "c").join(costly, ["a", "c"], "left_anti"), pairs, links.select("u", "v")
+
+
+def _balls(rows: DataFrame, parts: Segments) -> DataFrame:
+    """(b, c, n, slot): rows (row, slots, c, n) under the whole balls around their segments."""
+    many = rows.select(F.col("row").alias("b"), "c", "n", F.explode("slots").alias("slot"))
+    return many.select("b", "c", "n", F.explode(F.concat(F.array("slot"), _turned(F.col("slot"), parts.bits, False))).alias("slot"))
+
+
+def _gathered_pairs(rows: DataFrame, docs: DataFrame, parts: Segments, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
     """(a, b) of rows (row, slots, c, n) of different gatherings where the larger one has two rows or
-    more: its rows stand in the table under the whole balls around their segments, and rows of
-    smaller gatherings look their own segments up, so a large group's rows look nothing up."""
-    order = F.struct("n", "c")
-    many = rows.where("n > 1").select(F.col("row").alias("b"), order.alias("ob"), F.explode("slots").alias("slot"))
-    ball = F.concat(F.array("slot"), _turned(F.col("slot"), parts.bits, False))
-    table = many.select("b", "ob", F.explode(ball).alias("slot"))
+    more, and links (u, v) found on the way: its rows stand in the table under the whole balls around
+    their segments, and rows of smaller gatherings look their own segments up, so a large group's
+    rows look nothing up. In gatherings of over CROWD rows it is first counted how many of them each
+    row meets; where they are more than CROWD, :func:`_crowd_pairs` tells which to compare."""
+    probes = rows.select(F.col("row").alias("a"), F.struct("n", "c").alias("oa"), F.explode("slots").alias("slot"))
+    table = _balls(rows.where((F.col("n") > 1) & (F.col("n") <= CROWD)), parts).select("b", F.struct("n", "c").alias("ob"), "slot")
     largest = table.groupBy("slot").agg(F.max("ob").alias("most"))
-    probes = rows.select(F.col("row").alias("a"), order.alias("oa"), F.explode("slots").alias("slot"))
     live = materialize(probes.join(largest, "slot").where(F.col("oa") < F.col("most")).select("slot", "a", "oa"), "similar-live")
-    return live.join(table, "slot").where(F.col("oa") < F.col("ob")).select("a", "b")
+    met = live.join(table, "slot").where(F.col("oa") < F.col("ob")).select("a", "b")
+
+    crowds = rows.where(F.col("n") > CROWD)
+    if crowds.isEmpty():
+        return met, None
+    table = _balls(crowds, parts)
+    held = table.groupBy("slot", "c", "n").agg(F.count(F.lit(1)).alias("held"))
+    live = probes.join(held, "slot").where(F.col("oa") < F.struct("n", "c")).select("slot", "a", "c", "n", "held")
+    live = materialize(live, "similar-around")
+    asks = live.groupBy("a", "c", "n").agg(F.sum("held").alias("meets")).where(F.col("meets") > CROWD)
+    settled, pairs, links = _crowd_pairs(materialize(asks, "similar-asks"), rows, docs, shingle, similarity)
+    few = live.join(settled, ["a", "c"], "left_anti").select("slot", "a", "c").join(table.select("slot", "c", "b"), ["slot", "c"])
+    return met.unionByName(few.select("a", "b")).unionByName(pairs), links
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -289,8 +364,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Hamming balls of radius 1 around segments are looked up; matches are verified by the complete
     distance, then by the shingle sets themselves. Documents are first compared with the smallest
     row that shares a segment, which gathers dense groups with one pair a member and segment; then
-    look-ups pair documents of different gatherings only. A pair is missed where no segment is
-    near, by chance: see :func:`segments_for`. Documents without words are alike. Rows with a
+    look-ups pair documents of different gatherings only, and one that would meet many documents of
+    a gathering is compared with those only that bounds on shingles leave. A pair is missed where no
+    segment is near, by chance: see :func:`segments_for`. Documents without words are alike. Rows with a
     null or repeated ``row`` are not allowed; columns other than these are ignored."""
     parts = segments_for(docs.count())
     prints = materialize(long_fingerprints(docs, shingle, parts), "similar-prints")
@@ -302,8 +378,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     sizes = gathered.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     rows = prints.join(gathered.join(sizes, "component"), prints.row == gathered.node, "left")
     rows = materialize(rows.select("row", "slots", F.coalesce("component", "row").alias("c"), F.coalesce("n", F.lit(1).cast("long")).alias("n")), "similar-grouped")
-    wide = _lone_pairs(rows.where("n = 1"), parts).unionByName(materialize(_gathered_pairs(rows, parts), "similar-crowd"))
+    crowd, near = _gathered_pairs(rows, docs, parts, shingle, similarity)
+    wide = _lone_pairs(rows.where("n = 1"), parts).unionByName(materialize(crowd, "similar-crowd"))
     links = links.unionByName(_verified(materialize(wide.distinct(), "similar-wide"), prints, docs, shingle, similarity, parts))
+    links = links.unionByName(near) if near else links
     groups = components(links, "similar-groups")
     out = prints.join(groups, prints.row == groups.node, "left")
     return out.select("row", F.coalesce("component", "row").alias("group"))

@@ -502,6 +502,56 @@ def test_similar_documents_against_brute_force(spark):
     assert simhash.similar_documents(spark.createDataFrame([], "row long, text string")).count() == 0
 
 
+def crowd(rnd, core, around):
+    """A text, near copies of it, and texts that resemble them all but hardly any of them enough."""
+    base = [f"w{rnd.randint(0, 900)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(core + around):
+        words = list(base) if i % 7 else texts[rnd.randrange(len(texts))].split()
+        for k in range(rnd.choice([1, 1, 2]) if i < core else rnd.choice([2, 3, 5, 6])):
+            at = rnd.randrange(len(words))
+            words[at : at + 1] = rnd.choice([[f"x{i}-{k}"], [], ["a"], words[at : at + 1] * 2])
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_crowds_are_not_compared_pair_by_pair(spark, monkeypatch):
+    compared, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: compared.append(pairs.distinct().count()) or verified(pairs, *rest))
+    for size in (150, 300):
+        texts = crowd(random.Random(5), size, size)
+        links = similar_brute(texts)
+        parent = list(range(len(texts)))
+        for i, j in sorted(links):
+            low, high = sorted((parent[i], parent[j]))
+            parent = [low if p == high else p for p in parent]
+        got = groups_of(spark, texts)
+        # no group is wrong, and hardly a text lost
+        assert all(parent[r] == parent[g] for r, g in got.items())
+        assert sum(got[i] == got[parent[i]] for i in got) >= 0.97 * len(texts)
+        assert sum(p != 0 for p in parent) > 0.2 * size
+        assert sum(compared) < 40 * len(texts)
+        compared.clear()
+
+
+def test_crowd_bounds_lose_no_link(spark):
+    rnd = random.Random(6)
+    texts = crowd(rnd, 60, 120) + crowd(rnd, 5, 40) + ["", "one", "one two three", *(" ".join(t.split()[: rnd.randint(90, 140)]) for t in crowd(rnd, 9, 40))]
+    texts += [" ".join(t.split()[rnd.randint(0, 30) :]) for t in texts[:60]]
+    gathering = [i % 3 for i in range(len(texts))]
+    sizes = [gathering.count(c) for c in range(3)]
+    table = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    rows = spark.createDataFrame([(i, c, sizes[c]) for i, c in enumerate(gathering)], "row long, c long, n long")
+    asks = [(i, c, sizes[c], 10**9 if i % 5 else 3) for i in range(len(texts)) for c in range(3) if c != gathering[i]]
+    out = simhash._crowd_pairs(spark.createDataFrame(asks, "a long, c long, n long, meets long"), rows, table, 5, 0.8)
+    settled, pairs, links = ({tuple(r) for r in x.collect()} for x in out)
+    want = {p for i, j in similar_brute(texts) for p in ((i, j), (j, i))}
+    near = {(u, gathering[v]) for u, v in links}
+    assert links <= want and {(a, c) for a, c, *_ in asks if a % 5} <= settled < {(a, c) for a, c, *_ in asks}
+    due = {(a, b) for a, b in want if (a, gathering[b]) in settled - near and gathering[a] != gathering[b]}
+    assert len(due) > 50 and due <= pairs and len(pairs) < len(texts) ** 2 / 6
+
+
 def test_long_fingerprint_is_the_definition():
     hashes = simhash.shingle_hashes("some words of a text " * 90 + " ".join(map(str, range(400))), 5)
     assert len(hashes) > 255  # several blocks
