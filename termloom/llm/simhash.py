@@ -277,7 +277,8 @@ def _lone_pairs(lone: DataFrame, parts: Segments) -> DataFrame:
 
 def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For rows ``a`` that would look at many rows of a gathering ``c`` (asks: a, c, n, meets): the
-    asks (a, c) that are settled here, pairs (a, b) left to compare, and links (u, v).
+    asks (a, c, meets) that are settled here, pairs (a, b) left to compare, and links (u, v). What is
+    settled is compared with the gathering and with all that ask for it.
 
     Shingles that over 1 / COMMON of a gathering's rows have are its common ones, the others rare.
     One row is the nearest to the common ones: who links to it is of the gathering, and needs no
@@ -289,17 +290,18 @@ def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
     asking = asks.select("c", "n", F.col("a").alias("row"), "meets")
     used = members.select("row").unionByName(asking.select("row")).distinct()
     sets = materialize(_shingle_sets(docs.join(used, "row", "left_semi"), shingle), "similar-crowd-sets")
-    counts = members.join(sets, "row").select("c", "n", F.explode("hashes").alias("s")).groupBy("c", "n", "s").agg(F.count(F.lit(1)).alias("df"))
-    counts = materialize(counts, "similar-counts")
-    common = counts.where(F.col("df") * COMMON > F.col("n")).groupBy("c").agg(F.collect_list("s").alias("known"))
-    shapes = members.unionByName(asking).join(sets, "row").join(common, "c", "left")
+    around = members.unionByName(asking).join(sets, "row")
+    counts = around.select("c", "n", F.col("meets").isNull().cast("long").alias("inside"), F.explode("hashes").alias("s"))
+    counts = materialize(counts.groupBy("c", "n", "s").agg(F.count(F.lit(1)).alias("df"), F.sum("inside").alias("inside")), "similar-counts")
+    common = counts.where(F.col("inside") * COMMON > F.col("n")).groupBy("c").agg(F.collect_list("s").alias("known"))
+    shapes = around.join(common, "c", "left")
     rare = F.array_except("hashes", F.coalesce("known", F.array().cast("array<long>")))
     shapes = materialize(shapes.select("c", "row", "meets", F.size("hashes").alias("size"), rare.alias("rare")), "similar-shapes")
     shapes = shapes.withColumn("common", F.col("size") - F.size("rare"))
-    held = shapes.where("meets is null").select("c", F.col("row").alias("b"), F.col("size").alias("nb"), F.col("common").alias("kb"), "rare")
+    held = shapes.select("c", "meets", F.col("row").alias("b"), F.col("size").alias("nb"), F.col("common").alias("kb"), "rare")
 
     nearest = F.struct((1 + similarity) * F.col("kb") - similarity * F.col("nb"), -F.col("b"))
-    heart = held.groupBy("c").agg((-F.max(nearest)["col2"]).alias("v"))
+    heart = held.where("meets is null").groupBy("c").agg((-F.max(nearest)["col2"]).alias("v"))
     tried = asks.select("c", F.col("a").alias("u")).join(heart, "c").join(sets.withColumnsRenamed({"row": "u", "hashes": "ha"}), "u")
     tried = tried.join(sets.withColumnsRenamed({"row": "v", "hashes": "hb"}), "v").where(_alike("ha", "hb", similarity))
     links = materialize(tried.select("c", "u", "v"), "similar-hearts")
@@ -308,7 +310,7 @@ def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
     left = shapes.where("meets is not null").withColumnRenamed("row", "a").join(links.select("c", F.col("u").alias("a")), ["c", "a"], "left_anti")
     least = F.ceil(similarity * F.col("size") - SLACK)
     need = F.greatest(F.lit(1), least - F.col("common"))
-    found = left.select("c", "a", "meets", need.alias("need"), F.explode("rare").alias("s")).join(counts.select("c", "s", "df"), ["c", "s"])
+    found = left.select("c", "a", "meets", need.alias("need"), F.explode("rare").alias("s")).join(counts.where("df > 1").select("c", "s", "df"), ["c", "s"])
     found = found.groupBy("c", "a", "meets", "need").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("keys")).where(F.size("keys") >= F.col("need"))
     found = found.withColumn("keys", F.slice("keys", F.lit(1), (F.size("keys") - F.col("need") + 1).cast("int")))
     found = materialize(found.withColumn("cost", F.aggregate("keys", F.lit(0).cast("long"), lambda n, k: n + k["df"])), "similar-keys")
@@ -321,8 +323,9 @@ def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
     spans = spans.select("c", "a", "size", "common", F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"))
     enough = (1 + similarity) * F.least("common", "kb") + SLACK >= similarity * (F.col("size") + F.col("nb"))
     fits = spans.join(held.select("c", "b", "nb", "kb", step(F.col("nb")).alias("step")), ["c", "step"]).where(enough)
-    pairs = materialize(shared.select("a", "b").unionByName(fits.select("a", "b")).distinct(), "similar-crowd-pairs")
-    return asks.select("a", "c").join(costly, ["a", "c"], "left_anti"), pairs, links.select("u", "v")
+    pairs = shared.select("a", "b").unionByName(fits.select("a", "b")).where("a <> b")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-crowd-pairs")
+    return asks.select("a", "c", "meets").join(costly, ["a", "c"], "left_anti"), pairs, links.select("u", "v")
 
 
 def _balls(rows: DataFrame, parts: Segments) -> DataFrame:
@@ -331,9 +334,20 @@ def _balls(rows: DataFrame, parts: Segments) -> DataFrame:
     return many.select("b", "c", "n", F.explode(F.concat(F.array("slot"), _turned(F.col("slot"), parts.bits, False))).alias("slot"))
 
 
-def _gathered_pairs(rows: DataFrame, docs: DataFrame, parts: Segments, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+def _beside_pairs(placed: DataFrame, parts: Segments) -> DataFrame:
+    """(a, b) of lone rows (row, slots, n, z) near each other, one at least beside a crowd ``z``, not
+    both beside the same."""
+    probes = _balls(placed.where("z is not null").select("row", "slots", F.col("z").alias("c"), "n"), parts)
+    # a row beside no crowd stands for itself; crowds have names of rows that are not lone
+    table = placed.select(F.col("row").alias("b"), F.coalesce("z", "row").alias("cb"), F.explode("slots").alias("slot"))
+    pairs = cross_pairs(probes.select("slot", F.col("b").alias("a"), F.col("c").alias("ca")), table, ["slot"])
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _gathered_pairs(rows: DataFrame, docs: DataFrame, parts: Segments, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(a, b) of rows (row, slots, c, n) of different gatherings where the larger one has two rows or
-    more, and links (u, v) found on the way: its rows stand in the table under the whole balls around
+    more, links (u, v) found on the way, and (row, z), the crowd around which a row has been compared
+    with all others there. The larger one's rows stand in the table under the whole balls around
     their segments, and rows of smaller gatherings look their own segments up, so a large group's
     rows look nothing up. In gatherings of over CROWD rows it is first counted how many of them each
     row meets; where they are more than CROWD, :func:`_crowd_pairs` tells which to compare."""
@@ -345,15 +359,16 @@ def _gathered_pairs(rows: DataFrame, docs: DataFrame, parts: Segments, shingle:
 
     crowds = rows.where(F.col("n") > CROWD)
     if crowds.isEmpty():
-        return met, None
+        return met, None, None
     table = _balls(crowds, parts)
     held = table.groupBy("slot", "c", "n").agg(F.count(F.lit(1)).alias("held"))
     live = probes.join(held, "slot").where(F.col("oa") < F.struct("n", "c")).select("slot", "a", "c", "n", "held")
     live = materialize(live, "similar-around")
     asks = live.groupBy("a", "c", "n").agg(F.sum("held").alias("meets")).where(F.col("meets") > CROWD)
     settled, pairs, links = _crowd_pairs(materialize(asks, "similar-asks"), rows, docs, shingle, similarity)
+    around = settled.groupBy(F.col("a").alias("row")).agg(F.max(F.struct("meets", "c"))["c"].alias("z"))
     few = live.join(settled, ["a", "c"], "left_anti").select("slot", "a", "c").join(table.select("slot", "c", "b"), ["slot", "c"])
-    return met.unionByName(few.select("a", "b")).unionByName(pairs), links
+    return met.unionByName(few.select("a", "b")).unionByName(pairs), links, around
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -378,8 +393,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     sizes = gathered.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     rows = prints.join(gathered.join(sizes, "component"), prints.row == gathered.node, "left")
     rows = materialize(rows.select("row", "slots", F.coalesce("component", "row").alias("c"), F.coalesce("n", F.lit(1).cast("long")).alias("n")), "similar-grouped")
-    crowd, near = _gathered_pairs(rows, docs, parts, shingle, similarity)
-    wide = _lone_pairs(rows.where("n = 1"), parts).unionByName(materialize(crowd, "similar-crowd"))
+    crowd, near, around = _gathered_pairs(rows, docs, parts, shingle, similarity)
+    wide, lone = materialize(crowd, "similar-crowd"), rows.where("n = 1")
+    if around:
+        placed = materialize(lone.join(around, "row", "left"), "similar-placed")
+        lone = placed.where("z is null")
+        wide = wide.unionByName(materialize(_beside_pairs(placed, parts), "similar-beside"))
+    wide = wide.unionByName(_lone_pairs(lone, parts))
     links = links.unionByName(_verified(materialize(wide.distinct(), "similar-wide"), prints, docs, shingle, similarity, parts))
     links = links.unionByName(near) if near else links
     groups = components(links, "similar-groups")
