@@ -291,14 +291,14 @@ def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
     used = members.select("row").unionByName(asking.select("row")).distinct()
     sets = materialize(_shingle_sets(docs.join(used, "row", "left_semi"), shingle), "similar-crowd-sets")
     around = members.unionByName(asking).join(sets, "row")
-    counts = around.select("c", "n", F.col("meets").isNull().cast("long").alias("inside"), F.explode("hashes").alias("s"))
-    counts = materialize(counts.groupBy("c", "n", "s").agg(F.count(F.lit(1)).alias("df"), F.sum("inside").alias("inside")), "similar-counts")
-    common = counts.where(F.col("inside") * COMMON > F.col("n")).groupBy("c").agg(F.collect_list("s").alias("known"))
+    counts = members.join(sets, "row").select("c", "n", F.explode("hashes").alias("s")).groupBy("c", "n", "s").agg(F.count(F.lit(1)).alias("df"))
+    common = counts.where(F.col("df") * COMMON > F.col("n")).groupBy("c").agg(F.collect_list("s").alias("known"))
     shapes = around.join(common, "c", "left")
     rare = F.array_except("hashes", F.coalesce("known", F.array().cast("array<long>")))
     shapes = materialize(shapes.select("c", "row", "meets", F.size("hashes").alias("size"), rare.alias("rare")), "similar-shapes")
     shapes = shapes.withColumn("common", F.col("size") - F.size("rare"))
     held = shapes.select("c", "meets", F.col("row").alias("b"), F.col("size").alias("nb"), F.col("common").alias("kb"), "rare")
+    counts = held.select("c", F.explode("rare").alias("s")).groupBy("c", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
 
     nearest = F.struct((1 + similarity) * F.col("kb") - similarity * F.col("nb"), -F.col("b"))
     heart = held.where("meets is null").groupBy("c").agg((-F.max(nearest)["col2"]).alias("v"))
@@ -310,7 +310,7 @@ def _crowd_pairs(asks: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int
     left = shapes.where("meets is not null").withColumnRenamed("row", "a").join(links.select("c", F.col("u").alias("a")), ["c", "a"], "left_anti")
     least = F.ceil(similarity * F.col("size") - SLACK)
     need = F.greatest(F.lit(1), least - F.col("common"))
-    found = left.select("c", "a", "meets", need.alias("need"), F.explode("rare").alias("s")).join(counts.where("df > 1").select("c", "s", "df"), ["c", "s"])
+    found = left.select("c", "a", "meets", need.alias("need"), F.explode("rare").alias("s")).join(counts, ["c", "s"])
     found = found.groupBy("c", "a", "meets", "need").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("keys")).where(F.size("keys") >= F.col("need"))
     found = found.withColumn("keys", F.slice("keys", F.lit(1), (F.size("keys") - F.col("need") + 1).cast("int")))
     found = materialize(found.withColumn("cost", F.aggregate("keys", F.lit(0).cast("long"), lambda n, k: n + k["df"])), "similar-keys")
