@@ -110,6 +110,9 @@ def test_extract_page():
     assert page["links"] == [{"raw_href": "p#f", "href": "http://h.org/d/p#f", "anchor": "go", "position": 0}]
     assert page["text"] == "H x go nonetext & more"
     assert web.extract_page("", "http://h")["text"] == ""
+    # only whole references are decoded, as in SQL: titles may be cut within one
+    cut = web.extract_page("<title>A &amp;&amp</title>&am &#39;&#39 &notit; &eacute;<a href='?a=1&amp;b&copy=2'>&quo</a>", "http://h/")
+    assert (cut["title"], cut["text"], cut["links"][0]["raw_href"]) == ("A &&amp", "&am '&#39 &notit; é&quo", "?a=1&b&copy=2")
     assert web.extract_page("<p>a<![foo[ x ]]>b<![>c<!-- d", "http://h")["text"] == "abc"
 
 
