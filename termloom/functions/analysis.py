@@ -76,9 +76,14 @@ def analyze(text: str, config: AnalysisConfig) -> list[Token]:
     return out
 
 
+def found_runs(text: Column) -> Column:
+    """array<string>: the runs of a text column in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN_PATTERN), F.lit(0))
+
+
 def analyzed_terms(text: Column, config: AnalysisConfig) -> Column:
     """array<string>: the emitted terms of a text column in order."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN_PATTERN), F.lit(0))
+    found = found_runs(text)
     if config.stemming == "none" and not config.nfkc:
         words = F.split(F.regexp_replace(F.lower(F.array_join(found, " ")), r"[^\p{L}\p{N} ]+", ""), " ")
         if config.stopwords == "english":

@@ -3,29 +3,55 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.analysis import AnalysisConfig, analyzed_terms
+from termloom.functions.analysis import AnalysisConfig, found_runs, term_of
 from termloom.plans.storage import cut
 
 #: Fixed value: the largest term frequency that the reference format allows.
 MAX_TF = 65_535
+#: Runs of the documents that a worker inverts at once.
+BLOCK_RUNS = 1_000_000
+#: Bytes of a row group of saved postings, of which a term's are read.
+SEGMENT_BLOCK = 4 << 20
+
+
+def _postings(entries: DataFrame) -> DataFrame:
+    return entries.select("doc_id", F.explode("entries").alias("e")).select("e.term", "doc_id", "e.tf", "e.positions")
 
 
 @dataclass
 class Index:
-    """postings(term, doc_id, tf, positions), terms(term, df), docs(doc_id, dl, max_tf)."""
+    """entries(doc_id, dl, max_tf, entries), a row a document with its terms' tf and positions;
+    postings(term, doc_id, tf, positions), the same by term."""
 
+    entries: DataFrame
     postings: DataFrame
-    terms: DataFrame
-    docs: DataFrame
     config: AnalysisConfig
     n_docs: int
     total_tokens: int
     ids: DataFrame | None = None  # doc_id, corpus_id
+    saved_terms: DataFrame | None = None
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """term, df."""
+        if self.saved_terms is not None:
+            return self.saved_terms
+        return cut(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "index-terms")
+
+    @property
+    def docs(self) -> DataFrame:
+        """doc_id, dl, max_tf."""
+        return self.entries.select("doc_id", "dl", "max_tf")
 
     @property
     def avgdl(self) -> float:
@@ -39,14 +65,14 @@ class Index:
         return fixed.join(counted)
 
     def save(self, path: str, ids: DataFrame | None = None) -> None:
-        """Postings sorted by term, so that a term list prunes row groups; and the map ``ids``
-        (doc_id, corpus_id), if there is one."""
+        """The documents' entries; postings in segments, each of the documents of one task and
+        sorted by term, so that a term list prunes row groups and nothing is shuffled; and the map
+        ``ids`` (doc_id, corpus_id), if there is one."""
         if ids is not None:
             ids.select("doc_id", F.col("corpus_id").cast("string").alias("corpus_id")).write.mode("overwrite").parquet(f"{path}/ids")
-        # a term of very many documents lies in several files
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.entries.write.mode("overwrite").parquet(f"{path}/entries")
+        self.postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.block.size", SEGMENT_BLOCK).parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         meta = json.dumps({"config": json.loads(self.config.to_json()), "n_docs": self.n_docs, "total_tokens": self.total_tokens, "ids": ids is not None})
         self.docs.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -54,7 +80,7 @@ class Index:
     def load(spark: SparkSession, path: str) -> Index:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         read = lambda part: spark.read.parquet(f"{path}/{part}")
-        index = Index(read("postings"), read("terms"), read("docs"), AnalysisConfig(**meta["config"]), meta["n_docs"], meta["total_tokens"])
+        index = Index(read("entries"), read("postings"), AnalysisConfig(**meta["config"]), meta["n_docs"], meta["total_tokens"], saved_terms=read("terms"))
         if index.docs.count() != index.n_docs:
             raise ValueError(f"{path} holds another number of documents than its metadata says")
         if meta.get("ids"):
@@ -83,43 +109,70 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parallel) if plan.toRdd().getNumPartitions() < parallel else df
 
 
-def entries(terms: Column) -> Column:
-    """array<struct<term, tf, positions>> of a document's terms in order; fails above MAX_TF.
-
-    The sorted (term, position) pairs are cut where the term changes, so a document becomes
-    its postings where it is, without a shuffle."""
-    pairs = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("at"))))
-
-    def runs(pairs: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(pairs) - 1)
-        begins = F.filter(places, lambda i: (i == 0) | (pairs[i]["term"] != pairs[F.greatest(i - 1, F.lit(0))]["term"]))
-        ends = F.concat(F.slice(begins, 2, F.size(pairs)), F.array(F.size(pairs)))
-        return F.zip_with(begins, ends, lambda b, e: F.slice(pairs, b + 1, e - b))
-
-    def entry(run: Column) -> Column:
-        term, tf = run[0]["term"], F.size(run)
-        too_many = F.raise_error(F.concat(F.lit("term frequency above the limit: "), term)).cast("int")
-        return F.struct(term.alias("term"), F.when(tf > MAX_TF, too_many).otherwise(tf).alias("tf"), F.transform(run, lambda r: r["at"]).alias("positions"))
-
-    # one-element arrays bind the pairs, and the cuts, so that they are made once
-    cut = F.flatten(F.transform(F.array(pairs), runs))
-    return F.when(F.size(terms) > 0, F.transform(cut, entry)).otherwise(F.array().cast("array<struct<term:string,tf:int,positions:array<int>>>"))
-
-
-def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text", keep: bool = True) -> Index:
+def _inverted(runs: pa.ListArray, term_of: Callable[[list[str]], list[str | None]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Entries (list<term, tf, positions>), lengths and largest tf of a batch of documents' runs.
+
+    Each different run is analysed once, and terms become numbers; one sort of (document, number,
+    position) brings each document's equal terms together, so a document becomes its postings
+    where it is, without a shuffle. Fails above MAX_TF."""
+    lengths = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
+    found = runs.flatten().dictionary_encode()
+    analysed = pa.array(term_of(found.dictionary.to_pylist()), pa.string())
+    terms = pc.unique(analysed.drop_null()).sort()
+    number = pc.fill_null(pc.index_in(analysed, terms), -1).to_numpy()[found.indices.to_numpy()].astype(np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)[number >= 0]
+    number = number[number >= 0]
+    dl = np.bincount(doc, minlength=len(lengths))
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)
+    long = int(dl.max(initial=1)) or 1
+    key = np.sort((doc * len(terms) + number) * long + at)
+    key, at = np.divmod(key, long)
+    cuts = np.flatnonzero(np.diff(key, prepend=-1))
+    tf = np.diff(np.append(cuts, len(key))).astype(np.int32)
+    of, number = np.divmod(key[cuts], max(len(terms), 1))
+    if tf.max(initial=0) > MAX_TF:
+        raise ValueError(f"term frequency above the limit: {terms[int(number[tf.argmax()])].as_py()}")
+    most = np.zeros(len(lengths), np.int32)
+    np.maximum.at(most, of, tf)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(key)), pa.int32()), pa.array(at.astype(np.int32)))
+    rows = pa.StructArray.from_arrays([terms.take(pa.array(number)), pa.array(tf), positions], ["term", "tf", "positions"])
+    ends = np.cumsum(np.bincount(of, minlength=len(lengths)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), rows), pa.array(dl, pa.int64()), pa.array(most)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most BLOCK_RUNS runs each, or one document."""
+    ends = np.cumsum(pc.list_value_length(batch.column("runs")).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + BLOCK_RUNS, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def with_entries(docs: DataFrame, config: AnalysisConfig) -> DataFrame:
+    """(doc_id, dl, max_tf, entries) of a table (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _blocks(batch):
+                found, dl, most = _inverted(block.column("runs"), lambda words: [term_of(w, config) for w in words])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), dl, most, found], names=["doc_id", "dl", "max_tf", "entries"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", found_runs(F.col("text")).alias("runs"))
+    return rows.mapInArrow(run, f"doc_id {kind}, dl bigint, max_tf int, entries array<struct<term:string,tf:int,positions:array<int>>>")
+
+
+def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text") -> Index:
     """Index a table (doc_id, text). Documents are analysed once, and their entries written to the
-    shared folder; postings, terms and lengths are read from there. Without ``keep``, for an index
-    that is saved at once, terms and lengths are not written as well."""
+    shared folder; postings and lengths are read from there, and terms counted when they are
+    first asked for."""
     config = config or AnalysisConfig()
-    rows = spread(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", analyzed_terms(F.col("text"), config).alias("terms"))
-    rows = cut(rows.select("doc_id", F.size("terms").cast("long").alias("dl"), entries(F.col("terms")).alias("entries")), "index-entries")
-    postings = rows.select("doc_id", F.explode("entries").alias("e")).select("e.term", "doc_id", "e.tf", "e.positions")
-    lengths = rows.select("doc_id", "dl", F.coalesce(F.array_max(F.transform("entries", lambda e: e["tf"])), F.lit(0)).alias("max_tf"))
-    terms = postings.select("term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    row = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
-    if keep:
-        terms, lengths = cut(terms, "index-terms"), cut(lengths, "index-docs")
-    return Index(postings, terms, lengths, config, row["n"], row["t"])
+    rows = cut(with_entries(spread(docs.select("doc_id", F.col(text).alias("text"))), config), "index-entries")
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+    return Index(rows, _postings(rows), config, row["n"], row["t"])
 
 
 def length_distribution(lengths: DataFrame) -> DataFrame:

@@ -313,3 +313,17 @@ def test_engine(spark):
         with pytest.raises(ServiceError) as e:
             call()
         assert e.value.code == code
+
+
+def test_building_an_index_shuffles_nothing(spark, tmp_path):
+    """Documents become their entries where they are, and what a set of queries reads is by document."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(BOATS * 3 + ["", "a b_c d'e don't"])], "doc_id long, text string").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    written = store.executionsCount()
+    index = build_index(spark.read.parquet(str(tmp_path / "docs")), AnalysisConfig("none", "none"))
+    plans = [store.execution(i).get().physicalPlanDescription() for i in range(written, store.executionsCount())]
+    assert written > before and plans and not any("Exchange hashpartitioning" in p or "Exchange rangepartitioning" in p for p in plans)
+    row = index.entries.where("doc_id = 16").first()
+    assert (row["dl"], row["max_tf"]) == (5, 1) and [(e["term"], e["positions"]) for e in row["entries"]] == [("a", [0]), ("b", [1]), ("c", [2]), ("de", [3]), ("dont", [4])]
