@@ -1,7 +1,7 @@
 """Text analysis: runs of letters and digits, normalisation, stop-words, stemming.
 
-The same rules exist twice: :func:`analyze` for query strings and snippets on the driver and
-:func:`analyzed_terms` for columns. Without stemming, and for text that NFKC leaves alone,
+The same rules exist twice: :func:`analyze` and :func:`terms_of` for strings and for the texts of
+an index, and :func:`analyzed_terms` for columns. Without stemming, and for text that NFKC leaves alone,
 the column form stays in the JVM; else one Arrow function maps each document's runs, with a
 store of surface forms per worker, so tokens are not shuffled to be normalised.
 """
@@ -15,7 +15,10 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from termloom.functions.stopwords import ENGLISH
 RUN_PATTERN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 _RUN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _STRIP = re.compile(r"[\W_]+")
+#: Bytes of texts that a worker analyses at once.
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -66,6 +71,31 @@ def term_of(run: str, config: AnalysisConfig) -> str | None:
     return porter.stem(word) if config.stemming == "porter" else word
 
 
+def only_runs(text: str) -> list[str]:
+    return _RUN.findall(text)
+
+
+def terms_of(words: list[str], config: AnalysisConfig) -> list[str | None]:
+    """:func:`term_of` of many runs, each given once."""
+    if config.nfkc or config.stemming != "none":
+        return [term_of(w, config) for w in words]
+    lower = [w.lower() for w in words]
+    lower = [w if w.isalnum() else _STRIP.sub("", w) for w in lower]
+    stop = ENGLISH if config.stopwords == "english" else frozenset()
+    return [w if w and w not in stop else None for w in lower]
+
+
+def text_blocks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of at most BLOCK_BYTES together, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def analyze(text: str, config: AnalysisConfig) -> list[Token]:
     """Tokens with dense positions: what is dropped takes none."""
     out: list[Token] = []
@@ -76,14 +106,9 @@ def analyze(text: str, config: AnalysisConfig) -> list[Token]:
     return out
 
 
-def found_runs(text: Column) -> Column:
-    """array<string>: the runs of a text column in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN_PATTERN), F.lit(0))
-
-
 def analyzed_terms(text: Column, config: AnalysisConfig) -> Column:
     """array<string>: the emitted terms of a text column in order."""
-    found = found_runs(text)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN_PATTERN), F.lit(0))
     if config.stemming == "none" and not config.nfkc:
         words = F.split(F.regexp_replace(F.lower(F.array_join(found, " ")), r"[^\p{L}\p{N} ]+", ""), " ")
         if config.stopwords == "english":

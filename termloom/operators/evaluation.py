@@ -2,12 +2,114 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from termloom.functions.analysis import text_blocks
 
 DEFAULT_KS = (1, 5, 10, 100)
 
 
+#: Words of a set of items that a worker holds at once; larger sets take several readings.
+SET_WORDS = 1_000_000
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+@dataclass(frozen=True)
+class _Runs:
+    """The runs of some items: a number for each word, and the items of each run of numbers."""
+
+    vocabulary: pa.Array
+    items: dict[tuple[int, ...], list[object]]
+    hashes: np.ndarray
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` numbers in a row."""
+    n = max(len(numbers) - size + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = out * _STEP + numbers[i : i + n].astype(np.uint64)
+    return out
+
+
+def _runs(items: list[tuple[object, list[str]]], size: int) -> _Runs:
+    number: dict[str, int] = {}
+    runs: dict[tuple[int, ...], list[object]] = {}
+    for key, words in items:
+        coded = [number.setdefault(w, len(number)) for w in words]
+        for run in {tuple(coded[i : i + size]) for i in range(max(len(coded) - size, 0) + 1)}:
+            runs.setdefault(run, []).append(key)
+    full = np.array([r for r in runs if len(r) == size], np.int64).reshape(-1)
+    return _Runs(pa.array(list(number), pa.string()), runs, np.unique(_hashed(full, size)[::size]) if len(full) else np.empty(0, np.uint64))
+
+
+def _meetings(texts: list[str | None], known: _Runs, size: int) -> list[tuple[int, object]]:
+    """(place, item) for every text that shares a run with an item."""
+    words = [_words(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    number = pc.fill_null(pc.index_in(pa.array([w for ws in words for w in ws], pa.string()), known.vocabulary), -1).to_numpy().astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    found: set[tuple[int, object]] = set()
+    # a text of fewer words is one run
+    for i in np.flatnonzero((sizes > 0) & (sizes < size)):
+        found.update((int(i), key) for key in known.items.get(tuple(number[begins[i] : begins[i] + sizes[i]].tolist()), ()))
+    if len(number) >= size and len(known.hashes):
+        unknown = np.concatenate(([0], np.cumsum(number < 0)))
+        at = np.flatnonzero(unknown[size:] == unknown[:-size])
+        at = at[np.isin(_hashed(number, size)[at], known.hashes)]
+        of = np.searchsorted(begins + sizes, at, side="right")
+        for i, doc in zip(at[at + size <= (begins + sizes)[of]].tolist(), of[at + size <= (begins + sizes)[of]].tolist(), strict=True):
+            found.update((doc, key) for key in known.items.get(tuple(number[i : i + size].tolist()), ()))
+    return list(found)
+
+
+def sharing(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """(query_id, doc_id) of every text of ``docs`` (doc_id, text) that shares a run of ``size``
+    words, or all of fewer, with one of the stated ``items`` (query_id, text). Texts are compared
+    where they are; hashes choose places, and words decide."""
+    sets, block, held = [], [], 0
+    for r in items.select("query_id", "text").toLocalIterator():
+        if words := _words(r["text"]):
+            block.append((r["query_id"], words))
+            held += len(words)
+        if held > SET_WORDS:
+            sets, block, held = [*sets, _runs(block, size)], [], 0
+    sets += [_runs(block, size)] if block or not sets else []
+    query_field, doc_field = items.schema["query_id"], docs.schema["doc_id"]
+    schema = f"query_id {query_field.dataType.simpleString()}, doc_id {doc_field.dataType.simpleString()}"
+    kind = to_arrow_schema(StructType([query_field])).field(0).type
+
+    def met(known: _Runs) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_blocks(batch, "text"):
+                    pairs = _meetings(part.column("text").to_pylist(), known, size)
+                    places = pa.array([i for i, _ in pairs], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([k for _, k in pairs], kind), part.column("doc_id").take(places)], names=["query_id", "doc_id"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, map(met, sets)).distinct()
+
+
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Run rows (query_id, doc_id, rank) of judged queries with their grade, 0 if not judged."""
     queries = qrels.select("query_id").distinct()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,13 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.analysis import AnalysisConfig, found_runs, term_of
+from termloom.functions.analysis import AnalysisConfig, only_runs, terms_of, text_blocks
 from termloom.plans.storage import cut
 
 #: Fixed value: the largest term frequency that the reference format allows.
 MAX_TF = 65_535
-#: Runs of the documents that a worker inverts at once.
-BLOCK_RUNS = 1_000_000
 #: Bytes of a row group of saved postings, of which a term's are read.
 SEGMENT_BLOCK = 4 << 20
 
@@ -109,7 +107,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parallel) if plan.toRdd().getNumPartitions() < parallel else df
 
 
-def _inverted(runs: pa.ListArray, term_of: Callable[[list[str]], list[str | None]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+def _inverted(runs: pa.ListArray, config: AnalysisConfig) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Entries (list<term, tf, positions>), lengths and largest tf of a batch of documents' runs.
 
     Each different run is analysed once, and terms become numbers; one sort of (document, number,
@@ -117,7 +115,7 @@ def _inverted(runs: pa.ListArray, term_of: Callable[[list[str]], list[str | None
     where it is, without a shuffle. Fails above MAX_TF."""
     lengths = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
     found = runs.flatten().dictionary_encode()
-    analysed = pa.array(term_of(found.dictionary.to_pylist()), pa.string())
+    analysed = pa.array(terms_of(found.dictionary.to_pylist(), config), pa.string())
     terms = pc.unique(analysed.drop_null()).sort()
     number = pc.fill_null(pc.index_in(analysed, terms), -1).to_numpy()[found.indices.to_numpy()].astype(np.int64)
     doc = np.repeat(np.arange(len(lengths)), lengths)[number >= 0]
@@ -140,29 +138,18 @@ def _inverted(runs: pa.ListArray, term_of: Callable[[list[str]], list[str | None
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), rows), pa.array(dl, pa.int64()), pa.array(most)
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most BLOCK_RUNS runs each, or one document."""
-    ends = np.cumsum(pc.list_value_length(batch.column("runs")).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(int(np.searchsorted(ends, before + BLOCK_RUNS, side="right")), start + 1)
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def with_entries(docs: DataFrame, config: AnalysisConfig) -> DataFrame:
     """(doc_id, dl, max_tf, entries) of a table (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _blocks(batch):
-                found, dl, most = _inverted(block.column("runs"), lambda words: [term_of(w, config) for w in words])
+            for block in text_blocks(batch, "text"):
+                words = [only_runs(t or "") for t in block.column("text").to_pylist()]
+                found, dl, most = _inverted(pa.array(words, pa.list_(pa.string())), config)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), dl, most, found], names=["doc_id", "dl", "max_tf", "entries"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", found_runs(F.col("text")).alias("runs"))
-    return rows.mapInArrow(run, f"doc_id {kind}, dl bigint, max_tf int, entries array<struct<term:string,tf:int,positions:array<int>>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, dl bigint, max_tf int, entries array<struct<term:string,tf:int,positions:array<int>>>")
 
 
 def build_index(docs: DataFrame, config: AnalysisConfig | None = None, text: str = "text") -> Index:

@@ -71,3 +71,60 @@ def test_compared_strategies(index):
 def test_empty_set(index):
     run = batch.run_queries(index, [(1, "(")])
     assert run.rows.count() == 0 and len(run.failures) == 1
+
+
+def _set(spark):
+    rows = [(q, t) for q, text in QUERIES[:2] + [(7, "nowhere"), (13, "rope lantern"), (14, "anchor storm harbor")] for t in text.split()]
+    return spark.createDataFrame(rows, "query_id int, term string")
+
+
+@pytest.mark.parametrize("scores", [ranking.bm25_batch, ranking.tfidf_batch], ids=["bm25", "tfidf"])
+def test_set_is_scored_without_a_shuffle(spark, index, scores, monkeypatch):
+    queries = _set(spark)
+    name = "bm25" if scores is ranking.bm25_batch else "tfidf"
+    texts = [(1, "storm"), (2, "harbor storm"), (13, "rope lantern"), (14, "anchor storm harbor")]
+    want = one_by_one(index, ranking.Strategy(name), queries=texts)
+    full = scores(index, queries)
+    assert "Exchange" not in full._jdf.queryExecution().executedPlan().toString()
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in full.collect()}
+    assert got == {k: round(v, 6) for k, v in want.items()}
+    monkeypatch.setattr(ranking, "SET_PAIRS", 2)  # several readings
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in scores(index, queries).collect()} == got
+    for k in (1, 2):
+        best = {(r["query_id"], r["doc_id"]): r["rank"] for r in ranking.ranked(scores(index, queries, best=k), k).collect()}
+        for q in {q for q, _ in got}:
+            order = sorted((-v, d) for (p, d), v in got.items() if p == q)[:k]
+            assert {d: r for (p, d), r in best.items() if p == q} == {d: i + 1 for i, (_, d) in enumerate(order)}
+    assert scores(index, queries.where("query_id = 7")).count() == 0
+
+
+def test_rounding_is_that_of_sql(spark):
+    import numpy as np
+
+    values = [0.0000005, 1.0000005, 2.1234565, 0.1234565, 1.00000049999, 123.4567895, 7.0, 0.3333333333, -0.0000015, 4.9999995]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 6)").collect()
+    assert ranking.half_up(np.array(values)).tolist() == [r[0] for r in rows]
+
+
+def test_texts_that_share_runs_with_items(spark, monkeypatch):
+    import random
+
+    from termloom.operators import evaluation
+
+    rng = random.Random(5)
+    text = lambda n: ", ".join(rng.choice(["aa", "Bb", "cc", "dd"]) if rng.random() < 0.5 else rng.choice(["Aa", "bb", "cc!"]) for _ in range(n))
+    docs = [(i, text(rng.randrange(0, 40))) for i in range(60)] + [(60, None), (61, "aa bb"), (62, "zz")]
+    items = [(i, text(n)) for i, n in enumerate((12, 5, 9, 0, 2))] + [(5, "AA bb"), (6, None)]
+    size = 4
+
+    def runs(t):
+        w = evaluation._words(t)
+        return {tuple(w[i : i + size]) for i in range(max(len(w) - size, 0) + 1)} if w else set()
+
+    want = {(q, d) for q, a in items for d, b in docs if runs(a) & runs(b)}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id int, text string")
+    found = evaluation.sharing(*frames, size)
+    assert len(want) > 20 and (5, 61) in want and {tuple(r) for r in found.collect()} == want
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(evaluation, "SET_WORDS", 6)
+    assert {tuple(r) for r in evaluation.sharing(*frames, size).collect()} == want
