@@ -20,6 +20,7 @@ from termloom.operators import fuzzy, ranking
 from termloom.operators.index import Index
 from termloom.operators.retrieval import matches_nothing
 from termloom.plans.query import Node, QueryParseError, analyzed, leaf_terms, leaves, parse, positive_terms
+from termloom.plans.storage import cut
 
 Found = dict[str, tuple[int, list[int]]]  # term: tf, positions
 
@@ -153,7 +154,7 @@ def run_queries(
     rows = rows.join(index.docs, "doc_id").select("query_id", "doc_id", "dl", "max_tf", "found")
     scored = rows.mapInArrow(score, f"query_id {kind}, doc_id {doc_kind}, score double")
     if fused:
-        text = ranking.normalize_scores(scored, "score", strategy.guard, ["query_id"])
+        text = ranking.normalize_scores(cut(scored, "scores"), "score", strategy.guard, ["query_id"])
         authority = ranking.normalize_scores(pagerank.select("doc_id", "value"), "value", strategy.guard).select("doc_id", F.col("norm").alias("authority"))
         joined = text.join(authority, "doc_id", "left")
         total = F.lit(1.0 - strategy.pr_weight) * F.col("norm") + F.lit(float(strategy.pr_weight)) * F.coalesce("authority", F.lit(0.0))

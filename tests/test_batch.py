@@ -128,3 +128,23 @@ def test_texts_that_share_runs_with_items(spark, monkeypatch):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(evaluation, "SET_WORDS", 6)
     assert {tuple(r) for r in evaluation.sharing(*frames, size).collect()} == want
+
+
+@pytest.mark.parametrize("guard", [1.0, 0.95, 0.5, 0.001])
+def test_quantiles_of_groups_by_ranges(spark, guard, monkeypatch):
+    import math
+    import random
+
+    monkeypatch.setattr(ranking, "STEPS", 4)
+    monkeypatch.setattr(ranking, "FEW", 3)
+    rng = random.Random(3)
+    values = {1: [rng.random() ** 9 * 1e6 for _ in range(300)], 2: [2.0] * 50, 3: [1.0, 1.0, 5.0, 5.0, 5.0, 7.0], 4: [-3.0], 5: [0.0] * 40 + [1e9, float("inf")], 6: [None]}
+    df = spark.createDataFrame([(g, i, v) for g, vs in values.items() for i, v in enumerate(vs)], "g int, i int, v double")
+    got = {r["g"]: r for r in ranking._with_quantile(df, "v", guard, ["g"]).collect()}
+    for g, vs in values.items():
+        vs = sorted(v for v in vs if v is not None)
+        want = (vs[0], vs[-1], vs[max(math.ceil(guard * len(vs)), 1) - 1]) if vs else (None, None, None)
+        assert (got[g]["__low"], got[g]["__high"], got[g]["__anchor"]) == want
+    rows = ranking.normalize_scores(df.where("g < 5"), "v", guard, ["g"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "percentile" not in plan and rows.count() == 357
